@@ -1,10 +1,11 @@
 """The registered queries of this subpackage and their DuckDB oracles."""
 
-from scriptloom.llm import exact_dedup, warc
+from scriptloom.llm import bpe, exact_dedup, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op7_bpe_chunk_reuse": bpe.op7_bpe_chunk_reuse,
 }
 
 ORACLES = {"op1_warc": warc.OP1_SQL, "op3_exact_dedup": exact_dedup.OP3_SQL}
