@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their DuckDB oracles."""
 
-from scriptloom.llm import bpe, exact_dedup, licenses, packing, warc
+from scriptloom.llm import bpe, exact_dedup, languages, licenses, packing, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -8,6 +8,7 @@ QUERIES = {
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_bpe_chunk_reuse": bpe.op7_bpe_chunk_reuse,
     "op8_license_scan": licenses.op8_license_scan,
+    "op9_language_id": languages.op9_language_id,
 }
 
 ORACLES = {"op1_warc": warc.OP1_SQL, "op3_exact_dedup": exact_dedup.OP3_SQL}
