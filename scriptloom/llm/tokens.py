@@ -52,13 +52,47 @@ class PieceCache(dict):
         return self[piece]
 
 
+class WordPieceCache(PieceCache):
+    """For the word-end BPE in lower case: a run of Latin letters and the punctuation behind it go straight to the merges.
+
+    The tokenizer's own pattern splits exactly there, its normaliser only
+    lower-cases such letters, and everything else takes the whole path.
+    """
+
+    SIMPLE = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)")
+
+    def __init__(self, tokenizer, limit: int):
+        super().__init__(tokenizer, b"", limit)
+        self.letters = {c: "".join(byte_chars()[b] for b in chr(c).encode()) for c in range(0xDF, 0x100)}
+        self.tails: dict[str, bytes] = {"": b""}
+
+    def learn(self, pieces: Iterable[bytes]) -> None:
+        new = [p for p in set(pieces) if p not in self]
+        if len(self) + len(new) > self.limit:
+            self.clear()
+        tokenize, others = self.tokenizer.model.tokenize, []
+        for p in new:
+            m = self.SIMPLE.fullmatch(p.decode("utf-8", "replace").lower())
+            if not m:
+                others.append(p)
+                continue
+            word, tail = m.groups()
+            if tail not in self.tails:
+                self.tails[tail] = array("I", self.tokenizer.encode(tail, add_special_tokens=False).ids).tobytes()
+            self[p] = array("I", [x.id for x in tokenize(word if word.isascii() else word.translate(self.letters))]).tobytes() + self.tails[tail]
+        super().learn(others)
+
+
+def byte_chars() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in printable)}
+
+
 def byte_table(path: str) -> dict[int, bytes]:
     """id -> bytes of a byte-level vocabulary."""
     spec = json.loads(open(path, encoding="utf-8").read())
-    # The byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on.
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    chars = {chr(b): b for b in printable}
-    chars |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in printable)}
+    chars = {c: b for b, c in byte_chars().items()}
     table = {i: bytes(chars[c] for c in s) for s, i in spec["model"]["vocab"].items() if all(c in chars for c in s)}
     return table | {a["id"]: a["content"].encode() for a in spec["added_tokens"]}
 
