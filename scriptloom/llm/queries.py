@@ -1,9 +1,10 @@
 """The registered queries of this subpackage and their DuckDB oracles."""
 
-from scriptloom.llm import bpe, exact_dedup, languages, licenses, packing, warc
+from scriptloom.llm import bpe, exact_dedup, languages, licenses, minhash, packing, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op2_minmax_near_dedup": minhash.op2_minmax_near_dedup,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_bpe_chunk_reuse": bpe.op7_bpe_chunk_reuse,
@@ -11,4 +12,4 @@ QUERIES = {
     "op9_language_id": languages.op9_language_id,
 }
 
-ORACLES = {"op1_warc": warc.OP1_SQL, "op3_exact_dedup": exact_dedup.OP3_SQL}
+ORACLES = {"op1_warc": warc.OP1_SQL, "op2_minmax_near_dedup": minhash.OP2_SQL, "op3_exact_dedup": exact_dedup.OP3_SQL}
