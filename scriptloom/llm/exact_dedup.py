@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from scriptloom.llm.common import new_folder, remove, table, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Repeated digests are broadcast up to so many (about 200 bytes each); beyond, the join is a shuffle.
+BROADCAST_ROWS = 200_000
 DECISION = ("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
@@ -41,10 +43,10 @@ def sha256(text: Column) -> Column:
 def fold_stream(spark: SparkSession, store: str, state: str, bytes_per_batch: int = 1 << 36) -> None:
     """Runs the stream over what the store holds and stops; a later call with the same state goes on from there."""
     schema = spark.read.parquet(store).schema
-    names = ("spark.sql.streaming.stateStore.providerClass", "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB")
+    names = ("spark.sql.streaming.stateStore.providerClass", "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "spark.sql.streaming.stateStore.rocksdb.allowFAllocate")
     before = {k: spark.conf.get(k, None) for k in names}
     try:
-        for k, v in zip(names, (ROCKSDB, "true", "256"), strict=True):
+        for k, v in zip(names, (ROCKSDB, "true", "256", "false"), strict=True):
             spark.conf.set(k, v)
         arriving = spark.readStream.schema(schema).option("maxBytesPerTrigger", str(bytes_per_batch)).parquet(store)
         place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
@@ -78,6 +80,8 @@ def deduplicate(docs: DataFrame, digest: Callable[[Column], Column] = sha256) ->
     seen = written(read_state(spark, state), "dedup-seen")
     here = content.select("row", "doc_id", "digest", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"))
     repeated = seen.filter("hits > 1")
+    if repeated.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # then no text is shuffled to find the hits
+        repeated = F.broadcast(repeated)
     hits = here.select("doc_id", "digest", "file", "at", normal_text(F.col("row.text")).alias("text")).join(repeated, "digest")
     hits = written(hits, "dedup-hits")
     is_first = (F.col("file") == F.col("first.file")) & (F.col("at") == F.col("first.row"))
