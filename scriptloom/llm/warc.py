@@ -206,7 +206,8 @@ def op1_warc(spark, sf_dir: str) -> DataFrame:
     """Every page into bundles, and every record back from them."""
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("long").alias("record_id"), "url", F.col("html").cast("binary").alias("payload"))
     index = write_bundles(mark_revisits(pages), new_folder(spark, "warc"))
-    back = read_bundles(index.select("bundle").distinct())
+    bundles = index.select("bundle").distinct()
+    back = read_bundles(bundles.repartition(max(1, bundles.count()), "bundle"))
     return back.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
