@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their DuckDB oracles."""
 
-from scriptloom.llm import bpe, exact_dedup, languages, licenses, minhash, packing, url_filter, warc
+from scriptloom.llm import bpe, exact_dedup, fingerprints, languages, licenses, minhash, packing, url_filter, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_bpe_chunk_reuse": bpe.op7_bpe_chunk_reuse,
     "op8_license_scan": licenses.op8_license_scan,
     "op9_language_id": languages.op9_language_id,
+    "op10_bottom_k_fingerprints": fingerprints.op10_bottom_k_fingerprints,
 }
 
 ORACLES = {"op1_warc": warc.OP1_SQL, "op2_minmax_near_dedup": minhash.OP2_SQL, "op3_exact_dedup": exact_dedup.OP3_SQL}
