@@ -1,11 +1,12 @@
 """The registered queries of this subpackage and their DuckDB oracles."""
 
-from scriptloom.llm import bpe, exact_dedup, fingerprints, languages, licenses, minhash, packing, url_filter, warc
+from scriptloom.llm import bpe, exact_dedup, fingerprints, languages, licenses, minhash, packing, resharding, url_filter, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_minmax_near_dedup": minhash.op2_minmax_near_dedup,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_min_cost_resharding": resharding.op4_min_cost_resharding,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_bpe_chunk_reuse": bpe.op7_bpe_chunk_reuse,
