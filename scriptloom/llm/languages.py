@@ -22,11 +22,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptloom.llm.common import table
+from scriptloom.llm.common import distinct_name, table
 
 UNKNOWN = "und"
 
@@ -235,6 +236,19 @@ def identify(docs: DataFrame, model: Model, penalty: float = 10.0) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
+    """docs without those in which no language is found, all columns as they were, in one pass and without a shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    found = distinct_name("lang_found", docs.columns)
+
+    @F.pandas_udf("boolean")
+    def identified(texts: pd.Series) -> pd.Series:
+        m = shared.value
+        return pd.Series([m.predict(None if x is None else x.encode("utf-8", "replace"), 10.0)[0] != UNKNOWN for x in texts], dtype=bool)
+
+    return docs.withColumn(found, identified(F.col("text"))).filter(F.col(found)).drop(found)
+
+
 def op9_language_id(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs.filter(~held_out(F.col("doc_id"))))
