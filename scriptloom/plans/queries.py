@@ -1,4 +1,216 @@
 """Named queries over JavaScript and their DuckDB oracles."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scriptloom.functions import columns
+from scriptloom.functions.kernels import spread
+from scriptloom.operators import detect, programs
+from scriptloom.plans.rules import RULE_QUERIES
+from scriptloom.sources import readers
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inline scripts of pages as programs; file_id is the page."""
+    return spread(readers.inline_scripts(read(spark, sf_dir, "pages")).select(F.col("page_id").alias("file_id"), "idx", "code"))
+
+
+def inline_scripts(spark, sf_dir):
+    return readers.inline_scripts(read(spark, sf_dir, "pages")).select("page_id", "idx", F.col("code").alias("script"))
+
+
+def call_args(spark, sf_dir):
+    """The calls that pages' scripts make, with their numeric argument."""
+    found = detect.calls(programs.nodes(scripts(spark, sf_dir)))
+    return found.filter("arg_type = 'NumericLiteral'").select(F.col("file_id").alias("page_id"), "callee", F.col("arg").cast("long").alias("arg"))
+
+
+def node_counts(spark, sf_dir):
+    return detect.node_counts(programs.nodes(scripts(spark, sf_dir))).select(F.col("file_id").alias("page_id"), "type", "n")
+
+
+def results(spark, sf_dir):
+    out = programs.rewrite(scripts(spark, sf_dir))
+    return out.select(F.col("file_id").alias("page_id"), "code", F.col("error").isNull().alias("ok"))
+
+
+def made(spark, sf_dir, table, key, text) -> DataFrame:
+    return spread(read(spark, sf_dir, table).select(F.col(key).cast("long").alias("file_id"), F.expr(text).alias("code")))
+
+
+BINDING_TEXT = r"concat('const a=', c_custkey, ';let b;b=a;b=a+', c_nationkey, ';function f(p){return p+b+a}f(a)')"
+OBJECT_TEXT = r"concat('const o={k:', c_custkey, '};f(o.k);', CASE WHEN c_custkey % 3 = 0 THEN 'o.k=1;' WHEN c_custkey % 3 = 1 THEN 'g(o);' ELSE '' END)"
+LOOP_TEXT = r"concat(CASE WHEN c_custkey % 4 = 0 THEN 'for(;;)' WHEN c_custkey % 4 = 1 THEN 'while(!0)' WHEN c_custkey % 4 = 2 THEN 'while(a)' ELSE 'for(;a;)' END, '{f(', c_custkey, ')}')"
+BUNDLE_TEXT = r"""concat('!function(e){var t={};function n(r){if(t[r])return t[r].exports;var o=t[r]={i:r,l:!1,exports:{}};return e[r].call(o.exports,o,o.exports,n),o.l=!0,o.exports}n(n.s=', c_custkey % 3, ')}([function(e,t,n){e.exports=', c_custkey, '},function(e,t,n){n(0);n(2)},function(e,t,n){n(', c_custkey % 5, ')}]);')"""
+BROWSERIFY_TEXT = r"""concat('(function(){})()({1:[function(require,module,exports){require("./b"),require("lib', c_nationkey, '")},{"./b":2,"lib', c_nationkey, '":3}],2:[function(r,m,e){m.exports=', c_custkey, '},{"../c":4}],3:[function(r,m,e){},{}],4:[function(r,m,e){},{}]},{},[1]);')"""
+
+
+def binding_stats(spark, sf_dir):
+    b = programs.bindings(made(spark, sf_dir, "customer", "c_custkey", BINDING_TEXT))
+    return b.select(F.col("file_id").alias("id"), "name", "kind", "is_constant", F.col("n_refs").cast("long").alias("n_refs"), F.col("n_writes").cast("long").alias("n_writes"))
+
+
+def read_only_objects(spark, sf_dir):
+    p = made(spark, sf_dir, "customer", "c_custkey", OBJECT_TEXT)
+    found = detect.read_only_objects(programs.nodes(p), programs.bindings(p), programs.references(p))
+    return found.select(F.col("file_id").alias("id"), "name")
+
+
+def temporaries(spark, sf_dir):
+    text = r"concat('var t;x=(t=f(', c_custkey, '))===null||t', CASE WHEN c_custkey % 2 = 0 THEN '.b' ELSE '' END, ';var u;u=1;', CASE WHEN c_custkey % 3 = 0 THEN 'g(u,u)' ELSE 'g(u)' END)"
+    return detect.temporaries(programs.bindings(made(spark, sf_dir, "customer", "c_custkey", text)), 1).select(F.col("file_id").alias("id"), "name")
+
+
+def infinite_loops(spark, sf_dir):
+    return detect.infinite_loops(programs.nodes(made(spark, sf_dir, "customer", "c_custkey", LOOP_TEXT))).select(F.col("file_id").alias("id"), "type")
+
+
+def safe_literals(spark, sf_dir):
+    text = r"concat('f(', c_custkey, ',\"', c_mktsegment, '\",`a`,`', chr(36), '{b}`,null,!0)')"
+    n = detect.safe_literals(programs.nodes(made(spark, sf_dir, "customer", "c_custkey", text)))
+    return n.groupBy("file_id").agg(F.count(F.lit(1)).alias("n")).select(F.col("file_id").alias("id"), "n")
+
+
+def iifes(spark, sf_dir):
+    text = r"concat(CASE WHEN c_custkey % 3 = 0 THEN '(function(){' WHEN c_custkey % 3 = 1 THEN '(()=>{' ELSE '(function q(){' END, c_custkey, '})()')"
+    return detect.iifes(programs.nodes(made(spark, sf_dir, "customer", "c_custkey", text))).select(F.col("file_id").alias("id"), "type")
+
+
+def constant_members(spark, sf_dir):
+    text = r"concat(CASE WHEN c_custkey % 3 = 0 THEN 'o.k' WHEN c_custkey % 3 = 1 THEN 'o[\"k' ELSE 'o[k' END, c_custkey, CASE WHEN c_custkey % 3 = 1 THEN '\"]' WHEN c_custkey % 3 = 2 THEN ']' ELSE '' END)"
+    return detect.constant_members(programs.nodes(made(spark, sf_dir, "customer", "c_custkey", text))).select(F.col("file_id").alias("id"), "property_name")
+
+
+def nearest_assignments(spark, sf_dir):
+    """Which of three assignments each of three reads takes."""
+    text = r"concat('var a=1', c_custkey, ';f(a);a=2;g(a);a=3;h(a)')"
+    p = made(spark, sf_dir, "customer", "c_custkey", text)
+    nodes = programs.nodes(p)
+    out = detect.nearest_assignments(nodes, programs.references(p))
+    return out.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_reads"), F.count("assigned_at").alias("n_assigned"), F.count_distinct("assigned_at").alias("n_sources")).withColumnRenamed("file_id", "id")
+
+
+def bundle_modules(spark, sf_dir):
+    m = programs.modules(made(spark, sf_dir, "customer", "c_custkey", BUNDLE_TEXT))
+    return m.select(F.col("file_id").alias("id"), "module_id", "is_entry", "path", "code")
+
+
+def bundles(spark, sf_dir):
+    r = programs.rewrite(made(spark, sf_dir, "customer", "c_custkey", BUNDLE_TEXT))
+    return r.select(F.col("file_id").alias("id"), "bundle_type", "entry_id", F.col("n_modules").cast("long").alias("n_modules"))
+
+
+def dep_paths(spark, sf_dir):
+    m = programs.modules(made(spark, sf_dir, "customer", "c_custkey", BROWSERIFY_TEXT))
+    return m.select(F.col("file_id").alias("id"), "module_id", "path")
+
+
+def require_join(spark, sf_dir):
+    """Edges of the module graph whose target is in the bundle or not."""
+    m = programs.modules(made(spark, sf_dir, "customer", "c_custkey", BROWSERIFY_TEXT))
+    e = detect.module_edges(m)
+    lost = detect.unresolved(e, m).select("file_id", "target_id", F.lit(True).alias("missing"))
+    return e.join(lost, ["file_id", "target_id"], "left").select(F.col("file_id").alias("id"), "module_id", "target_id", "name", F.coalesce("missing", F.lit(False)).alias("missing"))
+
+
+def string_array_table(spark, sf_dir):
+    text = r"concat('function q(){const s=[\"', c_name, '\",\"', c_mktsegment, '\",undefined];q=function(){return s};return q()}')"
+    a = programs.string_arrays(made(spark, sf_dir, "customer", "c_custkey", text))
+    return a.select(F.col("file_id").alias("id"), "original_name", F.col("length").cast("long").alias("length"), F.array_join("elements", "|", "undefined").alias("elements"))
+
+
+def rewrite_counts(spark, sf_dir):
+    text = r"concat('x=!0;y=\"a\"+\"', c_mktsegment, '\";', CASE WHEN c_custkey % 2 = 0 THEN 'void f()' ELSE '' END)"
+    r = programs.rewrites(made(spark, sf_dir, "customer", "c_custkey", text)).filter("transform in ('unminify-booleans', 'merge-strings', 'unary-expressions')")
+    return r.groupBy("transform").agg(F.sum("changes").cast("long").alias("changes"))
+
+
+def errors(spark, sf_dir):
+    text = r"concat('f(', CASE WHEN c_custkey % 7 = 0 THEN '' ELSE ')' END)"
+    return programs.rewrite(made(spark, sf_dir, "customer", "c_custkey", text)).select(F.col("file_id").alias("id"), F.col("error").isNotNull().alias("failed"))
+
+
+def bookmarklets(spark, sf_dir):
+    text = r"concat('javascript:', n_name, '%20%3D%201+1%', n_nationkey % 10, 'x')"
+    p = readers.bookmarklets(made(spark, sf_dir, "nation", "n_nationkey", text))
+    return p.select(F.col("file_id").alias("id"), "code")
+
+
+def previews(spark, sf_dir):
+    text = "repeat(c_mktsegment, 1 + cast(c_custkey % 20 as int))"
+    return made(spark, sf_dir, "customer", "c_custkey", text).select(F.col("file_id").alias("id"), columns.preview(F.col("code")).alias("preview"))
+
+
+def module_paths(spark, sf_dir):
+    d = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.col("c_custkey"), F.when(F.col("c_custkey") % 2 == 0, ".js").otherwise("")).alias("m"), (F.col("c_custkey") % 5 == 0).alias("e"))
+    return d.select("id", columns.module_path(F.col("m"), F.col("e")).alias("path"))
+
+
+def path_guard(spark, sf_dir):
+    d = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.expr("CASE WHEN c_custkey % 4 = 0 THEN concat('../', c_name) WHEN c_custkey % 4 = 1 THEN concat('a/..b/', c_name) WHEN c_custkey % 4 = 2 THEN concat('a\\\\..\\\\', c_name) ELSE concat('./', c_name) END").alias("p"))
+    return d.select("id", columns.escapes(F.col("p")).alias("escapes"))
+
+
+def int32(spark, sf_dir):
+    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), columns.to_int32(F.expr("o_orderkey * 1000003 - 2000000000")).alias("v"))
+
+
+def compact(spark, sf_dir):
+    text = r"concat('if (a) {\n  f( ', c_custkey, ' );\n}')"
+    return programs.compacted(made(spark, sf_dir, "customer", "c_custkey", text)).select(F.col("file_id").alias("id"), "code")
+
+
+def sql_fold(spark, sf_dir):
+    from scriptloom.functions.sql import register
+
+    register(spark)
+    return made(spark, sf_dir, "customer", "c_custkey", "concat(c_custkey, '*2+1')").select(F.col("file_id").alias("id"), F.expr("js_fold(code)").alias("value"))
+
+
+QUERIES = {
+    "js_call_args": call_args, "js_inline_scripts": inline_scripts, "js_node_counts": node_counts, "js_results": results, "js_binding_stats": binding_stats, "js_read_only_objects": read_only_objects,
+    "js_temporaries": temporaries, "js_infinite_loops": infinite_loops, "js_safe_literals": safe_literals, "js_iifes": iifes, "js_constant_members": constant_members, "js_nearest_assignments": nearest_assignments,
+    "js_bundle_modules": bundle_modules, "js_bundles": bundles, "js_dep_paths": dep_paths, "js_require_join": require_join, "js_string_array_table": string_array_table, "js_rewrite_counts": rewrite_counts,
+    "js_errors": errors, "js_bookmarklets": bookmarklets, "js_previews": previews, "js_module_paths": module_paths, "js_path_guard": path_guard, "js_int32": int32, "js_compact": compact, "js_sql_fold": sql_fold,
+    **RULE_QUERIES,
+}
+
+ORACLES = {
+    "js_call_args": r"SELECT page_id, 'track' AS callee, CAST(regexp_extract(html, 'track\((\d+)\)', 1) AS BIGINT) AS arg FROM pages",
+    "js_inline_scripts": r"SELECT page_id, CAST(unnest(range(len(s))) AS INTEGER) AS idx, unnest(s) AS script FROM (SELECT page_id, regexp_extract_all(html, '(?s)<script[^>]*>(.*?)</script>', 1) AS s FROM pages)",
+    "js_node_counts": "SELECT page_id, t.type, CAST(t.n AS BIGINT) AS n FROM pages, (VALUES ('Program', 1), ('VariableDeclaration', 1), ('VariableDeclarator', 1), ('Identifier', 2), ('StringLiteral', 1), ('ExpressionStatement', 1), ('CallExpression', 1), ('NumericLiteral', 1)) t(type, n)",
+    "js_results": r"""SELECT page_id, 'var t = "</p>";' || chr(10) || 'track(' || regexp_extract(html, 'track\((\d+)\)', 1) || ');' AS code, true AS ok FROM pages""",
+    "js_binding_stats": "SELECT c_custkey AS id, t.name, t.kind, t.c AS is_constant, CAST(t.r AS BIGINT) AS n_refs, CAST(t.w AS BIGINT) AS n_writes FROM customer, (VALUES ('a', 'const', true, 4, 0), ('b', 'let', false, 1, 2), ('f', 'hoisted', true, 1, 0), ('p', 'param', true, 1, 0)) t(name, kind, c, r, w)",
+    "js_read_only_objects": "SELECT c_custkey AS id, 'o' AS name FROM customer WHERE c_custkey % 3 = 2",
+    "js_temporaries": "SELECT c_custkey AS id, 't' AS name FROM customer UNION ALL SELECT c_custkey, 'u' FROM customer WHERE c_custkey % 3 <> 0",
+    "js_infinite_loops": "SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN 'ForStatement' ELSE 'WhileStatement' END AS type FROM customer WHERE c_custkey % 4 < 2",
+    "js_safe_literals": "SELECT c_custkey AS id, CAST(5 AS BIGINT) AS n FROM customer",
+    "js_iifes": "SELECT c_custkey AS id, 'CallExpression' AS type FROM customer WHERE c_custkey % 3 < 2",
+    "js_constant_members": "SELECT c_custkey AS id, 'k' || c_custkey AS property_name FROM customer WHERE c_custkey % 3 < 2",
+    "js_nearest_assignments": "SELECT c_custkey AS id, CAST(3 AS BIGINT) AS n_reads, CAST(2 AS BIGINT) AS n_assigned, CAST(2 AS BIGINT) AS n_sources FROM customer",
+    "js_bundle_modules": """SELECT c_custkey AS id, CAST(m AS VARCHAR) AS module_id, m = c_custkey % 3 AS is_entry, CASE WHEN m = c_custkey % 3 THEN './index.js' ELSE './' || m || '.js' END AS path,
+        CASE WHEN m = 0 THEN 'module.exports = ' || c_custkey || ';'
+             WHEN m = 1 THEN 'require("' || CASE WHEN c_custkey % 3 = 0 THEN './index.js' ELSE './0.js' END || '");' || chr(10) || 'require("' || CASE WHEN c_custkey % 3 = 2 THEN './index.js' ELSE './2.js' END || '");'
+             ELSE 'require(' || CASE WHEN c_custkey % 5 > 2 THEN '/*missing*/ ' ELSE '' END || '"' || CASE WHEN c_custkey % 5 = c_custkey % 3 THEN './index.js' ELSE './' || (c_custkey % 5) || '.js' END || '");' END AS code
+        FROM customer, range(3) t(m)""",
+    "js_bundles": "SELECT c_custkey AS id, 'webpack' AS bundle_type, CAST(c_custkey % 3 AS VARCHAR) AS entry_id, CAST(3 AS BIGINT) AS n_modules FROM customer",
+    "js_dep_paths": "SELECT c_custkey AS id, t.m AS module_id, CASE t.m WHEN '1' THEN 'tmp0/index.js' WHEN '2' THEN 'tmp0/b.js' WHEN '3' THEN 'node_modules/lib' || c_nationkey || '/index.js' ELSE 'c.js' END AS path FROM customer, (VALUES ('1'), ('2'), ('3'), ('4')) t(m)",
+    "js_require_join": "SELECT c_custkey AS id, t.m AS module_id, t.g AS target_id, CASE t.g WHEN '3' THEN 'lib' || c_nationkey ELSE t.n END AS name, false AS missing FROM customer, (VALUES ('1', '2', './b'), ('1', '3', ''), ('2', '4', '../c')) t(m, g, n)",
+    "js_string_array_table": "SELECT c_custkey AS id, 'q' AS original_name, CAST(3 AS BIGINT) AS length, c_name || '|' || c_mktsegment || '|undefined' AS elements FROM customer",
+    "js_rewrite_counts": "SELECT 'unminify-booleans' AS transform, count(*) AS changes FROM customer UNION ALL SELECT 'merge-strings', count(*) FROM customer UNION ALL SELECT 'unary-expressions', count(*) FROM customer WHERE c_custkey % 2 = 0",
+    "js_errors": "SELECT c_custkey AS id, c_custkey % 7 = 0 AS failed FROM customer",
+    "js_bookmarklets": "SELECT CAST(n_nationkey AS BIGINT) AS id, n_name || ' = 1+1%' || (n_nationkey % 10) || 'x' AS code FROM nation",
+    "js_previews": "SELECT c_custkey AS id, CASE WHEN length(r) <= 100 THEN r ELSE substr(r, 1, 70) || ' … ' || right(r, 30) END AS preview FROM (SELECT c_custkey, repeat(c_mktsegment, 1 + c_custkey % 20) AS r FROM customer)",
+    "js_module_paths": "SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN './index.js' ELSE './' || c_custkey || '.js' END AS path FROM customer",
+    "js_path_guard": "SELECT c_custkey AS id, c_custkey % 4 IN (0, 2) AS escapes FROM customer",
+    "js_int32": "SELECT o_orderkey AS id, ((o_orderkey * 1000003 - 2000000000 + 2147483648 + 4294967296) % 4294967296) - 2147483648 AS v FROM orders",
+    "js_compact": "SELECT c_custkey AS id, 'if(a){f(' || c_custkey || ');}' AS code FROM customer",
+    "js_sql_fold": "SELECT c_custkey AS id, CAST(c_custkey * 2 + 1 AS VARCHAR) AS value FROM customer",
+    **{k: q.oracle() for k, q in RULE_QUERIES.items()},
+}
