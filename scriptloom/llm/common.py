@@ -19,12 +19,11 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
     Only where the setting is absent, as in tests on one machine, a temporary
-    folder of this machine takes its place, and is set for the session.
+    folder of this machine takes its place.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", "scriptloom")
-        spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
