@@ -32,10 +32,20 @@ thunder then-and-there action edition ration the-times""".split()
 PATHS = ["/en/1", "/de/84", "/fr/144.html", "/es/245/", "/en/270?page=2", "/fr/92#top", "/index.html", ""]
 ENDINGS = ["test", "example.com", "example.org", "example.net", "invalid"]
 
+
+
+def paired(words: list[str], mark: str, shift: int) -> list[str]:
+    """Words joined in pairs: a hyphen alone, or length, must not tell one kind from the other."""
+    return [f"{a}{mark}{b}" for a, b in zip(words, words[shift:], strict=False)]
+
+
 #: The default labelled table (url, 1 to block): every host once bare and once below a subdomain, with paths in turn.
 LABELLED = [
     (f"http://{sub}{host}.{ENDINGS[(i + 2 * j) % len(ENDINGS)]}{PATHS[(i + j) % len(PATHS)]}", label)
-    for label, hosts in ((1, BLOCK_HOSTS), (0, ALLOW_HOSTS))
+    for label, hosts in (
+        (1, BLOCK_HOSTS + paired([w for h in BLOCK_HOSTS for w in h.split("-")][::2], "-", 1)),
+        (0, ALLOW_HOSTS + paired(ALLOW_HOSTS, "-", 1) + paired(ALLOW_HOSTS, "", 5)),
+    )
     for i, host in enumerate(hosts)
     for j, sub in enumerate(("", "www.", "blog.", "m."))
 ]
@@ -64,7 +74,7 @@ def buckets(host: Column, path: Column, size: int) -> Column:
     return F.array_distinct(F.transform(both, lambda g: F.pmod(F.xxhash64(g), F.lit(size)).cast("int")))
 
 
-def fit(spark: SparkSession, labelled=LABELLED, size: int = 8192, ridge: float = 0.002) -> tuple[list[float], float]:
+def fit(spark: SparkSession, labelled=LABELLED, size: int = 8192, ridge: float = 0.001) -> tuple[list[float], float]:
     """Weights and intercept; the labelled table is small and stays in one partition, so the fit is the same each time."""
     rows = spark.createDataFrame(labelled, "url string, label int").coalesce(1)
     parts = rows.select(F.col("label").cast("double").alias("label"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
