@@ -164,7 +164,7 @@ def same(a, b) -> bool:
         return a == b
     if not isinstance(b, Node) or a.type != b.type:
         return False
-    skip = {"parent", "start", "end", "comment", "raw", "extra"}
+    skip = {"parent", "start", "end", "comment", "raw", "parens"}
     keys = {k for k in a.__dict__ if k not in skip} | {k for k in b.__dict__ if k not in skip}
     return all(same(a.__dict__.get(k), b.__dict__.get(k)) for k in keys)
 

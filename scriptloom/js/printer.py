@@ -296,7 +296,10 @@ class Printer:
         return self.sub(n.tag, CALL) + self.p(n.quasi)
 
     def n_ArrayExpression(self, n):
-        return "[" + self.list(n.elements) + ("," if n.elements and n.elements[-1] is None else "") + "]"
+        out, last = "[", len(n.elements) - 1
+        for i, x in enumerate(n.elements):
+            out += "," if x is None else self.sp * bool(i) + self.sub(x, ASSIGNMENT) + "," * (i < last)
+        return out + "]"
 
     n_ArrayPattern = n_ArrayExpression
 
