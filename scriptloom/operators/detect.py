@@ -107,3 +107,34 @@ def module_edges(modules: DataFrame) -> DataFrame:
 def unresolved(edges: DataFrame, modules: DataFrame) -> DataFrame:
     """Edges whose target is no module of the bundle: a left anti join."""
     return edges.join(modules.select("file_id", F.col("module_id").alias("target_id")), ["file_id", "target_id"], "left_anti")
+
+
+def enclosing(nodes: DataFrame, inner: str, outer: str) -> DataFrame:
+    """For each node of one type, the innermost node of another around it: a range join inside a program on source positions, the narrowest kept."""
+    a = nodes.filter(F.col("type") == inner).select("file_id", "node_id", F.col("start").alias("s"), F.col("end").alias("e"))
+    b = nodes.filter(F.col("type") == outer).select("file_id", F.col("node_id").alias("outer_id"), F.col("start").alias("os"), F.col("end").alias("oe"))
+    both = a.join(b, "file_id").filter("os <= s and e <= oe")
+    return both.groupBy("file_id", "node_id").agg(F.max_by("outer_id", "os").alias("outer_id"))
+
+
+def alias_roots(nodes: DataFrame, bindings: DataFrame, refs: DataFrame, rounds: int = 16) -> DataFrame:
+    """For each constant that only names another variable, the variable at the chain's end (file_id, alias, root).
+
+    Pointer jumping: every round doubles the length of the chains that are
+    followed, and it stops when nothing moves, so the rounds grow with the
+    logarithm of the longest chain.
+    """
+    read = refs.filter("not is_write").select("file_id", F.col("binding_id").alias("target"), "node_id")
+    init = nodes.filter("field = 'init'").select("file_id", "node_id", F.col("parent_id").alias("declarator"))
+    ids = nodes.filter("field = 'id'").select("file_id", F.col("node_id").alias("decl_node_id"), F.col("parent_id").alias("declarator"))
+    own = bindings.filter("is_constant").select("file_id", F.col("binding_id").alias("source"), "decl_node_id")
+    step = read.join(init, ["file_id", "node_id"]).join(ids, ["file_id", "declarator"]).join(own, ["file_id", "decl_node_id"]).select("file_id", "source", "target").cache()
+    for _ in range(rounds):
+        onward = step.select("file_id", F.col("source").alias("target"), F.col("target").alias("further"))
+        jumped = step.join(onward, ["file_id", "target"], "left").select("file_id", "source", F.coalesce("further", "target").alias("target"), F.col("further").isNotNull().alias("moved")).cache()
+        moved = jumped.filter("moved").limit(1).count()
+        step = jumped.drop("moved")
+        if not moved:
+            break
+    names = bindings.select("file_id", "binding_id", "name")
+    return step.join(names.select("file_id", F.col("binding_id").alias("source"), F.col("name").alias("alias")), ["file_id", "source"]).join(names.select("file_id", F.col("binding_id").alias("target"), F.col("name").alias("root")), ["file_id", "target"]).select("file_id", "alias", "root")

@@ -119,6 +119,69 @@ def require_join(spark, sf_dir):
     return e.join(lost, ["file_id", "target_id"], "left").select(F.col("file_id").alias("id"), "module_id", "target_id", "name", F.coalesce("missing", F.lit(False)).alias("missing"))
 
 
+WEBPACK5_TEXT = r"""concat('(()=>{var m={', c_custkey, ':(e,t,r)=>{r(', c_custkey + 1, ')},', c_custkey + 1, ':e=>{e.exports="', c_mktsegment, '"}};var c={};function q(i){var o=c[i];if(o!==undefined)return o.exports;var x=c[i]={exports:{}};m[i](x,x.exports,q);return x.exports}', CASE WHEN c_custkey % 2 = 0 THEN concat('q(q.s=', c_custkey, ')') ELSE '' END, '})();')"""
+CHUNK_TEXT = r"""concat('(self.webpackChunk=self.webpackChunk||[]).push([[', c_custkey, '],{a', c_custkey, ':function(e,t,n){n("b', c_custkey, '")},b', c_custkey, ':function(e){e.exports=', c_nationkey, '}}]);')"""
+ESM_TEXT = r"""concat('!function(e){var t={};function n(r){if(t[r])return t[r].exports;var o=t[r]={i:r,l:!1,exports:{}};return e[r].call(o.exports,o,o.exports,n),o.l=!0,o.exports}n(n.s=0)}([function(e,t,n){const a=n(1);const d=n.n(a);f(d())},function(e,t,n){n.r(t);n.d(t,"', CASE WHEN c_custkey % 2 = 0 THEN 'default' ELSE concat('k', c_custkey) END, '",function(){return g});function g(){return ', c_custkey, '}}]);')"""
+INJECTION_TEXT = r"""concat('!function(e){var t={};function n(r){if(t[r])return t[r].exports;var o=t[r]={i:r,l:!1,exports:{}};return e[r].call(o.exports,o,o.exports,n),o.l=!0,o.exports}n(n.s=0)}([function(e,t,n){(function(g){g.x=', c_custkey, '}).call(this,n(1))},function(e){}]);')"""
+
+
+def unpacked(text, options=programs.Options()):
+    def query(spark, sf_dir):
+        m = programs.modules(made(spark, sf_dir, "customer", "c_custkey", text), options=options)
+        return m.select(F.col("file_id").alias("id"), "module_id", "is_entry", "path", "code")
+
+    return query
+
+
+def mapped_modules(spark, sf_dir):
+    """Modules named by what stands in them."""
+    options = programs.Options(mappings={"lib/auto.js": lambda n: n.type == "StringLiteral" and n.value == "AUTOMOBILE"})
+    return unpacked(WEBPACK5_TEXT, options)(spark, sf_dir).select("id", "module_id", "path")
+
+
+def plugins(spark, sf_dir):
+    """A caller's own step after the rewriting of a program: every string in upper case."""
+
+    def upper(tree, ctx):
+        for n in tree.walk():
+            if n.type == "StringLiteral":
+                n.value = n.value.upper()
+
+    options = programs.Options(plugins={"after_unminify": [upper]})
+    p = made(spark, sf_dir, "nation", "n_nationkey", "concat('x=\"', lower(n_name), '\";y=!0')")
+    return programs.rewrite(p, options=options).select(F.col("file_id").alias("id"), "code")
+
+
+def mangle_some(spark, sf_dir):
+    """Only names that the predicate wants."""
+    options = programs.Options(mangle=lambda name: name.startswith("_0x"), unpack=False)
+    p = made(spark, sf_dir, "orders", "o_orderkey", "concat('let _0x', hex(o_orderkey), '=', o_orderkey, ';let keep=2')")
+    return programs.rewrite(p, options=options).select(F.col("file_id").alias("id"), "code")
+
+
+def alias_closure(spark, sf_dir):
+    """The variable at the end of a chain of aliases, for every alias: refs joined with bindings, over and over."""
+    text = "concat('const d', c_custkey, '=f;const a=d', c_custkey, ';const b=a;const c=b;c(1)')"
+    p = made(spark, sf_dir, "customer", "c_custkey", text)
+    nodes, b = programs.nodes(p), programs.bindings(p)
+    found = detect.alias_roots(nodes, b, programs.references(p))
+    return found.select(F.col("file_id").alias("id"), "alias", "root")
+
+
+def ancestors(spark, sf_dir):
+    """The innermost function around each call."""
+    text = "concat('function a', c_custkey, '(){b();function c(){d()}}e()')"
+    n = programs.nodes(made(spark, sf_dir, "customer", "c_custkey", text))
+    return detect.enclosing(n, "CallExpression", "FunctionDeclaration").groupBy("file_id").agg(F.count(F.lit(1)).alias("n_inside"), F.count_distinct("outer_id").alias("n_functions")).withColumnRenamed("file_id", "id")
+
+
+def unsafe_off(spark, sf_dir):
+    """Programs left as they are but for the first stage."""
+    options = programs.Options(unminify=False, deobfuscate=False, jsx=False, unpack=False)
+    p = made(spark, sf_dir, "orders", "o_orderkey", "concat('if(a)x=!0,y=', o_orderkey)")
+    return programs.rewrite(p, options=options).select(F.col("file_id").alias("id"), "code")
+
+
 def string_array_table(spark, sf_dir):
     text = r"concat('function q(){const s=[\"', c_name, '\",\"', c_mktsegment, '\",undefined];q=function(){return s};return q()}')"
     a = programs.string_arrays(made(spark, sf_dir, "customer", "c_custkey", text))
@@ -178,6 +241,8 @@ QUERIES = {
     "js_temporaries": temporaries, "js_infinite_loops": infinite_loops, "js_safe_literals": safe_literals, "js_iifes": iifes, "js_constant_members": constant_members, "js_nearest_assignments": nearest_assignments,
     "js_bundle_modules": bundle_modules, "js_bundles": bundles, "js_dep_paths": dep_paths, "js_require_join": require_join, "js_string_array_table": string_array_table, "js_rewrite_counts": rewrite_counts,
     "js_errors": errors, "js_bookmarklets": bookmarklets, "js_previews": previews, "js_module_paths": module_paths, "js_path_guard": path_guard, "js_int32": int32, "js_compact": compact, "js_sql_fold": sql_fold,
+    "js_webpack5_modules": unpacked(WEBPACK5_TEXT), "js_chunk_modules": unpacked(CHUNK_TEXT), "js_esm_modules": unpacked(ESM_TEXT), "js_var_injections": unpacked(INJECTION_TEXT), "js_mappings": mapped_modules,
+    "js_plugins": plugins, "js_mangle_some": mangle_some, "js_inline_aliases": alias_closure, "js_enclosing_functions": ancestors, "js_prepare_only": unsafe_off,
     **RULE_QUERIES,
 }
 
@@ -212,5 +277,20 @@ ORACLES = {
     "js_int32": "SELECT o_orderkey AS id, ((o_orderkey * 1000003 - 2000000000 + 2147483648 + 4294967296) % 4294967296) - 2147483648 AS v FROM orders",
     "js_compact": "SELECT c_custkey AS id, 'if(a){f(' || c_custkey || ');}' AS code FROM customer",
     "js_sql_fold": "SELECT c_custkey AS id, CAST(c_custkey * 2 + 1 AS VARCHAR) AS value FROM customer",
+    "js_webpack5_modules": """SELECT c_custkey AS id, CAST(c_custkey + m AS VARCHAR) AS module_id, m = 0 AND c_custkey % 2 = 0 AS is_entry, CASE WHEN m = 0 AND c_custkey % 2 = 0 THEN './index.js' ELSE './' || (c_custkey + m) || '.js' END AS path,
+        CASE WHEN m = 0 THEN 'require("./' || (c_custkey + 1) || '.js");' ELSE 'module.exports = "' || c_mktsegment || '";' END AS code FROM customer, range(2) t(m)""",
+    "js_chunk_modules": """SELECT c_custkey AS id, m || c_custkey AS module_id, false AS is_entry, './' || m || c_custkey || '.js' AS path,
+        CASE WHEN m = 'a' THEN 'require("./b' || c_custkey || '.js");' ELSE 'module.exports = ' || c_nationkey || ';' END AS code FROM customer, (VALUES ('a'), ('b')) t(m)""",
+    "js_esm_modules": """SELECT c_custkey AS id, CAST(m AS VARCHAR) AS module_id, m = 0 AS is_entry, CASE WHEN m = 0 THEN './index.js' ELSE './1.js' END AS path,
+        CASE WHEN m = 0 THEN 'const a = require("./1.js");' || chr(10) || 'const d = a.default;' || chr(10) || 'f(d);'
+             ELSE 'export ' || CASE WHEN c_custkey % 2 = 0 THEN 'default function g' ELSE 'function k' || c_custkey END || '() {' || chr(10) || '  return ' || c_custkey || ';' || chr(10) || '}' END AS code FROM customer, range(2) t(m)""",
+    "js_var_injections": """SELECT c_custkey AS id, CAST(m AS VARCHAR) AS module_id, m = 0 AS is_entry, CASE WHEN m = 0 THEN './index.js' ELSE './1.js' END AS path,
+        CASE WHEN m = 0 THEN 'var g = require("./1.js");' || chr(10) || 'g.x = ' || c_custkey || ';' ELSE '' END AS code FROM customer, range(2) t(m)""",
+    "js_mappings": """SELECT c_custkey AS id, CAST(c_custkey + m AS VARCHAR) AS module_id, CASE WHEN m = 1 AND c_mktsegment = 'AUTOMOBILE' THEN './lib/auto.js' WHEN m = 0 AND c_custkey % 2 = 0 THEN './index.js' ELSE './' || (c_custkey + m) || '.js' END AS path FROM customer, range(2) t(m)""",
+    "js_plugins": """SELECT CAST(n_nationkey AS BIGINT) AS id, 'x = "' || upper(n_name) || '";' || chr(10) || 'y = true;' AS code FROM nation""",
+    "js_mangle_some": "SELECT o_orderkey AS id, 'let vLN' || o_orderkey || ' = ' || o_orderkey || ';' || chr(10) || 'let keep = 2;' AS code FROM orders",
+    "js_inline_aliases": "SELECT c_custkey AS id, a AS alias, 'd' || c_custkey AS root FROM customer, (VALUES ('a'), ('b'), ('c')) t(a)",
+    "js_enclosing_functions": "SELECT c_custkey AS id, CAST(2 AS BIGINT) AS n_inside, CAST(2 AS BIGINT) AS n_functions FROM customer",
+    "js_prepare_only": "SELECT o_orderkey AS id, 'if (a) {' || chr(10) || '  x = !0;' || chr(10) || '  y = ' || o_orderkey || ';' || chr(10) || '}' AS code FROM orders",
     **{k: q.oracle() for k, q in RULE_QUERIES.items()},
 }
