@@ -213,6 +213,8 @@ def encode_uri_component(s: str) -> str:
 class Interpreter:
     def __init__(self, steps: int = 3_000_000):
         self.steps, self.depth = steps, 0
+        self.statements = {k[2:]: getattr(self, k) for k in dir(self) if k.startswith("s_")}
+        self.expressions = {k[2:]: getattr(self, k) for k in dir(self) if k.startswith("e_")}
         self.globals = Env()
         g = self.globals.vars
 
@@ -235,6 +237,7 @@ class Interpreter:
         g["Array"] = native(lambda t, a: Obj(items=[UNDEFINED] * int(a[0]) if len(a) == 1 and isinstance(a[0], float) and a[0] < 1e6 else list(a)))
         g["Object"] = native(lambda t, a: Obj())
         g["Error"] = native(lambda t, a: Obj({"message": to_str(arg(a, 0))}))
+        g["RegExp"] = native(lambda t, a: Obj({"source": to_str(arg(a, 0)), "flags": to_str(arg(a, 1)) if len(a) > 1 else ""}))
         g["Function"] = native(lambda t, a: _no("Function"))
         m = {k: native(lambda t, a, f=f: f(to_num(arg(a, 0)))) for k, f in (("floor", lambda x: float(math.floor(x)) if math.isfinite(x) else x), ("ceil", lambda x: float(math.ceil(x)) if math.isfinite(x) else x), ("abs", abs), ("round", lambda x: float(math.floor(x + 0.5))), ("sqrt", lambda x: math.sqrt(x) if x >= 0 else math.nan))}
         m["pow"] = native(lambda t, a: numbers.power(to_num(arg(a, 0)), to_num(arg(a, 1))))
@@ -284,8 +287,10 @@ class Interpreter:
             self.s(n, env)
 
     def s(self, n: Node, env: Env) -> None:
-        self.tick()
-        f = getattr(self, "s_" + n.type, None)
+        self.steps -= 1
+        if self.steps < 0:
+            raise Unsupported("the step budget is used up")
+        f = self.statements.get(n.type)
         if f is None:
             raise Unsupported(n.type)
         f(n, env)
@@ -427,8 +432,10 @@ class Interpreter:
     # expressions
 
     def e(self, n: Node, env: Env):
-        self.tick()
-        f = getattr(self, "e_" + n.type, None)
+        self.steps -= 1
+        if self.steps < 0:
+            raise Unsupported("the step budget is used up")
+        f = self.expressions.get(n.type)
         if f is None:
             raise Unsupported(n.type)
         return f(n, env)
@@ -455,10 +462,13 @@ class Interpreter:
         return Obj({"source": n.pattern, "flags": n.flags})
 
     def e_Identifier(self, n, env):
-        home = env.home(n.name)
-        if home is None:
-            raise Thrown(Obj({"message": f"{n.name} is not defined"}))
-        return home.vars[n.name]
+        name = n.name
+        while env is not None:
+            found = env.vars
+            if name in found:
+                return found[name]
+            env = env.parent
+        raise Thrown(Obj({"message": f"{name} is not defined"}))
 
     def e_ThisExpression(self, n, env):
         home = env.home("this")
@@ -562,7 +572,19 @@ class Interpreter:
         return numbers.binary(op, to_num(a), to_num(b))
 
     def e_BinaryExpression(self, n, env):
-        return self.operate(n.operator, self.e(n.left, env), self.e(n.right, env))
+        a, b, op = self.e(n.left, env), self.e(n.right, env), n.operator
+        if a.__class__ is float and b.__class__ is float:
+            if op == "+":
+                return a + b
+            if op == "-":
+                return a - b
+            if op == "*":
+                return a * b
+            if op == "<":
+                return a < b
+            if op == "===":
+                return a == b
+        return self.operate(op, a, b)
 
     def place(self, n, env):
         o = self.e(n.object, env)
@@ -823,7 +845,7 @@ def _reverse(t, a):
 
 STRING = {
     "charAt": lambda t, a: _sub(t, _int(a, 0, 0), _int(a, 0, 0) + 1) if _int(a, 0, 0) >= 0 else "",
-    "charCodeAt": lambda t, a: float(u[i]) if 0 <= (i := _int(a, 0, 0)) < len(u := units(t)) else math.nan,
+    "charCodeAt": lambda t, a: (float(ord(t[i])) if 0 <= (i := _int(a, 0, 0)) < len(t) else math.nan) if t.isascii() else float(u[i]) if 0 <= (i := _int(a, 0, 0)) < len(u := units(t)) else math.nan,
     "codePointAt": lambda t, a: float(ord(from_units(units(t)[_int(a, 0, 0) :])[0])) if _int(a, 0, 0) < _length(t) else UNDEFINED,
     "indexOf": lambda t, a: float(t.find(to_str(arg(a, 0)), _int(a, 1, 0))),
     "lastIndexOf": lambda t, a: float(t.rfind(to_str(arg(a, 0)))),
