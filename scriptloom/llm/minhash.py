@@ -42,6 +42,8 @@ from scriptloom.llm.common import table, written
 
 ROWS, BANDS = 7, 28
 SHINGLE = 5
+#: Family members are broadcast up to so many (about 40 bytes each); beyond, the join with the texts is a shuffle.
+BROADCAST_ROWS = 1_000_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _rng = np.random.default_rng(20240229)
 _ODD = _rng.integers(0, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -113,7 +115,6 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     Alternating large-star and small-star steps; each is an aggregation and a
     join, and each result is a written table, so no lineage grows.
     """
-    spark = edges.sparkSession
     now = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     before = None
     while True:
@@ -129,7 +130,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         before = state
     stars = now.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
     roots = now.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("root"))
-    return stars.union(roots.join(stars, "node", "left_anti")) if spark else stars
+    return stars.union(roots.join(stars, "node", "left_anti"))
 
 
 def forest(ids: np.ndarray, sets: list[np.ndarray], percent: int, left: int | None = None) -> list[tuple[int, int]]:
@@ -203,7 +204,9 @@ def confirmed(docs: DataFrame, family: DataFrame, percent: int, block: int) -> D
             sets = [shingle_set(x.as_py()).tobytes() for x in b.column(4)]
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(sets, pa.binary())], ["node", "family", "blocks", "mine", "set"])
 
-    members = placed.join(texts, "node").select("node", "family", "blocks", "mine", "text").mapInArrow(to_sets, "node long, family long, blocks int, mine int, set binary")
+    if family.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # then only the texts of members are shuffled
+        placed = F.broadcast(placed)
+    members = texts.join(placed, "node").select("node", "family", "blocks", "mine", "text").mapInArrow(to_sets, "node long, family long, blocks int, mine int, set binary")
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("mine", o).alias("i"), F.greatest("mine", o).alias("j")))
     dealt = members.withColumn("pair", F.explode(pair)).select("node", "family", "mine", "set", "pair.i", "pair.j")
 
