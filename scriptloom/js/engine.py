@@ -105,12 +105,14 @@ def apply(ctx: Context, rules: list[Rule]) -> int:
         ctx.budget -= 1
         if ctx.budget < 0:
             return
-        if first and run(n, first.get(n.type, ())):
+        if first and n.type in first and run(n, first[n.type]):
             return
-        for c in list(n.kids()):
+        for c in n.kids():
             if c.parent is n:
                 visit(c)
-        run(n, handlers.get(n.type, ()))
+        found = handlers.get(n.type)
+        if found:
+            run(n, found)
 
     visit(ctx.program)
     return sum(ctx.changes.values()) - start

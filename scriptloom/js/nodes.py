@@ -63,13 +63,19 @@ class Node:
             if isinstance(x, Node):
                 x.parent = self
 
-    def kids(self) -> Iterator[Node]:
-        for k in FIELDS[self.type]:
-            v = self.__dict__[k]
-            if isinstance(v, list):
-                yield from (x for x in list(v) if x is not None)
+    def kids(self) -> list[Node]:
+        """The children, in source order."""
+        fields = FIELDS[self.type]
+        if not fields:
+            return []
+        own, out = self.__dict__, []
+        for k in fields:
+            v = own[k]
+            if v.__class__ is list:
+                out += [x for x in v if x is not None]
             elif v is not None:
-                yield v
+                out.append(v)
+        return out
 
     def walk(self) -> Iterator[Node]:
         """This node and all below, parents first; safe for deep trees."""
@@ -77,7 +83,7 @@ class Node:
         while todo:
             n = todo.pop()
             yield n
-            todo.extend(reversed(list(n.kids())))
+            todo += n.kids()[::-1]
 
     def place(self) -> tuple[str, int | None]:
         """The parent's field that holds this node, and the index in it."""

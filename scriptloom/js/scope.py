@@ -93,7 +93,7 @@ class Scopes:
             inner = self.enter(n, s)
             if n.type in ("Identifier", "JSXIdentifier"):
                 pending.append((n, inner))
-            todo.extend((c, inner) for c in reversed(list(n.kids())))
+            todo += [(c, inner) for c in n.kids()[::-1]]
         for n, s in pending:
             self.resolve(n, s)
 

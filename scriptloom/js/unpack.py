@@ -11,6 +11,18 @@ from scriptloom.js.printer import to_code
 from scriptloom.js.scope import Binding, Scopes, rename
 
 
+class Lazy:
+    """A value made when it is first asked for."""
+
+    def __init__(self, make: Callable):
+        self.make, self.value = make, None
+
+    def __call__(self):
+        if self.value is None:
+            self.value = self.make()
+        return self.value
+
+
 class Module:
     def __init__(self, id_: str, tree: Node, entry: bool, path: str | None = None, dependencies: dict[str, str] | None = None):
         self.id, self.tree, self.is_entry, self.dependencies = id_, tree, entry, dependencies or {}
@@ -117,7 +129,7 @@ WEBPACK = ("module", "exports", "require")
 BROWSERIFY = ("require", "module", "exports")
 
 
-def webpack4(n: Node, scopes: Scopes) -> Bundle | None:
+def webpack4(n: Node, scopes: Lazy) -> Bundle | None:
     """(function (modules) { function require(id) {...} ... })([...])"""
     if n.type != "CallExpression" or n.callee.type not in ("FunctionExpression", "ArrowFunctionExpression") or len(n.arguments) < 1 or not n.callee.params or n.callee.body.type != "BlockStatement":
         return None
@@ -128,12 +140,12 @@ def webpack4(n: Node, scopes: Scopes) -> Bundle | None:
     req = next((f for f in n.callee.body.body if is_require(f, name)), None)
     if req is None:
         return None
-    b = scopes.bound[id(req.id)]
+    b = scopes().bound[id(req.id)]
     entry = assigned_entry(b) or required_entry(b) or ""
     return webpack(found, entry)
 
 
-def webpack5(n: Node, scopes: Scopes) -> Bundle | None:
+def webpack5(n: Node, scopes: Lazy) -> Bundle | None:
     """{ var modules = {...}; function require(id) {...} ... }"""
     if n.type not in ("BlockStatement", "Program"):
         return None
@@ -144,11 +156,11 @@ def webpack5(n: Node, scopes: Scopes) -> Bundle | None:
             found = container(d.init)
             req = found and next((f for f in n.body[i + 1 :] if is_require(f, d.id.name)), None)
             if req:
-                return webpack(found, assigned_entry(scopes.bound[id(req.id)]) or "")
+                return webpack(found, assigned_entry(scopes().bound[id(req.id)]) or "")
     return None
 
 
-def webpack_chunk(n: Node, scopes: Scopes) -> Bundle | None:
+def webpack_chunk(n: Node, scopes: Lazy) -> Bundle | None:
     """(self.webpackX = self.webpackX || []).push([[ids], modules, ...])"""
     if not (n.type == "CallExpression" and is_member(n.callee, prop="push") and len(n.arguments) == 1 and is_(n.arguments[0], "ArrayExpression") and len(n.arguments[0].elements) >= 2):
         return None
@@ -171,7 +183,7 @@ def webpack(found: dict[str, Node], entry: str) -> Bundle:
     return bundle
 
 
-def browserify(n: Node, scopes: Scopes) -> Bundle | None:
+def browserify(n: Node, scopes: Lazy) -> Bundle | None:
     """f({id: [function (require, module, exports) {...}, {name: id}]}, {}, [entry])"""
     if n.type != "CallExpression" or len(n.arguments) != 3:
         return None
@@ -200,9 +212,9 @@ def browserify(n: Node, scopes: Scopes) -> Bundle | None:
 
 def unpack(tree: Node, mappings: dict | None = None) -> Bundle | None:
     """The first bundle in a program, or None; the tree is used up."""
-    scopes = Scopes(tree)
+    scopes = Lazy(lambda: Scopes(tree))
     for n in tree.walk():
-        for f in (webpack4, webpack5, webpack_chunk, browserify):
+        for f in (webpack4, webpack_chunk, browserify) if n.type == "CallExpression" else (webpack5,) if n.type in ("BlockStatement", "Program") else ():
             bundle = f(n, scopes)
             if bundle is not None:
                 bundle.apply_mappings(mappings or {})
