@@ -7,10 +7,10 @@ import re
 from scriptloom.js import interp
 from scriptloom.js.ask import is_, is_ident, is_iife, is_infinite_loop, is_literal, is_member, is_number, is_string, prop_name
 from scriptloom.js.engine import DONE, Context, Rule, apply
-from scriptloom.js.nodes import FUNCTIONS, LOOPS, Node, block, expr, string
-from scriptloom.js.scope import Binding, Scopes, rename
+from scriptloom.js.nodes import FUNCTIONS, LOOPS, Node, block, expr, ident, string
+from scriptloom.js.scope import Binding, Scopes, rename, uid
 from scriptloom.js.unminify import BY_NAME as UNMINIFY
-from scriptloom.js.unminify import can_precede
+from scriptloom.js.unminify import can_precede, json_tree, literal_value
 
 ARRAY_NAME = "__STRING_ARRAY__"
 
@@ -371,10 +371,14 @@ def decode_strings(ctx: Context, array: StringArray, rotator: Node | None, decod
                 whole = False
                 continue
             if isinstance(v, str):
-                c.replace(string(v))
+                new = string(v)
+            elif v is interp.UNDEFINED or v is None or isinstance(v, (bool, float)):
+                new = ident("undefined") if v is interp.UNDEFINED else json_tree(v)
+                new.comment = "decode error"
             else:
                 c.comment = "decode error"
                 continue
+            c.replace(new)
             done += 1
     return done, whole
 
@@ -408,7 +412,7 @@ def dead_code(n, ctx):
     if inner is not None:
         for b in list(inner.own.values()):
             if scopes.scope_of(n.parent).find(b.name) is not None or any(g == b.name for g in scopes.globals):
-                rename(scopes, b, scopes.free_name(b.name))
+                rename(scopes, b, uid(scopes, b.name))
     return list(taken.body)
 
 
@@ -455,7 +459,11 @@ def collect_assignments(b: Binding, d: Node) -> list[tuple[str, Node, Node]]:
     out = []
     for x in s.parent.__dict__[k][i + 1 :]:
         e = x.expression if x.type == "ExpressionStatement" else None
-        if not (is_(e, "AssignmentExpression", operator="=") and is_member(e.left, b.name) and proxy_value(e.right)):
+        if not (is_(e, "AssignmentExpression", operator="=") and is_member(e.left, b.name)):
+            break
+        if e.right.type == "BinaryExpression" and isinstance(text := literal_value(e.right), str):
+            e.set("right", string(text))
+        if not proxy_value(e.right):
             break
         out.append((prop_name(e.left), e.right, x))
     return out
@@ -569,7 +577,15 @@ def inline_object_props(n, ctx):
     return DONE if inline_object_properties(b, lambda v: is_string(v) or is_number(v)) else None
 
 
-INLINE_OBJECT_PROPS = Rule("inline-object-props", {"VariableDeclarator": inline_object_props}, scope=True)
+def literal_member(n, ctx):
+    """({k: 1}).k"""
+    if n.object.type != "ObjectExpression" or (values := properties_of(n.object)) is None:
+        return None
+    v = values.get(prop_name(n))
+    return v if v is not None and all(is_string(x) or is_number(x) for x in values.values()) else None
+
+
+INLINE_OBJECT_PROPS = Rule("inline-object-props", {"VariableDeclarator": inline_object_props, "MemberExpression": literal_member}, scope=True)
 
 
 def merge_object_assignments(n, ctx):

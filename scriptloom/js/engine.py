@@ -55,6 +55,11 @@ class Context:
 
 def swap(parent: Node, old: Node, new: list[Node]) -> None:
     """Puts new nodes in old's place in parent, also where old has become a child of one of them."""
+    notes = old.__dict__.get("notes")
+    if notes and new and not any(x is old for x in new):  # comments stay with what takes the place
+        new[0].notes = (notes[0], notes[1] if len(new) == 1 else [])
+        if len(new) > 1 and notes[1]:
+            new[-1].notes = ([], notes[1])
     inside, old.parent = old.parent, parent
     old.replace(*new)
     if inside is not parent:

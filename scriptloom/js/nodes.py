@@ -124,7 +124,12 @@ class Node:
             return parent.remove()
         k, i = self.place()
         if i is not None:
-            del parent.__dict__[k][i]
+            siblings = parent.__dict__[k]
+            del siblings[i]
+            notes = self.__dict__.get("notes")
+            if notes and notes[0] and i < len(siblings):  # comments before it stay
+                before, behind = siblings[i].__dict__.get("notes") or ([], [])
+                siblings[i].notes = (notes[0] + before, behind)
         elif k in ("body", "consequent"):
             parent.set(k, Node("BlockStatement", body=[]))
         else:
@@ -170,7 +175,7 @@ def same(a, b) -> bool:
         return a == b
     if not isinstance(b, Node) or a.type != b.type:
         return False
-    skip = {"parent", "start", "end", "comment", "raw", "parens"}
+    skip = {"parent", "start", "end", "comment", "raw", "parens", "directive", "notes"}
     keys = {k for k in a.__dict__ if k not in skip} | {k for k in b.__dict__ if k not in skip}
     return all(same(a.__dict__.get(k), b.__dict__.get(k)) for k in keys)
 

@@ -17,6 +17,8 @@ class JsSyntaxError(ValueError):
 
 
 SPACE = re.compile(r"(?:[ \t\v\f\xa0 ﻿\u1680\u2000-\u200a\u202f\u205f\u3000]+|//[^\n\r\u2028\u2029]*|<!--[^\n\r]*|/\*[\s\S]*?\*/|(?:\r\n|[\n\r\u2028\u2029]))*")
+COMMENT = re.compile(r"//[^\n\r\u2028\u2029]*|/\*[\s\S]*?\*/")
+TRAILING = re.compile(r"[ \t]*(?:/\*[^\n\r]*?\*/[ \t]*)*(?://[^\n\r\u2028\u2029]*|/\*[^\n\r]*?\*/)")
 NEWLINE = re.compile(r"[\n\r\u2028\u2029]")
 NAME = re.compile(r"(?:[^\W\d]|[$_]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})(?:\w|[$\u200c\u200d]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})*")
 NUMBER = re.compile(r"0[xX][0-9a-fA-F_]+n?|0[oO][0-7_]+n?|0[bB][01_]+n?|0[0-7]+(?![\d.eE])|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?n?")
@@ -51,7 +53,7 @@ def unescape(raw: str) -> str:
 
 class Parser:
     def __init__(self, text: str, jsx: bool = True):
-        self.s, self.jsx, self.pos, self.no_in = text, jsx, 0, False
+        self.s, self.jsx, self.pos, self.no_in, self.gap = text, jsx, 0, False, 0
         if text.startswith("#!"):
             self.pos = NEWLINE.search(text + "\n").start()
         self.advance()
@@ -149,6 +151,21 @@ class Parser:
         return body
 
     def statement(self) -> Node:
+        """A statement, with the comments before it and behind it on its line as notes."""
+        before = COMMENT.findall(self.s, self.gap, self.start) if self.start > self.gap else []
+        self.gap = self.start
+        n = self.bare_statement()
+        if before:
+            n.notes = (before, [])
+        at = self.last_end
+        self.gap = at
+        m = TRAILING.match(self.s, at) if self.start > at else None
+        if m and m.end() <= self.start:
+            n.notes = (before, [c for c in COMMENT.findall(m[0])])
+            self.gap = m.end()
+        return n
+
+    def bare_statement(self) -> Node:
         start, v = self.start, self.value
         if self.kind == "punct":
             if v == "{":
@@ -181,6 +198,7 @@ class Parser:
 
     def block(self) -> Node:
         start = self.start
+        self.gap = self.pos
         self.expect("{")
         body = []
         while not self.at("}"):
@@ -307,6 +325,7 @@ class Parser:
                 test = self.expression()
             else:
                 self.expect("default")
+            self.gap = self.pos
             self.expect(":")
             body = []
             while not (self.at("case") or self.at("default") or self.at("}")):

@@ -67,7 +67,7 @@ class Printer:
         if id(n) in self.wrapped:
             text = f"({text})"
         if n.comment:
-            text = f"/*{n.comment}*/{self.sp}{text}" if n.type not in STATEMENTS else f"// {n.comment}\n{text}"
+            text = f"/*{n.comment}*/{text}"
         return text
 
     def list(self, nodes, least: float = ASSIGNMENT) -> str:
@@ -76,7 +76,17 @@ class Printer:
     # statements
 
     def body(self, nodes: list[Node]) -> str:
-        return self.nl.join(self.p(x) for x in nodes)
+        if self.compact:
+            return "".join(self.p(x) for x in nodes)
+        out = []
+        for x in nodes:
+            notes = x.__dict__.get("notes")
+            if notes:
+                before, behind = notes
+                out.append("\n".join([*before, self.p(x)]) + "".join(" " + c for c in behind))
+            else:
+                out.append(self.p(x))
+        return "\n".join(out)
 
     def braces(self, nodes: list[Node]) -> str:
         if not nodes:
@@ -112,9 +122,7 @@ class Printer:
 
     def n_ExpressionStatement(self, n):
         text = self.guarded(n.expression, ("ObjectExpression", "FunctionExpression", "ClassExpression", "ObjectPattern"))
-        if (n.expression.type == "StringLiteral" and not getattr(n, "directive", False)) or re.match(r"let\s*\[", text):
-            text = f"({text})"
-        return text + ";"
+        return f"({text});" if re.match(r"let\s*\[", text) else text + ";"
 
     def clause(self, n: Node) -> str:
         """A statement behind a head."""
@@ -485,7 +493,6 @@ class Printer:
         return f"{self.p(n.namespace)}:{self.p(n.name)}"
 
 
-STATEMENTS = {"ExpressionStatement", "BlockStatement", "VariableDeclaration", "ReturnStatement", "IfStatement"}
 LEFT = {"CallExpression": "callee", "OptionalCallExpression": "callee", "MemberExpression": "object", "OptionalMemberExpression": "object", "TaggedTemplateExpression": "tag", "BinaryExpression": "left", "LogicalExpression": "left", "AssignmentExpression": "left", "ConditionalExpression": "test"}
 
 

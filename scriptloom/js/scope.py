@@ -185,6 +185,11 @@ class Scopes:
         return name
 
 
+def uid(scopes: Scopes, wanted: str) -> str:
+    """_wanted, _wanted2 ...: a name that no variable in the program has."""
+    return scopes.free_name("_" + wanted.lstrip("_"))
+
+
 def written_by(n: Node) -> Node | None:
     """The node that writes to the variable of an identifier, if one does."""
     c, p = n, n.parent
@@ -211,7 +216,7 @@ def rename(scopes: Scopes, b: Binding, name: str) -> None:
         return
     inside = [x for x in scopes.all if x is not b and x.name == name and (x.scope is b.scope or reaches(b, x) or reaches(x, b))]
     for other in inside:
-        rename(scopes, other, scopes.free_name(name))
+        rename(scopes, other, uid(scopes, name))
     for n in {id(x): x for x in [b.ident, *mentions(scopes, b)]}.values():
         p = n.parent
         if p is not None and p.type == "ObjectProperty" and p.shorthand and (p.value is n or (p.value.type == "AssignmentPattern" and p.value.left is n)):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from scriptloom.js.ask import is_, is_ident, is_null, is_number, is_string, is_undefined
 from scriptloom.js.engine import DONE, Context, Rule
 from scriptloom.js.nodes import Node, boolean, ident, same
@@ -144,6 +146,11 @@ def _(n, ctx):
 def _(n, ctx):
     if n.operator not in ("||", "&&") or not is_(n.right, "AssignmentExpression", operator="="):
         return None
+    return joined(n, ctx)
+
+
+def joined(n: Node, ctx: Context) -> Node | None:
+    """x op= value of `x op (x = value)`, temporaries for the object and the key of a member filled in."""
     left, target, value = n.left, n.right.left, n.right.right
     if left.type == "Identifier" and same(left, target):
         return Node("AssignmentExpression", operator=n.operator + "=", left=target, right=value)
@@ -219,10 +226,27 @@ def _(n, ctx):
     return None
 
 
+@rule("nullish-coalescing", "LogicalExpression", scope=True)
+def _(n, ctx):
+    """(t = v) !== null && t !== undefined || d: only the test is left of what was `v ?? d` where the value is not used."""
+    if n.operator != "||":
+        return None
+    found = nullish_test(ctx, n.left, True)
+    if not found or found[0] is found[1] or n.left.type != "LogicalExpression":
+        return None
+    t = temporary(ctx, found[1], 1)
+    if t is None:
+        return None
+    drop(t)
+    return Node("LogicalExpression", operator="??", left=found[0], right=n.right)
+
+
 @rule("nullish-coalescing", "CallExpression", scope=True)
 def _(n, ctx):
     """((v) => v ?? d)(x), which an earlier rewrite leaves of a parameter used as a temporary."""
     f = n.callee
+    if f.type == "ArrowFunctionExpression" and not f.params and not n.arguments and not f.is_async and is_(f.body, "LogicalExpression", operator="??"):
+        return f.body
     if f.type != "ArrowFunctionExpression" or len(f.params) != 1 or len(n.arguments) != 1 or f.is_async or not is_ident(f.params[0]):
         return None
     b = f.body
@@ -235,16 +259,7 @@ def _(n, ctx):
 def _(n, ctx):
     if n.operator != "??" or not is_(n.right, "AssignmentExpression", operator="="):
         return None
-    left, target = n.left, n.right.left
-    if same(left, target) and left.type in ("Identifier", "MemberExpression"):
-        return Node("AssignmentExpression", operator="??=", left=target, right=n.right.right)
-    if left.type == "MemberExpression" and target.type == "MemberExpression" and left.computed == target.computed and same(left.property, target.property):
-        pair = assigned(left.object)
-        t = temporary(ctx, target.object, 1) if pair and same(pair[0], target.object) else None
-        if t:
-            drop(t)
-            return Node("AssignmentExpression", operator="??=", left=Node("MemberExpression", object=pair[1], property=left.property, computed=left.computed), right=n.right.right)
-    return None
+    return joined(n, ctx)
 
 
 # optional chaining
@@ -298,7 +313,7 @@ class Template:
 
     def add(self, e: Node) -> None:
         if is_string(e):
-            self.raws[-1] += template_text(e.value)
+            self.raws[-1] += re.sub(r"(?<!\\)\$", r"\\$", template_text(e.value))
         elif e.type == "TemplateLiteral":
             self.raws[-1] += e.quasis[0].raw
             for q, x in zip(e.quasis[1:], e.expressions, strict=True):

@@ -6,7 +6,7 @@ import json
 import math
 
 from scriptloom.js import numbers
-from scriptloom.js.ask import is_, is_ident, is_literal, is_number, is_pure, is_string, is_undefined, valid_identifier
+from scriptloom.js.ask import IDENTIFIER, is_, is_ident, is_literal, is_number, is_pure, is_string, is_undefined
 from scriptloom.js.engine import DONE, Rule, Skip
 from scriptloom.js.nodes import Node, block, boolean, expr, ident, number, string
 from scriptloom.js.parser import JsSyntaxError, parse_expression
@@ -66,7 +66,7 @@ def _(n, ctx):
 
 @rule("computed-properties", "MemberExpression|OptionalMemberExpression")
 def _(n, ctx):
-    if n.computed and is_string(n.property) and valid_identifier(n.property.value):
+    if n.computed and is_string(n.property) and IDENTIFIER.fullmatch(n.property.value):
         n.computed = False
         n.set("property", ident(n.property.value))
         return DONE
@@ -80,7 +80,7 @@ def _(n, ctx):
     name = n.key.value
     if n.computed and (n.type == "ClassMethod" and name == "constructor" or n.type == "ObjectProperty" and name == "__proto__"):
         return None
-    if valid_identifier(name):
+    if IDENTIFIER.fullmatch(name):
         n.set("key", ident(name))
     elif not n.computed:
         return None
@@ -211,6 +211,8 @@ def _(n, ctx):
     if n.type == "UnaryExpression" and (n.operator != "-" or is_number(n.argument)):
         return None
     v = literal_value(n)
+    if isinstance(v, str) and n.type == "BinaryExpression":
+        return string(v)
     if not isinstance(v, float) or not math.isfinite(v):
         return None
     if n.type == "BinaryExpression" and n.operator == "/" and not v.is_integer():
@@ -362,9 +364,9 @@ def _(n, ctx):
 @rule("split-for-loop-vars", "ForStatement", scope=True)
 def _(n, ctx):
     d = n.init
-    if not is_(d, "VariableDeclaration", kind="var") or n.test is None or n.update is None or not in_list(n):
+    if not is_(d, "VariableDeclaration", kind="var") or not in_list(n):
         return None
-    used = {x.name for part in (n.test, n.update) for x in part.walk() if x.type == "Identifier"}
+    used = {x.name for part in (n.test, n.update) if part is not None for x in part.walk() if x.type == "Identifier"}
     out = []
     while d.declarations and is_ident(d.declarations[0].id) and d.declarations[0].id.name not in used:
         out.append(Node("VariableDeclaration", kind="var", declarations=[d.declarations.pop(0)]))
@@ -398,7 +400,11 @@ def _(n, ctx):
         for x in split:
             x.parent = p.parent
         return DONE
-    return split if in_list(n) else None
+    if in_list(n):
+        return split
+    if p.type in ("IfStatement", "ForStatement", "ForInStatement", "ForOfStatement", "WhileStatement", "DoWhileStatement") and n.key() in ("body", "consequent", "alternate"):
+        return block(*split)
+    return None
 
 
 def template_text(value: str) -> str:

@@ -122,7 +122,7 @@ def program_of(f: Node, names: tuple[str, ...]) -> Node:
     for p, name in zip(f.params, names, strict=False):
         if is_ident(p) and (b := scopes.bound.get(id(p))) is not None:
             rename(scopes, b, name)
-    return Node("Program", body=list(body))
+    return Node("Program", body=[s for s in body if not getattr(s, "directive", False)])
 
 
 WEBPACK = ("module", "exports", "require")
@@ -233,17 +233,18 @@ def requires(tree: Node) -> list[Node]:
 
 
 def inline_var_injections(tree: Node) -> None:
-    """(function (g) {...}).call(exports, require(7)): const g = require(7), and the body."""
-    while len(tree.body) == 1:
-        e = tree.body[0].expression if tree.body[0].type == "ExpressionStatement" else None
-        if not (is_(e, "CallExpression") and is_member(e.callee, prop="call") and e.callee.object.type == "FunctionExpression"):
+    """(function (g) {...}).call(exports, require(7)) as the last statement: var g = require(7), and the body."""
+    while tree.body:
+        s = tree.body[-1]
+        e = s.expression if s.type == "ExpressionStatement" else None
+        if not (is_(e, "CallExpression") and is_member(e.callee, prop="call") and e.callee.object.type == "FunctionExpression" and e.arguments):
             break
         f = e.callee.object
         this, *args = e.arguments
-        if not (is_ident(this, "this") or this.type in ("ThisExpression", "Identifier", "MemberExpression")) or len(args) < len(f.params) or not all(map(is_ident, f.params)):
+        if this.type not in ("ThisExpression", "Identifier", "MemberExpression") or len(args) < len(f.params) or not all(map(is_ident, f.params)):
             break
         declared = [Node("VariableDeclaration", kind="var", declarations=[Node("VariableDeclarator", id=ident(p.name), init=a)]) for p, a in zip(f.params, args, strict=False)]
-        tree.set("body", declared + list(f.body.body))
+        s.replace(*declared, *f.body.body)
 
 
 def convert_esm(tree: Node) -> bool:
@@ -254,7 +255,7 @@ def convert_esm(tree: Node) -> bool:
         if is_(e, "CallExpression") and is_member(e.callee, "require", "r"):
             s.remove()
         elif is_(e, "CallExpression") and is_member(e.callee, "require", "d"):
-            for name, value in defined(e):
+            for name, value in reversed(defined(e)):
                 export(tree, name, value, s)
             s.remove()
         elif is_(e, "AssignmentExpression", operator="=") and is_ident(e.left, "module") and is_(e.right, "CallExpression") and is_member(e.right.callee, prop="hmd"):
@@ -312,7 +313,7 @@ def export(tree: Node, name: str, value: Node, at: Node) -> None:
     if name == "default":
         append(tree, Node("ExportDefaultDeclaration", declaration=value))
     elif valid_identifier(name):
-        d = Node("VariableDeclaration", kind="const", declarations=[Node("VariableDeclarator", id=ident(name), init=value)])
+        d = Node("VariableDeclaration", kind="let", declarations=[Node("VariableDeclarator", id=ident(name), init=value)])
         append(tree, Node("ExportNamedDeclaration", declaration=d, specifiers=[], source=None))
 
 
@@ -367,11 +368,10 @@ def replace_require_paths(m: Module, bundle: Bundle) -> None:
         return paths.relative(m.path, target.path if target else f"./{value}.js"), target is None
 
     for c in requires(m.tree):
-        if is_number(c.arguments[0]) or str(c.arguments[0].value) in bundle.modules:
-            text, missing = path(c.arguments[0].value)
-            c.set("arguments", [string(text)])
-            if missing:
-                c.arguments[0].comment = "missing"
+        text, missing = path(c.arguments[0].value)
+        c.set("arguments", [string(text)])
+        if missing:
+            c.arguments[0].comment = "missing"
     for s in m.tree.body:
         if s.type == "ImportDeclaration" and is_number(s.source):
             text, missing = path(s.source.value)

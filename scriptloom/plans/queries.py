@@ -262,7 +262,7 @@ ORACLES = {
     "js_bundle_modules": """SELECT c_custkey AS id, CAST(m AS VARCHAR) AS module_id, m = c_custkey % 3 AS is_entry, CASE WHEN m = c_custkey % 3 THEN './index.js' ELSE './' || m || '.js' END AS path,
         CASE WHEN m = 0 THEN 'module.exports = ' || c_custkey || ';'
              WHEN m = 1 THEN 'require("' || CASE WHEN c_custkey % 3 = 0 THEN './index.js' ELSE './0.js' END || '");' || chr(10) || 'require("' || CASE WHEN c_custkey % 3 = 2 THEN './index.js' ELSE './2.js' END || '");'
-             ELSE 'require(' || CASE WHEN c_custkey % 5 > 2 THEN '/*missing*/ ' ELSE '' END || '"' || CASE WHEN c_custkey % 5 = c_custkey % 3 THEN './index.js' ELSE './' || (c_custkey % 5) || '.js' END || '");' END AS code
+             ELSE 'require(' || CASE WHEN c_custkey % 5 > 2 THEN '/*missing*/' ELSE '' END || '"' || CASE WHEN c_custkey % 5 = c_custkey % 3 THEN './index.js' ELSE './' || (c_custkey % 5) || '.js' END || '");' END AS code
         FROM customer, range(3) t(m)""",
     "js_bundles": "SELECT c_custkey AS id, 'webpack' AS bundle_type, CAST(c_custkey % 3 AS VARCHAR) AS entry_id, CAST(3 AS BIGINT) AS n_modules FROM customer",
     "js_dep_paths": "SELECT c_custkey AS id, t.m AS module_id, CASE t.m WHEN '1' THEN 'tmp0/index.js' WHEN '2' THEN 'tmp0/b.js' WHEN '3' THEN 'node_modules/lib' || c_nationkey || '/index.js' ELSE 'c.js' END AS path FROM customer, (VALUES ('1'), ('2'), ('3'), ('4')) t(m)",

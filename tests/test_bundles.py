@@ -14,7 +14,7 @@ def codes(code, **options):
 
 
 def test_webpack_4_array_and_object():
-    assert codes(HEAD + "([function(e,t,n){n(1);n(9)},function(e,t){e.exports=2}])") == {"0": 'require("./1.js");\nrequire(/*missing*/ "./9.js");', "1": "module.exports = 2;"}
+    assert codes(HEAD + "([function(e,t,n){n(1);n(9)},function(e,t){e.exports=2}])") == {"0": 'require("./1.js");\nrequire(/*missing*/"./9.js");', "1": "module.exports = 2;"}
     assert list(codes(HEAD + "({b:function(e){},0:function(e){},2:(e,t)=>{t.x=1}})")) == ["0", "2", "b"]
 
 

@@ -38,7 +38,7 @@ PRINTED = [
     ("return\na", "return;\na;"),
     ("x=<a b='c' {...d}>e {f} don't<g/></a>", 'x = <a b="c" {...d}>e {f} don\'t<g /></a>;'),
     ("1..toString()", "1..toString();"),
-    ("'use strict';('a')", '"use strict";\n("a");'),
+    ("'use strict';('a')", '"use strict";\n"a";'),
     ("var a=1,b=2", "var a = 1,\n  b = 2;"),
     ("[,a,,]", "[, a,,];"),
     ("x='\\u2028\\x07\"'", 'x = "\\u2028\\x07\\"";'),
@@ -137,3 +137,9 @@ def test_renaming_moves_others_away_and_keeps_keys():
     assert "a: b" in text
     again = Scopes(tree)
     assert len(again.program.own["b"].refs) == 3
+
+
+def test_comments_before_and_behind_statements_stay():
+    code = "// first\n/* second */ a(); // behind\nif (b) {\n  // inner\n  c();\n}"
+    assert to_code(parse(code)) == "// first\n/* second */\na(); // behind\nif (b) {\n  // inner\n  c();\n}"
+    assert to_code(parse(code), compact=True) == "a();if(b){c();}"

@@ -27,7 +27,6 @@ KEPT = [
     ("number-expressions", "x = -1;"),
     ("number-expressions", "x = 0 / 0;"),
     ("computed-properties", 'x["a-b"];'),
-    ("computed-properties", 'x["class"];'),
     ("computed-properties", 'class A { ["constructor"]() {} }'),
     ("merge-strings", '"a" + b + c;'),
     ("yoda", "x = 1 - a;"),
@@ -64,7 +63,7 @@ def test_left_alone(rule, code):
 CHANGED = [
     ("merge-object-assignments", "const o = {}; o.a = 1; for (;;) { f(o); }", "const o = { a: 1 }; for (;;) { f(o); }"),
     ("merge-object-assignments", "const o = {}; o.a = 1; function g() { f(o); }", "const o = { a: 1 }; function g() { f(o); }"),
-    ("dead-code", 'let a = 1; if ("x" === "x") { let a = 2; f(a); }', "let a = 1; let a2 = 2; f(a2);"),
+    ("dead-code", 'let a = 1; if ("x" === "x") { let a = 2; f(a); }', "let a = 1; let _a = 2; f(_a);"),
     ("optional-chaining", "var t; x = (t = a.b) === null || t === void 0 ? void 0 : t.c(d).e", "x = a.b?.c(d).e;"),
     ("nullish-coalescing", "x = a === null || a === void 0 ? b : a", "x = a ?? b;"),
     ("template-literals", 'x = "a".concat(b, "`").concat(c)', "x = `a${b}\\`${c}`;"),
