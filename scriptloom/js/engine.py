@@ -7,15 +7,12 @@ pass; a budget bounds the visits.
 
 from __future__ import annotations
 
-import sys
 from collections import Counter, defaultdict
 from collections.abc import Callable
 
 from scriptloom.js.nodes import Node
 from scriptloom.js.scope import Scopes
 
-sys.setrecursionlimit(max(sys.getrecursionlimit(), 60_000))
-
 DONE = "done"  # changed in place, nothing to visit again
 
 

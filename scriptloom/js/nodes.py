@@ -5,8 +5,12 @@ Node names and fields follow the common ESTree dialect for JavaScript tools.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
+# Trees are deep where programs are; pure Python calls need no more of the C stack.
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 60_000))
+
 # The child fields of each node type, in source order.
 FIELDS = {
     "Program": ("body",), "ExpressionStatement": ("expression",), "BlockStatement": ("body",), "StaticBlock": ("body",), "EmptyStatement": (), "DebuggerStatement": (),
