@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptloom.llm.common import table
-from scriptloom.llm.tokens import PLAIN, PieceCache, byte_table, load
+from scriptloom.llm.tokens import PLAIN, LatinPieceCache, PieceCache, byte_table, load
 
 SAFE = re.compile(rb"(?<=[^\s\x1c-\x1f\x80-\xff])[ \n](?=[^\s\x1c-\x1f\x80-\xff])|(?<=[a-z\x80-\xff])[ \n](?=[a-zA-Z0-9])")
 _encoders: dict = {}
@@ -55,7 +55,7 @@ class ChunkEncoder:
 
     def __init__(self, path: str, chunk_limit: int = 12_000, seen_limit: int = 200_000, mask: int = 2047):
         self.tokenizer = load(path)
-        self.words = PieceCache(self.tokenizer, b" ")
+        self.words = LatinPieceCache(self.tokenizer, b" ")
         self.first = PieceCache(self.tokenizer, b"", 50_000)
         self.chunks: dict[int, bytes] = {}
         self.seen: set[int] = set()

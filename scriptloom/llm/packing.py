@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptloom.llm.common import table, written
-from scriptloom.llm.tokens import WordPieceCache, load
+from scriptloom.llm.tokens import LatinPieceCache, load
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _caches: dict = {}
@@ -40,7 +40,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) ->
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _caches.setdefault(tokenizer, WordPieceCache(load(tokenizer), 900_000))
+        cache = _caches.setdefault(tokenizer, LatinPieceCache(load(tokenizer), lower=True))
         for b in batches:
             rows: list[tuple] = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):

@@ -52,18 +52,21 @@ class PieceCache(dict):
         return self[piece]
 
 
-class WordPieceCache(PieceCache):
-    """For the word-end BPE in lower case: a run of Latin letters and the punctuation behind it go straight to the merges.
+class LatinPieceCache(PieceCache):
+    """Sends a run of Latin letters and the punctuation behind it straight to the merges; all else takes the whole path.
 
-    The tokenizer's own pattern splits exactly there, its normaliser only
-    lower-cases such letters, and everything else takes the whole path.
+    The patterns of both tokenizers split exactly there.  lead is what the
+    byte-level alphabet has for the space before a piece; lower is for a
+    tokenizer whose normaliser lower-cases.
     """
 
-    SIMPLE = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)")
+    SIMPLE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)")
 
-    def __init__(self, tokenizer, limit: int):
-        super().__init__(tokenizer, b"", limit)
-        self.letters = {c: "".join(byte_chars()[b] for b in chr(c).encode()) for c in range(0xDF, 0x100)}
+    def __init__(self, tokenizer, prefix: bytes = b"", lower: bool = False, limit: int = 900_000):
+        super().__init__(tokenizer, prefix, limit)
+        chars = byte_chars()
+        self.lower, self.lead = lower, "".join(chars[b] for b in prefix)
+        self.letters = {c: "".join(chars[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
         self.tails: dict[str, bytes] = {"": b""}
 
     def learn(self, pieces: Iterable[bytes]) -> None:
@@ -72,14 +75,15 @@ class WordPieceCache(PieceCache):
             self.clear()
         tokenize, others = self.tokenizer.model.tokenize, []
         for p in new:
-            m = self.SIMPLE.fullmatch(p.decode("utf-8", "replace").lower())
+            text = p.decode("utf-8", "replace")
+            m = self.SIMPLE.fullmatch(text.lower() if self.lower else text)
             if not m:
                 others.append(p)
                 continue
             word, tail = m.groups()
             if tail not in self.tails:
                 self.tails[tail] = array("I", self.tokenizer.encode(tail, add_special_tokens=False).ids).tobytes()
-            self[p] = array("I", [x.id for x in tokenize(word if word.isascii() else word.translate(self.letters))]).tobytes() + self.tails[tail]
+            self[p] = array("I", [x.id for x in tokenize(self.lead + (word if word.isascii() else word.translate(self.letters)))]).tobytes() + self.tails[tail]
         super().learn(others)
 
 
