@@ -210,9 +210,64 @@ def encode_uri_component(s: str) -> str:
     return urllib.parse.quote(s, safe="-_.!~*'()")
 
 
+def guess(f: Node):
+    """A fast Python function for what a helper of decoders looks like (base64 in some alphabet, alone or before RC4), or None.
+
+    It is only a guess: the interpreter uses it after its results have agreed
+    with the interpreted ones.
+    """
+    if f.type not in ("FunctionExpression", "FunctionDeclaration") or len(f.params) not in (1, 2):
+        return None
+    nodes = list(f.body.walk())
+    alphabet = next((n.value for n in nodes if n.type == "StringLiteral" and len(n.value) in (64, 65) and len(set(n.value)) == len(n.value)), None)
+    if len(f.params) == 1 and alphabet:
+        return lambda a: base64_text(a[0], alphabet)
+    if len(f.params) == 2 and any(n.type == "BinaryExpression" and n.operator == "^" for n in nodes) and sum(n.type == "ForStatement" for n in nodes) == 3:
+        return "rc4"
+    return None
+
+
+def base64_text(s: str, alphabet: str) -> str:
+    """Base64 in an alphabet, as UTF-8."""
+    at = {c: i for i, c in enumerate(alphabet)}
+    bits = n = 0
+    out = bytearray()
+    for c in s:
+        v = at.get(c)
+        if v is None or v == 64:
+            continue
+        bits, n = (bits << 6 | v) & 0xFFFFFF, n + 6
+        if n >= 8:
+            n -= 8
+            out.append(bits >> n & 255)
+    try:
+        return out.decode("utf-8")
+    except UnicodeDecodeError:
+        raise Thrown("URIError: URI malformed") from None
+
+
+def rc4(text: str, key: str) -> str:
+    state, j, k = list(range(256)), 0, [ord(c) for c in key]
+    if not k:
+        raise Unsupported("an empty key")
+    for i in range(256):
+        j = (j + state[i] + k[i % len(k)]) % 256
+        state[i], state[j] = state[j], state[i]
+    i = j = 0
+    out = []
+    for c in text:
+        i = (i + 1) % 256
+        j = (j + state[i]) % 256
+        state[i], state[j] = state[j], state[i]
+        out.append(chr(ord(c) ^ state[(state[i] + state[j]) % 256]))
+    return "".join(out)
+
+
 class Interpreter:
     def __init__(self, steps: int = 3_000_000):
         self.steps, self.depth = steps, 0
+        self.guesses: dict = {}
+        self.trusted: dict = {}
         self.statements = {k[2:]: getattr(self, k) for k in dir(self) if k.startswith("s_")}
         self.expressions = {k[2:]: getattr(self, k) for k in dir(self) if k.startswith("e_")}
         self.globals = Env()
@@ -663,6 +718,37 @@ class Interpreter:
         if f.native:
             self.tick(4)
             return f.native(this, args)
+        fast = self.fast_form(f, args)
+        if fast is not None:
+            trust = self.trusted.get(id(f.node), 0)
+            if trust < 0:  # it was wrong once
+                return self.interpret(f, this, args)
+            if trust >= 3:
+                self.tick(len(args[0]) // 8 + 20)
+                return fast(args)
+            try:
+                wanted = fast(args)
+            except (Thrown, Unsupported):
+                wanted = None
+            out = self.interpret(f, this, args)
+            self.trusted[id(f.node)] = trust + 1 if wanted == out else -1
+            return out
+        return self.interpret(f, this, args)
+
+    def fast_form(self, f, args):
+        """The guess for a function, if these arguments suit it."""
+        key = id(f.node)
+        if key not in self.guesses:
+            self.guesses[key] = guess(f.node)
+        g = self.guesses[key]
+        if g is None or not all(isinstance(a, str) for a in args) or len(args) != len(f.node.params):
+            return None
+        if g == "rc4":  # what it decodes with is a sibling that is known already
+            inner = next((x for x in self.guesses.values() if callable(x)), None)
+            return (lambda a: rc4(inner([a[0]]), a[1])) if inner else None
+        return g
+
+    def interpret(self, f, this, args):
         self.depth += 1
         if self.depth > 400:
             self.depth = 0

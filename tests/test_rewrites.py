@@ -160,3 +160,19 @@ def test_endless_decoders_end_and_nothing_is_lost():
     out = rewrite(code, Options(steps=5000)).code
     assert "function __STRING_ARRAY__" in out
     assert "__DECODE_0__(0)" in out
+
+
+def test_fast_forms_are_used_only_where_they_agree():
+    from scriptloom.js import interp
+    from scriptloom.js.parser import parse
+
+    alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/="
+    honest = "function d(t){var a='%s',o='',u='';for(var k=0,q,c,i=0;c=t.charAt(i++);~c&&(q=k%%4?q*64+c:c,k++%%4)?o+=String.fromCharCode(255&q>>(-2*k&6)):0){c=a.indexOf(c)}for(var j=0;j<o.length;j++){u+='%%'+('00'+o.charCodeAt(j).toString(16)).slice(-2)}return decodeURIComponent(u)}" % alphabet
+    other = honest.replace("return decodeURIComponent(u)", "return decodeURIComponent(u)+'!'")
+    for code, tail in ((honest, ""), (other, "!")):
+        m = interp.Interpreter()
+        m.run(parse(code))
+        for text in ("hello", "a", "é", "x" * 30, "end"):
+            packed = interp.base64.b64encode(text.encode()).decode().swapcase()
+            assert m.evaluate(parse(f"d('{packed}')").body[0].expression) == text + tail
+        assert (max(m.trusted.values()) >= 3) == (tail == "")
