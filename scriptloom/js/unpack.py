@@ -255,8 +255,12 @@ def convert_esm(tree: Node) -> bool:
         if is_(e, "CallExpression") and is_member(e.callee, "require", "r"):
             s.remove()
         elif is_(e, "CallExpression") and is_member(e.callee, "require", "d"):
-            for name, value in reversed(defined(e)):
-                export(tree, name, value, s)
+            own = object_of(tree, e.arguments[0]) if len(e.arguments) == 2 else None
+            for name, value in defined(e) if own is not None else reversed(defined(e)):
+                if own is None:
+                    export(tree, name, value, s)
+                else:  # not the module's exports but an object that gathers them
+                    own.set("properties", [*own.properties, Node("ObjectProperty", key=ident(name) if valid_identifier(name) else string(name), value=value, computed=False, shorthand=False)])
             s.remove()
         elif is_(e, "AssignmentExpression", operator="=") and is_ident(e.left, "module") and is_(e.right, "CallExpression") and is_member(e.right.callee, prop="hmd"):
             s.remove()
@@ -270,6 +274,12 @@ def convert_esm(tree: Node) -> bool:
     return esm
 
 
+def object_of(tree: Node, n: Node) -> Node | None:
+    """The object literal that a top-level variable other than exports holds."""
+    b = Scopes(tree).program.own.get(n.name) if is_ident(n) and n.name != "exports" else None
+    return b.path.init if b is not None and b.path.type == "VariableDeclarator" and is_(b.path.init, "ObjectExpression") else None
+
+
 def defined(c: Node) -> list[tuple[str, Node]]:
     """(name, value) of require.d(exports, "name", function () { return value; }) and of the object form."""
     from scriptloom.js.deobfuscate import single_return

@@ -173,6 +173,6 @@ def test_fast_forms_are_used_only_where_they_agree():
         m = interp.Interpreter()
         m.run(parse(code))
         for text in ("hello", "a", "é", "x" * 30, "end"):
-            packed = interp.base64.b64encode(text.encode()).decode().swapcase()
+            packed = interp.base64.b64encode(text.encode()).decode().rstrip("=").swapcase()
             assert m.evaluate(parse(f"d('{packed}')").body[0].expression) == text + tail
         assert (max(m.trusted.values()) >= 3) == (tail == "")
