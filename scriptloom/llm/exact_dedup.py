@@ -86,7 +86,8 @@ def deduplicate(docs: DataFrame, digest: Callable[[Column], Column] = sha256) ->
     hits = written(hits, "dedup-hits")
     is_first = (F.col("file") == F.col("first.file")) & (F.col("at") == F.col("first.row"))
     first_text = hits.filter(is_first).select("digest", F.col("text").alias("first_text"))
-    unequal = written(hits.join(first_text, "digest").filter("text <> first_text").select("digest").distinct(), "dedup-unequal")
+    # No aggregation right behind the join: then Spark may split a digest that most rows share over several tasks.
+    unequal = written(hits.join(first_text, "digest").filter("text <> first_text").select("digest"), "dedup-unequal").distinct()
     marked = here.join(seen, "digest").select("row", F.col("first.id").alias("keep_id"), F.col("hits").alias("group_size"), is_first.alias("kept"), "digest", "doc_id", "file", "at")
     if not unequal.isEmpty():  # digests that different texts share: these documents are grouped by the text itself
         place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "file", "at")
