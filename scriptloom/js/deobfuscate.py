@@ -8,6 +8,7 @@ from scriptloom.js import interp
 from scriptloom.js.ask import is_, is_ident, is_iife, is_infinite_loop, is_literal, is_member, is_number, is_string, prop_name
 from scriptloom.js.engine import DONE, Context, Rule, apply
 from scriptloom.js.nodes import FUNCTIONS, LOOPS, Node, block, expr, ident, string
+from scriptloom.js.printer import to_code
 from scriptloom.js.scope import Binding, Scopes, rename, uid
 from scriptloom.js.unminify import BY_NAME as UNMINIFY
 from scriptloom.js.unminify import can_precede, json_tree, literal_value
@@ -316,7 +317,7 @@ def literal_args(args: list[Node]) -> bool:
     return all(is_literal(a) or (is_(a, "UnaryExpression") and is_literal(a.argument)) or (is_(a, "BinaryExpression") and all(map(literal_args, ([a.left], [a.right])))) for a in args)
 
 
-def collect_calls(ctx: Context, d: Decoder) -> list[Node]:
+def collect_calls(ctx: Context, d: Decoder, skip: list[Node]) -> list[Node]:
     """Calls of a decoder whose arguments are literals; a conditional argument makes two calls, and variables are filled in."""
     ctx.version += 1
     scopes, out = ctx.scopes, []
@@ -325,7 +326,7 @@ def collect_calls(ctx: Context, d: Decoder) -> list[Node]:
         return out
     for r in list(b.refs):
         c = r.parent
-        if c is None or any(x is d.path for x in r.up()):
+        if c is None or any(x is y for x in r.up() for y in skip):
             continue
         if c.type == "ExpressionStatement":
             c.remove()
@@ -347,8 +348,12 @@ def collect_calls(ctx: Context, d: Decoder) -> list[Node]:
     return out
 
 
-def decode_strings(ctx: Context, array: StringArray, rotator: Node | None, decoders: list[Decoder], steps: int) -> tuple[int, bool]:
-    """Runs array, decoders and rotator in the restricted interpreter, then every call; whether all calls were decoded."""
+def decode_strings(ctx: Context, array: StringArray, rotator: Node | None, decoders: list[Decoder], steps: int, sandbox=None) -> tuple[int, bool]:
+    """Runs array, decoders and rotator in the restricted interpreter, then every call; whether all calls were decoded.
+
+    A sandbox, if given, is called once instead, with the text of a program
+    that ends in a list of all calls, and returns the list of their values.
+    """
     machine = interp.Interpreter(steps)
     try:
         parts = [array.path, *(d.path for d in decoders), *([rotator] if rotator is not None else [])]
@@ -356,30 +361,39 @@ def decode_strings(ctx: Context, array: StringArray, rotator: Node | None, decod
         nodes = []
         for p in sorted(parts, key=lambda x: (x is rotator, order.get(id(x), 0))):
             nodes.append(Node("VariableDeclaration", kind="var", declarations=[p.copy()]) if p.type == "VariableDeclarator" else p.copy())
-        machine.run(Node("Program", body=nodes))
+        if sandbox is None:
+            machine.run(Node("Program", body=nodes))
     except (interp.Unsupported, interp.Thrown, RecursionError):
         return 0, False
+    calls = [c for d in decoders for c in collect_calls(ctx, d, parts)]
+    given = None
+    if sandbox is not None:
+        listed = expr(Node("ArrayExpression", elements=[c.copy() for c in calls]))
+        given = sandbox(to_code(Node("Program", body=[*nodes, listed]), compact=True))
+        if not isinstance(given, list) or len(given) != len(calls):
+            return 0, False
     done, whole = 0, True
-    for d in decoders:
-        for c in collect_calls(ctx, d):
-            try:
-                v = machine.evaluate(c.copy())
-            except interp.Thrown:
-                c.comment = "decode error"
-                continue
-            except (interp.Unsupported, RecursionError):
-                whole = False
-                continue
-            if isinstance(v, str):
-                new = string(v)
-            elif v is interp.UNDEFINED or v is None or isinstance(v, (bool, float)):
-                new = ident("undefined") if v is interp.UNDEFINED else json_tree(v)
-                new.comment = "decode error"
-            else:
-                c.comment = "decode error"
-                continue
-            c.replace(new)
-            done += 1
+    for i, c in enumerate(calls):
+        try:
+            v = machine.evaluate(c.copy()) if given is None else given[i]
+        except interp.Thrown:
+            c.comment = "decode error"
+            continue
+        except (interp.Unsupported, RecursionError):
+            whole = False
+            continue
+        if isinstance(v, int) and not isinstance(v, bool):
+            v = float(v)
+        if isinstance(v, str):
+            new = string(v)
+        elif v is interp.UNDEFINED or v is None or isinstance(v, (bool, float)):
+            new = ident("undefined") if v is interp.UNDEFINED else json_tree(v)
+            new.comment = "decode error"
+        else:
+            c.comment = "decode error"
+            continue
+        c.replace(new)
+        done += 1
     return done, whole
 
 
@@ -748,7 +762,7 @@ RULES = [DEAD_CODE, CONTROL_FLOW_OBJECT, CONTROL_FLOW_SWITCH, INLINE_OBJECT_PROP
 BY_NAME = {r.name: r for r in RULES}
 
 
-def deobfuscate(ctx: Context, force: bool = False, steps: int = 3_000_000) -> None:
+def deobfuscate(ctx: Context, force: bool = False, steps: int = 3_000_000, sandbox=None) -> None:
     """String array, rotator and decoders; then, if there was one (or force), dead code and control flow."""
     array = find_string_array(ctx)
     if array is not None:
@@ -762,7 +776,7 @@ def deobfuscate(ctx: Context, force: bool = False, steps: int = 3_000_000) -> No
             b = find(ctx.scopes, d.name)
             if b is not None:
                 ctx.changed("inline-decoder-wrappers", inline_variable_aliases(ctx, b) + inline_function_aliases(ctx, b))
-        done, whole = decode_strings(ctx, array, rotator, decoders, steps)
+        done, whole = decode_strings(ctx, array, rotator, decoders, steps, sandbox)
         if done:
             ctx.changed("inline-decoded-strings", done)
         if whole and (done or not decoders):

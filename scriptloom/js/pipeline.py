@@ -18,7 +18,11 @@ STAGES = ("after_parse", "after_prepare", "after_deobfuscate", "after_unminify",
 
 @dataclass(frozen=True)
 class Options:
-    """What to do; plugins are callables (program, context) by stage name; mappings name unpacked modules."""
+    """What to do; plugins are callables (program, context) by stage name; mappings name unpacked modules.
+
+    sandbox replaces the restricted interpreter: it is called once with the
+    text of a program that ends in a list, and returns the list's values.
+    """
 
     jsx: bool = True
     unpack: bool = True
@@ -27,6 +31,7 @@ class Options:
     mangle: bool | Callable[[str], bool] = False
     force_control_flow: bool = False
     steps: int = 3_000_000
+    sandbox: Callable[[str], list] | None = None
     plugins: dict = field(default_factory=dict)
     mappings: dict = field(default_factory=dict)
 
@@ -84,7 +89,7 @@ def rewrite(code: str, options: Options = Options()) -> Result:
     apply(ctx, unminify.PREPARE)
     plugins("after_prepare")
     if options.deobfuscate:
-        deob.deobfuscate(ctx, options.force_control_flow, options.steps)
+        deob.deobfuscate(ctx, options.force_control_flow, options.steps, options.sandbox)
     plugins("after_deobfuscate")
     if options.unminify:
         apply(ctx, transpile.RULES + unminify.RULES)

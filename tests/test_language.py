@@ -143,3 +143,20 @@ def test_comments_before_and_behind_statements_stay():
     code = "// first\n/* second */ a(); // behind\nif (b) {\n  // inner\n  c();\n}"
     assert to_code(parse(code)) == "// first\n/* second */\na(); // behind\nif (b) {\n  // inner\n  c();\n}"
     assert to_code(parse(code), compact=True) == "a();if(b){c();}"
+
+
+RENAMED = [
+    ("let a = 1; let b = a;", "a", "b", "let b = 1; let _b = b;"),
+    ("var a; function a() {}", "a", "b", "var b; function b() {}"),
+    ("var a = 1; var a = 2; a++; [a] = [2]; var [a] = [1]; ({ ...a } = {}); for (a of []); for (a in []); delete a;", "a", "b", "var b = 1; var b = 2; b++; [b] = [2]; var [b] = [1]; ({ ...b } = {}); for (b of []); for (b in []); delete b;"),
+    ('var _C = "x"; var node = <_C><_C /></_C>; var ref = _C;', "_C", "C", 'var C = "x"; var node = <C><C /></C>; var ref = C;'),
+    ("var _n = {}; var x = <_n.Foo />;", "_n", "n", "var n = {}; var x = <n.Foo />;"),
+]
+
+
+@pytest.mark.parametrize(("code", "old", "new", "text"), RENAMED)
+def test_renaming(code, old, new, text):
+    tree = parse(code)
+    s = Scopes(tree)
+    rename(s, s.program.own[old], new)
+    assert " ".join(to_code(tree).split()) == text

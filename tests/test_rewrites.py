@@ -176,3 +176,28 @@ def test_fast_forms_are_used_only_where_they_agree():
             packed = interp.base64.b64encode(text.encode()).decode().rstrip("=").swapcase()
             assert m.evaluate(parse(f"d('{packed}')").body[0].expression) == text + tail
         assert (max(m.trusted.values()) >= 3) == (tail == "")
+
+
+def test_a_sandbox_is_called_once():
+    seen = []
+
+    def sandbox(code):
+        seen.append(code)
+        return ["log", "given"]
+
+    assert rewrite(ROTATED, Options(sandbox=sandbox)).code == 'console.log("given");'
+    assert len(seen) == 1
+    assert "\n" not in seen[0]
+
+
+TOGETHER = [
+    ("for (var v, d = [1], b = 0x0; b < d.length; b++) {} if ((null === (v = null) || void 0x0 === v ? void 0x0 : v['length'])) {}", "for (var d = [1], b = 0; b < d.length; b++) {} if (null?.length) {}"),
+    ("javascript:(function()%7Balert('hello%20world')%3B%7D)()%3B", '(function () { alert("hello world"); })();'),
+    ("javascript:(function()%7Breturn%20v%F%3B%7D)()", "(function () { return v % F; })();"),
+    ("foo()+=1; 1+1;", "foo() += 1; 2;"),
+]
+
+
+@pytest.mark.parametrize(("code", "text"), TOGETHER)
+def test_whole_pipeline(code, text):
+    assert flat(rewrite(code).code) == text
