@@ -110,15 +110,15 @@ def reshard(rows: DataFrame, old_shards: int, shards: int, block_bytes: int = 1
     tie orders rows inside a block; it should tell different rows apart.
     """
     spark = rows.sparkSession
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    count = max(8, -(-total // (old_shards * block_bytes)))
-    hashed = rows.withColumn("block", F.pmod(F.xxhash64("tie", F.lit(1)), F.lit(count)).cast("int"))
+    sizes = [0] * old_shards
+    for old, size in rows.groupBy("old").agg(F.sum("size")).collect():
+        sizes[old] = size
+    each = max(1, min(block_bytes, sum(sizes) // (8 * old_shards)))  # a shard that holds most bytes has most blocks
+    counts = F.array(*[F.lit(max(8, -(-size // each))) for size in sizes])
+    hashed = rows.withColumn("block", F.pmod(F.xxhash64("tie", F.lit(1)), F.get(counts, F.col("old"))).cast("int"))
     inside = Window.partitionBy("old", "block").orderBy("tie", "size")
     placed = written(hashed.withColumn("middle", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.ceil(F.col("size") / 2)), "reshard-rows")
-    blocks = sorted((r[0], r[1], r[2]) for r in placed.groupBy("old", "block").agg(F.sum("size")).collect())  # total / block_bytes rows
-    sizes = [0] * old_shards
-    for old, _, size in blocks:
-        sizes[old] += size
+    blocks = sorted((r[0], r[1], r[2]) for r in placed.groupBy("old", "block").agg(F.sum("size")).collect())  # a row for each block: total / block_bytes, or 8 a shard and as many again
     pieces = cut(blocks, solve(sizes, shards, capacity))
     where = spark.createDataFrame(pieces, "old int, block int, from long, to long, shard int")
     moved = placed.join(F.broadcast(where.withColumnsRenamed({"old": "o", "block": "b"})), (F.col("old") == F.col("o")) & (F.col("block") == F.col("b")) & (F.col("middle") >= F.col("from")) & (F.col("middle") < F.col("to"))).drop("o", "b", "from", "to")
