@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -11,15 +13,34 @@ from pyspark.sql import SparkSession
 _shipped: set[str] = set()
 
 
+def packed() -> bytes:
+    """This package as a zip file."""
+    root, out = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    return out.getvalue()
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends this package to the executors once per application (Spark's own file distribution)."""
-    app = spark.sparkContext.applicationId
-    if app not in _shipped:
-        root = Path(__file__).resolve().parent
-        target = Path(tempfile.mkdtemp(prefix="scriptloom-")) / "scriptloom_pkg.zip"
-        with zipfile.ZipFile(target, "w") as out:
-            for f in sorted(root.rglob("*.py")):
-                out.write(f, f.relative_to(root.parent))
-        spark.sparkContext.addPyFile(str(target))
-        _shipped.add(app)
+    """Sends this package to the executors, once per application, by Spark's own file distribution.
+
+    It is placed in the folder that driver and executors share
+    (spark.checkpoint.dir); without one, on a single machine, in a temporary one.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return spark
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        target = f"{shared.rstrip('/')}/code-{uuid.uuid4().hex}/scriptloom_pkg.zip"
+        path = context._jvm.org.apache.hadoop.fs.Path(target)
+        stream = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path)
+        stream.write(bytearray(packed()))
+        stream.close()
+    else:
+        target = str(Path(tempfile.mkdtemp(prefix="scriptloom-")) / "scriptloom_pkg.zip")
+        Path(target).write_bytes(packed())
+    context.addPyFile(target)
+    _shipped.add(context.applicationId)
     return spark
