@@ -38,7 +38,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: lineage ends here, nothing is computed twice."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for t in tables:
+        remove(t.sparkSession, t.written_to)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -47,6 +55,12 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def mapped(df: DataFrame, f, schema: str) -> DataFrame:
+    """df.mapInArrow, with this package sent to the executors first."""
+    ship(df.sparkSession)
+    return df.mapInArrow(f, schema)
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z to a-z, every other character as it is."""
     return F.translate(c, ASCII_UPPER, ASCII_LOWER)

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptloom.llm.common import table, written
+from scriptloom.llm.common import discard, table, written
 
 ROWS, BANDS = 7, 28
 SHINGLE = 5
@@ -113,17 +113,21 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """node, root (smallest node reachable) of a table of undirected edges a, b.
 
     Alternating large-star and small-star steps; each is an aggregation and a
-    join, and each result is a written table, so no lineage grows.
+    join, and each result is a written table, so no lineage grows.  The
+    minima are written before the join, too: between plain exchanges Spark can
+    split a node that most edges meet over several tasks.
     """
     now = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     before = None
     while True:
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
-        now = written(small, name)
+        least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), name)
+        large = written(both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), name)
+        lower = written(large.groupBy("a").agg(F.min("b").alias("m")), name)
+        small = large.join(lower, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
+        after = written(small, name)
+        discard(now, least, large, lower)
+        now = after
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break
