@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptloom.llm.common import table
+from scriptloom.llm.common import mapped, table
 from scriptloom.llm.tokens import PLAIN, LatinPieceCache, PieceCache, byte_table, load
 
 SAFE = re.compile(rb"(?<=[^\s\x1c-\x1f\x80-\xff])[ \n](?=[^\s\x1c-\x1f\x80-\xff])|(?<=[a-z\x80-\xff])[ \n](?=[a-zA-Z0-9])")
@@ -157,7 +157,7 @@ def encode_texts(docs: DataFrame, tokenizer: str) -> DataFrame:
             ids = [np.frombuffer(encoder.encode(x or b""), np.int32) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).transform(mapped, run, "doc_id long, ids array<int>")
 
 
 def decode_ids(encoded: DataFrame, tokenizer: str) -> DataFrame:
@@ -169,7 +169,7 @@ def decode_ids(encoded: DataFrame, tokenizer: str) -> DataFrame:
             texts = [decoder.decode(np.array(x or [], np.uint32).tobytes()) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").transform(mapped, run, "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -186,7 +186,7 @@ def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
                 text_sha.append(hashlib.sha256(decoder.decode(ids).encode("utf-8")).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).transform(mapped, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op7_bpe_chunk_reuse(spark, sf_dir: str) -> DataFrame:

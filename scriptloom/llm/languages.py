@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptloom.llm.common import distinct_name, table
+from scriptloom.llm.common import distinct_name, mapped, table
+from scriptloom.session import ship
 
 UNKNOWN = "und"
 
@@ -215,7 +216,7 @@ def train(docs: DataFrame, train_docs: int = 20_000) -> Model:
             at = np.flatnonzero(t)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(t[at], pa.int64())], ["lang", "bucket", "n"])
 
-    counted = sample.select("lang", F.col("text").cast("binary")).mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counted = sample.select("lang", F.col("text").cast("binary")).transform(mapped, count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(set(counted.column("lang").to_pylist()))
     grid = np.zeros((BUCKETS + len(NAMES), len(names)), np.float64)
     where = {n: i for i, n in enumerate(names)}
@@ -233,12 +234,12 @@ def identify(docs: DataFrame, model: Model, penalty: float = 10.0) -> DataFrame:
             got = [m.predict(x.as_py(), penalty) for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).transform(mapped, run, "doc_id long, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
     """docs without those in which no language is found, all columns as they were, in one pass and without a shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = ship(docs.sparkSession).sparkContext.broadcast(model)
     found = distinct_name("lang_found", docs.columns)
 
     @F.pandas_udf("boolean")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptloom.llm.common import table
+from scriptloom.llm.common import mapped, table
 
 # Base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -121,7 +121,7 @@ def document_frequency(docs: DataFrame, vocabulary: frozenset) -> tuple[dict[byt
         c[b""] = n
         yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], ["word", "n"])
 
-    rows = docs.select(F.col("text").cast("binary")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n")).collect()
+    rows = docs.select(F.col("text").cast("binary")).transform(mapped, run, "word binary, n long").groupBy("word").agg(F.sum("n")).collect()
     counts = {bytes(w): n for w, n in rows}
     return counts, counts.pop(b"", 0)
 
@@ -144,7 +144,7 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, rare: int = 6, least: fl
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 8, kinds, strict=True)], [x.split()[0] for x in RESULT.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, RESULT)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).transform(mapped, run, RESULT)
 
 
 def op8_license_scan(spark, sf_dir: str) -> DataFrame:

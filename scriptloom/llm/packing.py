@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptloom.llm.common import table, written
+from scriptloom.llm.common import mapped, table, written
 from scriptloom.llm.tokens import LatinPieceCache, load
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -55,7 +55,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) ->
                     rows.append((doc, k, at // 4, len(one) // 4, zlib.crc32(one)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, PIECE)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).transform(mapped, run, PIECE)
 
 
 class Plan:
@@ -203,7 +203,7 @@ def pack(pieces: DataFrame, capacity: int, groups: int = 24, per_bucket: int = 5
             at = np.searchsorted(keys, key, "right") - 1
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(firsts[at] + key - keys[at]), pa.array(offsets[at])], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("rank").cast("long").alias("rank")).mapInArrow(place, PIECE + ", sequence_id long, offset long")
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("rank").cast("long").alias("rank")).transform(mapped, place, PIECE + ", sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, groups: int = 24) -> DataFrame:
