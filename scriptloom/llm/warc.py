@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptloom.llm.common import new_folder, table
+from scriptloom.llm.common import mapped, new_folder, table
 
 SKIPPABLE = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
@@ -171,7 +171,7 @@ def write_bundles(records: DataFrame, folder: str, level: int = 3, frame_bytes:
         if out is not None:
             out.close()
 
-    records.select("record_id", "url", "payload", "sha1", "refers_to").mapInArrow(write, INDEX).write.parquet(f"{folder}/index")
+    records.select("record_id", "url", "payload", "sha1", "refers_to").transform(mapped, write, INDEX).write.parquet(f"{folder}/index")
     return records.sparkSession.read.schema(INDEX).parquet(f"{folder}/index")
 
 
@@ -199,7 +199,7 @@ def read_bundles(bundles: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in kinds.items()], list(kinds))
                 reader.close()
 
-    return bundles.select("bundle").mapInArrow(read, RECORD)
+    return bundles.select("bundle").transform(mapped, read, RECORD)
 
 
 def op1_warc(spark, sf_dir: str) -> DataFrame:
@@ -207,7 +207,7 @@ def op1_warc(spark, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("long").alias("record_id"), "url", F.col("html").cast("binary").alias("payload"))
     index = write_bundles(mark_revisits(pages), new_folder(spark, "warc"))
     bundles = index.select("bundle").distinct()
-    back = read_bundles(bundles.repartition(max(1, bundles.count()), "bundle"))
+    back = read_bundles(bundles.repartition(max(1, bundles.count())))
     return back.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
