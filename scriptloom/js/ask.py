@@ -124,3 +124,12 @@ def is_pure(n: Node | None) -> bool:
     if t == "ObjectExpression":
         return all(p.type == "ObjectProperty" and (not p.computed or is_pure(p.key)) and is_pure(p.value) for p in n.properties)
     return False
+
+
+def any_sublist(nodes: list[Node], *tests) -> list[Node] | None:
+    """The first nodes that fit the tests in this order, others between them, or None."""
+    out = []
+    for n in nodes:
+        if len(out) < len(tests) and tests[len(out)](n):
+            out.append(n)
+    return out if len(out) == len(tests) else None
