@@ -10,10 +10,11 @@ similarity, so half the hash evaluations fill a signature.  Values are banded.
 2. Band buckets with several classes become stars (member, smallest member),
    so a bucket of n costs n links, never n squared.  Their connected
    components are the families: every pair to be confirmed lies inside one.
-3. A family's sets meet in one task if it is small.  A larger one is cut into
-   blocks and each pair of blocks is a task of bounded size.  There, exact
-   intersections decide, and only a spanning forest of the confirmed links
-   leaves the task.
+3. A family's sets meet in one task if it is small.  In a larger one, each
+   member is first held against one hub; those linked with it need no
+   comparison with one another.  The others are cut into blocks, and each
+   pair of blocks is a task of bounded size.  There, exact intersections
+   decide, and only a spanning forest of the confirmed links leaves the task.
 4. Components of the confirmed links name each document's smallest partner.
 
 With 7 values a band and 28 bands, a pair at similarity 0.85 is missed with
@@ -38,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptloom.llm.common import discard, table, written
+from scriptloom.llm.common import discard, mapped, table, written
 
 ROWS, BANDS = 7, 28
 SHINGLE = 5
@@ -49,7 +50,6 @@ _rng = np.random.default_rng(20240229)
 _ODD = _rng.integers(0, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PERM = _rng.integers(0, 1 << 63, ROWS * BANDS // 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = _rng.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_words: dict[bytes, int] = {}
 
 
 def _scramble(x: np.ndarray) -> np.ndarray:
@@ -63,15 +63,8 @@ def shingle_set(text: bytes | None, k: int = SHINGLE) -> np.ndarray:
     words = (text or b"").translate(_LOWER).split()
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_words) > 400_000:
-        _words.clear()
-    got = list(map(_words.get, words))
-    if None in got:
-        for w in {w for w, h in zip(words, got, strict=True) if h is None}:
-            _words[w] = xxhash.xxh3_64_intdigest(w)
-        got = list(map(_words.__getitem__, words))
-    h = np.array(got, np.uint64)
-    n = len(h)
+    n = len(words)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
     if n < k:
         return _scramble((h * _ODD[:n]).sum(keepdims=True) + np.uint64(n))
     s = h[: n - k + 1] * _ODD[0]
@@ -106,7 +99,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 bands.append(band_hashes(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_key", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).transform(mapped, run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -183,36 +176,77 @@ def near_duplicates(docs: DataFrame, percent: int = 85, block: int = 512) -> Dat
     sig = written(signatures(docs), "minhash-signatures")
     classes = written(sig.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("size"), F.first("bands").alias("bands")), "minhash-classes")
     banded = classes.filter("rep is not null").select("rep", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "head")
-    stars = banded.join(buckets, "band").filter("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()
-    family = written(components(stars, "minhash-families").withColumnRenamed("root", "family"), "minhash-family")
+    buckets = banded.groupBy("band").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    placed = written(banded.join(buckets, "band").select("rep", "head", "n"), "minhash-placed")
+    stars = placed.filter("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()
+    company = placed.groupBy(F.col("rep").alias("node")).agg(F.sum("n").alias("company"))
+    family = components(stars, "minhash-families").withColumnRenamed("root", "family")
+    family = written(family.join(company, "node"), "minhash-family")
     links = written(confirmed(docs, family, percent, block), "minhash-links")
     root = components(links, "minhash-components")
     reps = classes.select("set_key", "rep").join(root, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("root", "rep").alias("root"))
     return sig.select("doc_id", "n_shingles", "set_key").join(reps, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def confirmed(docs: DataFrame, family: DataFrame, percent: int, block: int) -> DataFrame:
-    """a, b: confirmed links that span what is linked inside each family (node, family).
-
-    Members of a family are dealt into blocks of about `block` sets by a hash;
-    each pair of blocks is one group.  A document goes to as many groups as
-    its family has blocks.
-    """
-    sizes = family.groupBy("family").agg(F.count(F.lit(1)).alias("members"))
-    placed = family.join(sizes, "family").withColumn("blocks", F.ceil(F.col("members") / block).cast("int")).withColumn("mine", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("node"), F.col("blocks").cast("long"))).otherwise(0).cast("int"))
+def family_sets(docs: DataFrame, family: DataFrame) -> DataFrame:
+    """family with the set of each member: node, family, company, set."""
+    if family.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # then only the texts of members are read on
+        family = F.broadcast(family)
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("binary").alias("text")).filter("node is not null")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_set(x.as_py()).tobytes() for x in b.column(4)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(sets, pa.binary())], ["node", "family", "blocks", "mine", "set"])
+            sets = [shingle_set(x.as_py()).tobytes() for x in b.column(3)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sets, pa.binary())], ["node", "family", "company", "set"])
+
+    return texts.join(family, "node").select("node", "family", "company", "text").transform(mapped, to_sets, "node long, family long, company long, set binary")
+
+
+def near_hub(members: DataFrame, block: int, percent: int) -> DataFrame:
+    """members with members (their number), hub and near: whether the set is linked with that of its family's hub.
+
+    A hub is the member of a large family that shares most band buckets with
+    most others, as an original does among its edited copies.  Small families
+    have none.
+    """
+    hubs = members.groupBy("family").agg(F.count(F.lit(1)).alias("members"), F.max_by(F.struct("node", "set"), F.struct("company", -F.col("node"))).alias("hub"))
+    hubs = written(hubs.select("family", "members", F.when(F.col("members") > block, F.col("hub")).alias("hub")), "minhash-hubs")
 
-    if family.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # then only the texts of members are shuffled
-        placed = F.broadcast(placed)
-    members = texts.join(placed, "node").select("node", "family", "blocks", "mine", "text").mapInArrow(to_sets, "node long, family long, blocks int, mine int, set binary")
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("mine", o).alias("i"), F.greatest("mine", o).alias("j")))
-    dealt = members.withColumn("pair", F.explode(pair)).select("node", "family", "mine", "set", "pair.i", "pair.j")
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = []
+            for mine, hub in zip(b.column(2), b.column(5), strict=True):
+                if not hub.is_valid:
+                    near.append(False)
+                    continue
+                x, y = np.frombuffer(mine.as_py(), np.uint64), np.frombuffer(hub.as_py(), np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(100 * common >= percent * (len(x) + len(y) - common))
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(near, pa.bool_())], ["node", "family", "set", "members", "hub", "near"])
+
+    both = members.join(hubs, "family").select("node", "family", "set", "members", F.col("hub.node").alias("hub"), F.col("hub.set").alias("hub_set"))
+    return both.transform(mapped, compare, "node long, family long, set binary, members long, hub long, near boolean")
+
+
+def confirmed(docs: DataFrame, family: DataFrame, percent: int, block: int) -> DataFrame:
+    """a, b: confirmed links that span what is linked inside each family (node, family, company).
+
+    What is near a large family's hub is linked through it, and no two such
+    members are compared.  The others of a family are dealt into blocks of
+    about `block` sets by a hash, and so are those near the hub; each pair of
+    blocks, two of the near ones aside, is one group.
+    """
+    members = written(near_hub(written(family_sets(docs, family), "minhash-sets"), block, percent), "minhash-members")
+    through = members.filter("near and node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    counts = written(members.groupBy("family").agg(F.sum(F.col("near").cast("long")).alias("n_near"), F.sum((~F.col("near")).cast("long")).alias("n_far")), "minhash-counts")
+    placed = members.join(counts, "family")
+    placed = placed.withColumn("far_blocks", F.ceil(F.col("n_far") / block).cast("int")).withColumn("near_blocks", F.ceil(F.col("n_near") / block).cast("int"))
+    at = F.xxhash64("node")
+    mine = F.when(F.col("near"), F.col("far_blocks") + F.pmod(at, F.greatest(F.lit(1), "near_blocks").cast("long"))).otherwise(F.pmod(at, F.greatest(F.lit(1), "far_blocks").cast("long"))).cast("int")
+    placed = placed.filter("n_far > 0").withColumn("mine", mine)
+    others = F.when(F.col("near"), F.col("far_blocks")).otherwise(F.col("far_blocks") + F.col("near_blocks"))
+    pair = F.transform(F.sequence(F.lit(0), others - 1), lambda o: F.struct(F.least("mine", o).alias("i"), F.greatest("mine", o).alias("j")))
+    dealt = placed.withColumn("pair", F.explode(pair)).select("node", "family", "mine", "set", "pair.i", "pair.j")
 
     def link(key, rows: pd.DataFrame) -> pd.DataFrame:
         _, i, j = key
@@ -227,7 +261,7 @@ def confirmed(docs: DataFrame, family: DataFrame, percent: int, block: int) -> D
         sets = [np.frombuffer(s, np.uint64) for s in ids.set]
         return pd.DataFrame(forest(ids.node.to_numpy(), sets, percent, left), columns=["a", "b"], dtype="int64")
 
-    return dealt.groupBy("family", "i", "j").applyInPandas(link, "a long, b long")
+    return through.union(dealt.groupBy("family", "i", "j").applyInPandas(link, "a long, b long"))
 
 
 def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
