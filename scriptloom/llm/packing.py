@@ -62,7 +62,7 @@ class Plan:
     """A packing of a histogram of lengths: runs of (length, first rank, count, first bin, offset)."""
 
     def __init__(self, counts: dict[int, int], capacity: int, groups: int = 24, small: int | None = None):
-        self.capacity, self.small = capacity, capacity // 8 if small is None else small
+        self.capacity, self.small = capacity, capacity // 4 if small is None else small
         self.runs: list[tuple[int, int, int, int, int]] = []
         self.bins, self.rank = 0, dict.fromkeys(counts, 0)
         self.open: dict[int, list[tuple[int, int]]] = {}  # room -> ranges (first bin, bins)
@@ -183,14 +183,14 @@ class Plan:
             self.leave(room, first, n)
 
 
-def pack(pieces: DataFrame, capacity: int, groups: int = 24, per_bucket: int = 500_000) -> DataFrame:
-    """pieces (a written table) with sequence_id and offset."""
+def pack(pieces: DataFrame, capacity: int, groups: tuple[int, ...] = (8, 16, 24, 48), per_bucket: int = 500_000) -> DataFrame:
+    """pieces (a written table) with sequence_id and offset; of the numbers of groups, the one that needs the fewest sequences."""
     n = pieces.count()
     buckets = max(64, n // per_bucket)
     ranked = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
     sizes = written(ranked.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")), "pack-sizes")
     counts = {r[0]: r[1] for r in sizes.groupBy("length").agg(F.sum("n")).collect()}  # as many rows as capacity, at most
-    plan = Plan(counts, capacity, groups)
+    plan = min((Plan(counts, capacity, g) for g in groups), key=lambda p: p.bins)
     runs = np.array(sorted(plan.runs), np.int64).reshape(-1, 5)
     keys, firsts, offsets = (runs[:, 0] << 48) + runs[:, 1], runs[:, 3], runs[:, 4]
     before = sizes.withColumn("base", F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).drop("n")
@@ -206,7 +206,7 @@ def pack(pieces: DataFrame, capacity: int, groups: int = 24, per_bucket: int = 5
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("rank").cast("long").alias("rank")).transform(mapped, place, PIECE + ", sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, groups: int = 24) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, groups: tuple[int, ...] = (8, 16, 24, 48)) -> DataFrame:
     """Tokens of every document (doc_id, text) and an end token, in sequences of at most capacity."""
     return pack(written(token_pieces(docs, tokenizer, capacity, end_id), "pack-pieces"), capacity, groups)
 
