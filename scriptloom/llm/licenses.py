@@ -1,12 +1,13 @@
 """License scans by a positional rare-token index.
 
-Templates are short licence notices.  Their words are indexed with positions.
-For each file the rarest licence words that it holds (highest inverse document
-frequency over the whole corpus) are looked up; each posting votes for a
-template laid at the relative position, and a template whose votes agree is
-verified: its mandatory key phrase must stand there word for word, and enough
-of its words must agree.  Beside that, every place of the base phrases is
-counted exactly.
+Templates are short licence notices.  Of each template, the rarest words of its
+mandatory key phrase (highest inverse document frequency over the whole corpus)
+are indexed with positions.  All of them are looked up in every file; each
+posting votes for a template laid at the relative position, and where all rare
+words of a template agree it is verified: its key phrase must stand there word
+for word, and enough of its words must agree.  The key phrase must stand
+anyway, so the index loses no place, however many notices a file holds.  Beside
+that, every place of the base phrases is counted exactly.
 
 Defined cases: a null text is an empty one (no words, no labels, score 0);
 null identifiers pass through; very long texts are scanned whole; repeated
@@ -61,36 +62,38 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class Index:
-    """Positions of licence words in the templates, and how rare each word is in the corpus."""
+    """Positions of the rarest words of each template's key phrase; rare is how many a template has."""
 
-    def __init__(self, templates, frequency: dict[bytes, int], documents: int, rare: int = 6, least: float = 0.8):
+    def __init__(self, templates, frequency: dict[bytes, int], documents: int, rare: int = 2, least: float = 0.8):
         self.templates = [(label, text.encode().split(), key.encode().split()) for label, text, key in templates]
+        self.idf = {w: math.log((1 + documents) / (1 + frequency.get(w, 0))) for _, words, _ in self.templates for w in words}
         self.postings: dict[bytes, list[tuple[int, int]]] = {}
-        for t, (_, words, _) in enumerate(self.templates):
-            for p, w in enumerate(words):
-                self.postings.setdefault(w, []).append((t, p))
-        self.idf = {w: math.log((1 + documents) / (1 + frequency.get(w, 0))) for w in self.postings}
-        self.vocabulary, self.rare, self.least = frozenset(self.postings), rare, least
+        self.key_at, self.needed, self.least = [], [], least
+        for t, (_, words, key) in enumerate(self.templates):
+            k = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
+            chosen = sorted(set(key), key=lambda w: (-self.idf[w], w))[:rare]
+            places = [k + p for p, w in enumerate(key) if w in chosen]
+            for p in places:
+                self.postings.setdefault(words[p], []).append((t, p))
+            self.key_at.append(k)
+            self.needed.append(len(places))
 
     def scan(self, words: list[bytes]) -> tuple[set[str], float]:
         """Labels of the templates that stand in the words, and the best agreement."""
-        held = self.vocabulary.intersection(words)
-        if not held:
+        if self.postings.keys().isdisjoint(words):
             return set(), 0.0
-        chosen = set(sorted(held, key=lambda w: (-self.idf[w], w))[: self.rare])
         votes: Counter = Counter()
         for i, w in enumerate(words):
-            if w in chosen:
+            if w in self.postings:
                 votes.update((t, i - p) for t, p in self.postings[w])
         labels, best = set(), 0.0
         for (t, at), n in votes.items():
             label, wanted, key = self.templates[t]
-            there = sum(w in chosen for w in wanted)
-            if n < max(1, math.ceil(self.least * there)) or at + len(wanted) <= 0:
+            k = at + self.key_at[t]
+            if n < self.needed[t] or k < 0 or words[k : k + len(key)] != key:
                 continue
-            agree = sum(a == b for a, b in zip(words[max(0, at) : max(0, at + len(wanted))], wanted[max(0, -at) :], strict=False)) / len(wanted)
-            k = next(i for i in range(len(wanted)) if wanted[i : i + len(key)] == key)
-            if agree >= self.least and at + k >= 0 and words[at + k : at + k + len(key)] == key:
+            agree = sum(a == b for a, b in zip(words[max(0, at) : at + len(wanted)], wanted[max(0, -at) :], strict=False)) / len(wanted)
+            if agree >= self.least:
                 labels.add(label)
                 best = max(best, agree)
         return labels, best
@@ -126,7 +129,7 @@ def document_frequency(docs: DataFrame, vocabulary: frozenset) -> tuple[dict[byt
     return counts, counts.pop(b"", 0)
 
 
-def scan_licenses(docs: DataFrame, templates=TEMPLATES, rare: int = 6, least: float = 0.8) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates=TEMPLATES, rare: int = 2, least: float = 0.8) -> DataFrame:
     """One row of RESULT for every document (doc_id, text)."""
     vocabulary = frozenset(w for _, text, _ in templates for w in text.encode().split())
     index = Index(templates, *document_frequency(docs, vocabulary), rare, least)

@@ -35,6 +35,36 @@ def test_templates_are_found_anywhere_and_need_their_key_phrase():
     assert index.scan([]) == (set(), 0.0)
 
 
+def brute_templates(w, least=0.8):
+    """Labels of the templates whose key phrase and enough other words stand at some place."""
+    found = set()
+    for label, text, key in licenses.TEMPLATES:
+        wanted, key = text.encode().split(), key.encode().split()
+        k = next(i for i in range(len(wanted)) if wanted[i : i + len(key)] == key)
+        for at in range(-k, len(w)):
+            same = sum(0 <= at + j < len(w) and w[at + j] == x for j, x in enumerate(wanted))
+            if w[at + k : at + k + len(key)] == key and same >= least * len(wanted):
+                found.add(label)
+    return found
+
+
+def test_no_notice_is_lost_among_many_others(spark):
+    notices = [text for _, text, _ in licenses.TEMPLATES]
+    every = {label for label, _, _ in licenses.TEMPLATES}
+    scattered = [w for text in notices for w in text.split()][::-1]
+    texts = [" filler ".join(notices), " ".join(scattered) + " filler " + notices[0], *(" -- ".join([notices[0], notices[k], " ".join(scattered)]) for k in range(len(notices)))]
+    vocabulary = sorted({w.encode() for w in scattered})
+    rng = np.random.default_rng(8)
+    for _ in range(4):
+        index = licenses.Index(licenses.TEMPLATES, dict(zip(vocabulary, rng.integers(0, 100, len(vocabulary)).tolist(), strict=True)), 100)
+        for t in texts:
+            w = licenses.words_of(t.encode())
+            assert brute_templates(w) <= index.scan(w)[0]
+        assert index.scan(licenses.words_of(texts[0].encode()))[0] == every
+    row = licenses.scan_licenses(spark.createDataFrame([(1, texts[0])], "doc_id long, text string")).first()
+    assert set(row.labels.split(",")) >= every
+
+
 def brute_viterbi(scores, penalty):
     best = {k: (s, [k]) for k, s in enumerate(scores[0])}
     for row in scores[1:]:
