@@ -17,8 +17,9 @@ similarity, so half the hash evaluations fill a signature.  Values are banded.
    decide, and only a spanning forest of the confirmed links leaves the task.
 4. Components of the confirmed links name each document's smallest partner.
 
-With 7 values a band and 28 bands, a pair at similarity 0.85 is missed with
-probability 2e-5, and less above it.
+A pair at the similarity that is asked for is missed with probability 2e-5,
+and less above it: 7 values a band and 28 bands do for 0.85, 6 values and 36
+bands for 0.80.
 
 Defined cases: a text that is null or has no words has an empty set, is linked
 with nothing and is kept; fewer than five words are one shingle; rows that
@@ -30,7 +31,9 @@ rows; other columns are ignored (the pipeline stage passes them through).
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -41,15 +44,14 @@ from pyspark.sql import functions as F
 
 from scriptloom.llm.common import discard, mapped, table, written
 
-ROWS, BANDS = 7, 28
+#: A pair at the threshold is missed with about this probability.
+MISS = 2e-5
 SHINGLE = 5
 #: Family members are broadcast up to so many (about 40 bytes each); beyond, the join with the texts is a shuffle.
 BROADCAST_ROWS = 1_000_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _rng = np.random.default_rng(20240229)
 _ODD = _rng.integers(0, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_PERM = _rng.integers(0, 1 << 63, ROWS * BANDS // 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_MIX = _rng.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _scramble(x: np.ndarray) -> np.ndarray:
@@ -58,6 +60,22 @@ def _scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """Values a band and bands for a threshold; 28 bands at least, an even number."""
+    rows = 7 if percent >= 85 else 6
+    agree = (percent / 100) ** rows
+    bands = math.ceil(math.log(MISS) / math.log1p(-agree)) if agree < 1 else 1
+    return rows, max(28, bands + bands % 2)
+
+
+@lru_cache
+def permutations(rows: int, bands: int) -> tuple[np.ndarray, np.ndarray]:
+    """A multiplier for each permutation (two values each), and one for each value's place in its band."""
+    rng = np.random.default_rng([20240229, rows, bands])
+    odd = rng.integers(0, 1 << 63, rows * bands // 2 + rows * bands, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return odd[: rows * bands // 2], odd[rows * bands // 2 :].reshape(bands, rows)
+
+
 def shingle_set(text: bytes | None, k: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word k-shingles (all words as one where there are fewer)."""
     words = (text or b"").translate(_LOWER).split()
@@ -73,21 +91,23 @@ def shingle_set(text: bytes | None, k: int = SHINGLE) -> np.ndarray:
     return np.unique(_scramble(s))
 
 
-def band_hashes(s: np.ndarray) -> np.ndarray:
+def band_hashes(s: np.ndarray, rows: int, bands: int) -> np.ndarray:
     """One hash per band over the minima and maxima of a non-empty set under each permutation."""
-    least = np.full(len(_PERM), np.iinfo(np.uint64).max, np.uint64)
-    most = np.zeros(len(_PERM), np.uint64)
+    perm, mix = permutations(rows, bands)
+    least = np.full(len(perm), np.iinfo(np.uint64).max, np.uint64)
+    most = np.zeros(len(perm), np.uint64)
     for at in range(0, len(s), 2048):
-        h = s[at : at + 2048, None] * _PERM
+        h = s[at : at + 2048, None] * perm
         h ^= h >> np.uint64(32)
         np.minimum(least, h.min(0), out=least)
         np.maximum(most, h.max(0), out=most)
-    values = np.concatenate([least, most]).reshape(BANDS, ROWS)
-    return _scramble((_scramble(values) * _MIX).sum(1) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+    values = np.concatenate([least, most]).reshape(bands, rows)
+    return _scramble((_scramble(values) * mix).sum(1) + np.arange(bands, dtype=np.uint64)).view(np.int64)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, percent: int) -> DataFrame:
     """doc_id, n_shingles, set_key (null for the empty set), bands of every document."""
+    shape = banding(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -96,7 +116,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 s = shingle_set(x.as_py())
                 sizes.append(len(s))
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                bands.append(band_hashes(s) if len(s) else None)
+                bands.append(band_hashes(s, *shape) if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_key", "bands"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).transform(mapped, run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
@@ -173,7 +193,7 @@ def forest(ids: np.ndarray, sets: list[np.ndarray], percent: int, left: int | No
 
 def near_duplicates(docs: DataFrame, percent: int = 85, block: int = 512) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document (doc_id, text)."""
-    sig = written(signatures(docs), "minhash-signatures")
+    sig = written(signatures(docs, percent), "minhash-signatures")
     classes = written(sig.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("size"), F.first("bands").alias("bands")), "minhash-classes")
     banded = classes.filter("rep is not null").select("rep", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -264,14 +284,14 @@ def confirmed(docs: DataFrame, family: DataFrame, percent: int, block: int) -> D
     return through.union(dealt.groupBy("family", "i", "j").applyInPandas(link, "a long, b long"))
 
 
-def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     """docs with one document of each group of near duplicates, all columns as they were."""
     gone = near_duplicates(docs, percent).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
 
 
 def op2_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
 OP2_SQL = r"""

@@ -1,5 +1,6 @@
 import corpus_pipeline
-from tests.llm.test_dedup import brute_near, normal
+from scriptloom.llm import minhash
+from tests.llm.test_dedup import brute_near, normal, shingles
 
 
 def test_stages_against_brute_force(spark, docs, tmp_path):
@@ -23,3 +24,23 @@ def test_stages_pass_columns_through(spark, docs):
 def test_stages_of_nothing(spark, none):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, "").count() == 0
+
+
+def test_near_stage_against_brute_force_at_80(spark):
+    rows = []
+    for k in range(48):  # 90 shingles; a run of k % 8 + 1 other words changes 5 to 12 of them: similarity 0.89 to 0.76, and 0.80 at 10
+        w = [f"v{k}x{i}" for i in range(94)]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join([*w[:40], *(f"z{k}x{i}" for i in range(k % 8 + 1)), *w[41 + k % 8 :]]))]
+    sets = {i: shingles(t) for i, t in rows}
+    linked = [i for i in sets if i % 2 and 100 * len(sets[i] & sets[i - 1]) >= 80 * len(sets[i] | sets[i - 1])]
+    assert len(linked) == 36
+    out = corpus_pipeline.near_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in out.collect()) == sorted(sets.keys() - set(linked))
+
+
+def test_bands_miss_few_pairs_at_any_threshold():
+    for percent in range(60, 101):
+        rows, bands = minhash.banding(percent)
+        assert (1 - (percent / 100) ** rows) ** bands <= 2.2e-5
+        assert rows * bands % 2 == 0
+    assert minhash.banding(85) == (7, 28)
