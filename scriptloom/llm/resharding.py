@@ -6,7 +6,9 @@ old shards' sizes to the new shards' capacities, where staying costs nothing
 and moving costs a unit a byte, says how many bytes go from where to where;
 it moves as few as any assignment can.  Blocks are cut along that flow, so a
 shard gives away whole blocks and at most one part of a block for each
-transfer.  Only files of shards that gain or lose rows are rewritten.
+transfer.  Only files of shards that gain or lose rows are rewritten; those of
+shards that no longer exist are removed.  The plan is made without texts; rows
+are laid down with a number, by which the texts follow the plan.
 
 Defined cases: a null text has no bytes, so its row has size 1; null
 identifiers hash like any value; rows that repeat are placed each, in an order
@@ -22,7 +24,7 @@ import heapq
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scriptloom.llm.common import remove, table, written
+from scriptloom.llm.common import new_folder, remove, table, written
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]]) -> list[list[int]]:
@@ -89,7 +91,7 @@ def cut(blocks: list[tuple[int, int, int]], flow: list[list[int]]) -> list[tuple
     A shard keeps its first blocks, so that what stays is contiguous.
     """
     out, at = [], {}
-    turns = {i: [[i, row[i]]] * bool(i < len(row) and row[i]) + [[j, x] for j, x in enumerate(row) if x and j != i] for i, row in enumerate(flow)}
+    turns = {i: ([[i, row[i]]] if i < len(row) and row[i] else []) + [[j, x] for j, x in enumerate(row) if x and j != i] for i, row in enumerate(flow)}
     for old, block, size in blocks:
         done = 0
         while done < size:
@@ -130,36 +132,54 @@ def reshard(rows: DataFrame, old_shards: int, shards: int, block_bytes: int = 1
 
 
 def rewrite(placed: DataFrame, columns: list[str], folder: str, shards: int) -> list[int]:
-    """Writes folder/shard=N for every shard whose rows change (old differs from shard somewhere), others stay; returns these shards.
+    """Writes folder/shard=N for every shard whose rows change (old differs from shard somewhere), others stay; returns these shards.  Files of old shards numbered shards or more are removed, as all their rows have moved.
 
     placed has old, shard, slot and the columns to write.  New files are
     written whole beside the old ones and take their place at the end.
     """
     spark = placed.sparkSession
     changed = placed.filter("old <> shard").select(F.explode(F.array("old", "shard")).alias("s")).distinct()
-    touched = sorted(r[0] for r in changed.collect() if r[0] < shards)  # at most as many as there are shards
+    changed = sorted(r[0] for r in changed.collect())  # at most as many as there are shards
+    touched = [s for s in changed if s < shards]
     if not touched:
         return []
-    placed.filter(F.col("shard").isin(touched)).select(*columns, "slot", "shard").write.partitionBy("shard").mode("overwrite").parquet(f"{folder}.new")
+    placed.filter(F.col("shard").isin(touched)).select(*columns, "slot", "shard").write.partitionBy("shard").mode("overwrite").option("compression", "zstd").parquet(f"{folder}.new")
     fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     fs = fs_path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(fs_path(folder))
-    for s in touched:
+    for s in changed:
+        new = fs_path(f"{folder}.new/shard={s}")
         remove(spark, f"{folder}/shard={s}")
-        fs.rename(fs_path(f"{folder}.new/shard={s}"), fs_path(f"{folder}/shard={s}"))
+        if s < shards and fs.exists(new) and not fs.rename(new, fs_path(f"{folder}/shard={s}")):
+            raise OSError(f"shard {s} stays in {folder}.new")
     remove(spark, f"{folder}.new")
     return touched
 
 
-def sized(docs: DataFrame, old: Column) -> DataFrame:
-    """doc_id, size, text_crc32, old, tie of documents (doc_id, text)."""
+def sized(docs: DataFrame, old: Column, *others: str) -> DataFrame:
+    """doc_id, size, text_crc32, old, tie and other columns of documents (doc_id, text)."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), old.alias("old")).withColumn("tie", F.xxhash64("doc_id", "size", "text_crc32"))
+    return docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), old.alias("old"), *others).withColumn("tie", F.xxhash64("doc_id", "size", "text_crc32"))
+
+
+def reshard_files(docs: DataFrame, old: Column, old_shards: int, shards: int, folder: str) -> DataFrame:
+    """Lays documents (doc_id, text) down in folder as old shards, reshards the files, and reads them: doc_id, size, text_crc32, shard, slot."""
+    spark = docs.sparkSession
+    laid = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), old.cast("int").alias("shard")).withColumn("row", F.monotonically_increasing_id())
+    laid.write.partitionBy("shard").option("compression", "zstd").parquet(folder)
+    reader = spark.read.schema("doc_id long, text string, row long, slot long, shard int")
+    before = reader.parquet(folder)
+    placed = written(reshard(sized(before, F.col("shard"), "row"), old_shards, shards).select("row", "old", "shard", "slot"), "reshard-placed")
+    texts = before.select("doc_id", "text", "row")
+    touched = rewrite(texts.join(placed.hint("shuffle_hash"), "row"), ["doc_id", "text", "row"], folder, shards)
+    after = reader.parquet(folder)
+    stayed = after.filter(~F.col("shard").isin(touched)).drop("slot").join(placed.select("row", "slot"), "row")  # files as they were know no slot
+    out = after.filter(F.col("shard").isin(touched)).unionByName(stayed)
+    return sized(out, F.col("shard"), "shard", "slot").select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
 def op4_min_cost_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From shards by source, which are far from even, to eight of near equal bytes."""
     docs = table(spark, sf_dir, "documents")
-    rows = sized(docs, F.pmod(F.xxhash64("source"), F.lit(8)).cast("int"))
-    out = reshard(rows, 8, 8)
+    out = reshard_files(docs, F.pmod(F.xxhash64("source"), F.lit(8)).cast("int"), 8, 8, new_folder(spark, "shards"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

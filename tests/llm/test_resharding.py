@@ -64,3 +64,33 @@ def test_only_changed_shards_are_rewritten(spark, tmp_path):
     assert resharding.rewrite(placed, ["doc_id"], folder, 3) == [1, 2]
     assert sorted((r.shard, r.doc_id) for r in spark.read.parquet(folder).collect()) == [(1, 2), (2, 3)]
     assert resharding.rewrite(placed.filter("old = shard"), ["doc_id"], folder, 3) == []
+
+
+def test_files_of_all_shards_are_written_and_old_ones_go(spark, docs, none, tmp_path):
+    source = sorted(((r.doc_id, r.text) for r in docs.collect()), key=repr)
+    old = F.pmod(F.xxhash64("source"), F.lit(4)).cast("int")
+    for shards in (8, 2):
+        folder = f"{tmp_path}/to{shards}"
+        check(resharding.reshard_files(docs, old, 4, shards, f"file://{folder}").collect(), source)
+        files = spark.read.parquet(f"file://{folder}").collect()
+        assert sorted(((r.doc_id, r.text) for r in files), key=repr) == source
+        assert {r.shard for r in files} <= set(range(shards))
+    assert resharding.reshard_files(none, old, 4, 8, f"file://{tmp_path}/none").count() == 0
+
+
+def test_shards_that_stay_keep_their_files(spark, tmp_path):
+    d = spark.createDataFrame([(i, "x" * 9) for i in range(40)], "doc_id long, text string")
+    old = F.when(F.col("doc_id") < 20, 0).otherwise(F.when(F.col("doc_id") < 25, 1).otherwise(2))
+    even = resharding.reshard_files(d, F.pmod("doc_id", F.lit(2)), 2, 2, f"file://{tmp_path}/even")
+    check(even.collect(), [(r.doc_id, r.text) for r in d.collect()])
+    assert sorted(r.doc_id for r in even.filter("shard = 0").collect()) == list(range(0, 40, 2))
+    check(resharding.reshard_files(d, old, 3, 2, f"file://{tmp_path}/fewer").collect(), [(r.doc_id, r.text) for r in d.collect()])
+    assert {p.name for p in (tmp_path / "fewer").glob("shard=*")} == {"shard=0", "shard=1"}
+
+
+def test_rows_of_shards_that_are_gone_are_not_there_twice(spark, tmp_path):
+    folder = f"file://{tmp_path}/shards"
+    placed = spark.createDataFrame([(1, 0, 0, 0), (2, 1, 0, 1)], "doc_id long, old int, shard int, slot long")
+    placed.withColumn("shard", F.col("old")).write.partitionBy("shard").parquet(folder)
+    assert resharding.rewrite(placed, ["doc_id"], folder, 1) == [0]
+    assert sorted(r.doc_id for r in spark.read.parquet(folder).collect()) == [1, 2]
