@@ -2,7 +2,9 @@
 
 Children are visited before their parents.  What a rule puts in place of a
 node is visited again, so rules build on one another's results within one
-pass; a budget bounds the visits.
+pass.  First visits are not bounded.  Visits of what was put in place are, in
+proportion to the tree's size and anew for each pass; where that is used up
+the program gets an error, and is not left half done in silence.
 """
 
 from __future__ import annotations
@@ -16,6 +18,14 @@ from scriptloom.js.scope import Scopes
 DONE = "done"  # changed in place, nothing to visit again
 
 
+#: Visits of replaced nodes that a pass may make: so many, and so many for each node of the tree.
+AGAIN, AGAIN_EACH = 400_000, 40
+
+
+class BudgetError(ValueError):
+    """A pass visits what rules put in place again and again."""
+
+
 class Skip:
     """A replacement that is not visited again."""
 
@@ -36,7 +46,7 @@ class Context:
     def __init__(self, program: Node, options: dict | None = None):
         self.program, self.changes, self.options = program, Counter(), options or {}
         self.version, self._scopes, self.at = 0, None, -1
-        self.budget = 400_000
+        self.again = (AGAIN, AGAIN_EACH)
 
     @property
     def scopes(self) -> Scopes:
@@ -78,6 +88,14 @@ def apply(ctx: Context, rules: list[Rule]) -> int:
             for t in types.split("|"):
                 (first if r.before else handlers)[t].append((r.name, f))
     start = sum(ctx.changes.values())
+    left = ctx.again[0] + ctx.again[1] * sum(1 for _ in ctx.program.walk())
+    inside = 0  # how many replaced nodes the visit is inside of
+
+    def again(n: Node) -> None:
+        nonlocal inside
+        inside += 1
+        visit(n)
+        inside -= 1
 
     def run(n: Node, found) -> bool:
         """Whether n is gone or was visited anew."""
@@ -92,21 +110,23 @@ def apply(ctx: Context, rules: list[Rule]) -> int:
             if out == DONE:
                 continue
             if out is True:
-                visit(n)
+                again(n)
                 return True
             new = [out] if isinstance(out, Node) else [out.node] if isinstance(out, Skip) else out
             swap(parent, n, new)
             if not isinstance(out, Skip):
                 for x in new:
                     if x.parent is not None:
-                        visit(x)
+                        again(x)
             return True
         return False
 
     def visit(n: Node) -> None:
-        ctx.budget -= 1
-        if ctx.budget < 0:
-            return
+        nonlocal left
+        if inside:
+            left -= 1
+            if left < 0:
+                raise BudgetError("a pass visits replaced nodes too often")
         if first and n.type in first and run(n, first[n.type]):
             return
         for c in n.kids():

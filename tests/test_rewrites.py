@@ -5,6 +5,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from scriptloom.js import numbers
+from scriptloom.js.engine import BudgetError, Context, Rule, apply
+from scriptloom.js.nodes import ident
+from scriptloom.js.parser import parse
 from scriptloom.js.pipeline import Options, decode_bookmarklet, rewrite, transform
 
 
@@ -201,3 +204,16 @@ TOGETHER = [
 @pytest.mark.parametrize(("code", "text"), TOGETHER)
 def test_whole_pipeline(code, text):
     assert flat(rewrite(code).code) == text
+
+
+def test_large_programs_are_rewritten_to_their_end():
+    code = rewrite("x=!0;" * 40_000).code
+    assert code.count("x = true;") == 40_000
+
+
+def test_endless_replacement_is_an_error():
+    ctx = Context(parse("x;"))
+    ctx.again = (50, 0)
+    turns = Rule("turns", {"Identifier": lambda n, _: ident("y" if n.name == "x" else "x")})
+    with pytest.raises(BudgetError):
+        apply(ctx, [turns])
