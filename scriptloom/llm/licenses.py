@@ -5,7 +5,8 @@ mandatory key phrase (highest inverse document frequency over the whole corpus)
 are indexed with positions.  All of them are looked up in every file; each
 posting votes for a template laid at the relative position, and where all rare
 words of a template agree it is verified: its key phrase must stand there word
-for word, and enough of its words must agree.  The key phrase must stand
+for word, and enough of its words must stand around it in their order, so that
+inserted and missing words lose no notice.  The key phrase must stand
 anyway, so the index loses no place, however many notices a file holds.  Beside
 that, every place of the base phrases is counted exactly.
 
@@ -33,7 +34,7 @@ BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved"
 # Label, notice, key phrase that must stand in it.
 TEMPLATES = [
     ("mit", "released under the mit license", "mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction", "permission is hereby granted free of charge"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", "permission is hereby granted free of charge"),
     ("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2 0"),
     ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", "except in compliance with the license"),
     ("gpl-2.0", "this work is licensed under the gnu general public license version 2", "gnu general public license version 2"),
@@ -61,6 +62,23 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(WORD_BYTES).split()
 
 
+def room(part: list[bytes]) -> int:
+    """In how many words of a file a part of a template may stand: a quarter more than it has, two at least."""
+    return len(part) + max(2, len(part) // 4) if part else 0
+
+
+def in_order(wanted: list[bytes], words: list[bytes]) -> int:
+    """How many of the wanted words stand in words in their order: the longest common subsequence."""
+    row = [0] * (len(words) + 1)
+    for a in wanted:
+        corner = 0
+        for j, b in enumerate(words):
+            above = row[j + 1]
+            row[j + 1] = corner + 1 if a == b else max(above, row[j])
+            corner = above
+    return row[-1]
+
+
 class Index:
     """Positions of the rarest words of each template's key phrase; rare is how many a template has."""
 
@@ -92,7 +110,8 @@ class Index:
             k = at + self.key_at[t]
             if n < self.needed[t] or k < 0 or words[k : k + len(key)] != key:
                 continue
-            agree = sum(a == b for a, b in zip(words[max(0, at) : at + len(wanted)], wanted[max(0, -at) :], strict=False)) / len(wanted)
+            end, left, right = k + len(key), wanted[: self.key_at[t]], wanted[self.key_at[t] + len(key) :]
+            agree = (len(key) + in_order(left, words[max(0, k - room(left)) : k]) + in_order(right, words[end : end + room(right)])) / len(wanted)
             if agree >= self.least:
                 labels.add(label)
                 best = max(best, agree)

@@ -65,6 +65,25 @@ def test_no_notice_is_lost_among_many_others(spark):
     assert set(row.labels.split(",")) >= every
 
 
+def test_inserted_and_missing_words_lose_no_notice():
+    index = licenses.Index(licenses.TEMPLATES, {}, 10)
+    mit = b"""MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
+        associated documentation files (the "Software"), to deal in the Software without restriction, including"""
+    assert index.scan(licenses.words_of(mit)) == ({"mit"}, 1.0)
+    for label, text, key in licenses.TEMPLATES:
+        w = text.split()
+        k = next(i for i in range(len(w)) if w[i : i + len(key.split())] == key.split())
+        outside = [i for i in range(len(w)) if not k <= i < k + len(key.split())]
+        for i in outside:
+            put = w[: i + (i > k)] + ["really"] + w[i + (i > k) :]
+            assert label in index.scan(" ".join(put).encode().split())[0]
+            assert label in index.scan(" ".join(w[:i] + w[i + 1 :]).encode().split())[0]
+        if len(outside) > 0.4 * len(w):
+            assert label not in index.scan(f"{key} {' '.join(w[i] for i in outside[::-1])}".encode().split())[0]
+    assert index.scan(b"the mit license is one of many".split()) == (set(), 0.0)
+    assert [licenses.in_order(list(a), list(b)) for a, b in (("abcd", "axbd"), ("abc", ""), ("abc", "cba"), ("aab", "ab"))] == [3, 0, 1, 2]
+
+
 def brute_viterbi(scores, penalty):
     best = {k: (s, [k]) for k, s in enumerate(scores[0])}
     for row in scores[1:]:
