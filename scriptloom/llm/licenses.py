@@ -107,6 +107,8 @@ class Index:
         labels, best = set(), 0.0
         for (t, at), n in votes.items():
             label, wanted, key = self.templates[t]
+            if label in labels and best == 1.0:  # nothing can be added
+                continue
             k = at + self.key_at[t]
             if n < self.needed[t] or k < 0 or words[k : k + len(key)] != key:
                 continue
@@ -124,9 +126,10 @@ def base_places(words: list[bytes]) -> list[tuple[int, str]]:
     out = []
     for phrase, label in BASE.items():
         wanted = b" " + phrase.encode() + b" "
-        at = joined.find(wanted)
+        at, seen, word = joined.find(wanted), 0, 0  # word: how many words start before seen
         while at >= 0:
-            out.append((joined.count(b" ", 0, at), label))
+            word, seen = word + joined.count(b" ", seen, at), at
+            out.append((word, label))
             at = joined.find(wanted, at + 1)
     return out
 

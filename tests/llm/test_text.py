@@ -1,4 +1,6 @@
 import re
+import time
+from itertools import combinations
 
 import numpy as np
 
@@ -65,6 +67,22 @@ def test_no_notice_is_lost_among_many_others(spark):
     assert set(row.labels.split(",")) >= every
 
 
+def test_all_pairs_of_notices_keep_both_labels():
+    index = licenses.Index(licenses.TEMPLATES, {}, 10)
+    for (_, x, _), (_, y, _) in combinations(licenses.TEMPLATES, 2):
+        w = f"{x} and also {y}".split()
+        assert brute_templates(w) <= index.scan([a.encode() for a in w])[0]
+
+
+def test_places_of_a_phrase_that_stands_very_often():
+    w = licenses.words_of(b"cc by " * 100_000 + b"all rights reserved")
+    start = time.process_time()
+    places = licenses.base_places(w)
+    assert time.process_time() - start < 1
+    assert places[:2] == [(0, "cc-by"), (2, "cc-by")]
+    assert places[99_999:] == [(199_998, "cc-by"), (200_000, "reserved")]
+
+
 def test_inserted_and_missing_words_lose_no_notice():
     index = licenses.Index(licenses.TEMPLATES, {}, 10)
     mit = b"""MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
