@@ -2,7 +2,9 @@ import hashlib
 import random
 import zlib
 from array import array
+from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 
@@ -10,22 +12,67 @@ from scriptloom.llm import bpe, packing
 from scriptloom.llm.tokens import load
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
-PARTS = [" ", " ", "\n", "\t", "a", "Ab", "'s", "1", ".", "é", "e\u0301", "日", "<|endoftext|>", "\x1c", "\r\n", "  ", "😀", "\u3000", "hello", "don't", "İ"]
+PARTS = [" ", " ", "\n", "\t", "a", "Ab", "'s", "1", ".", "é", "e\u0301", "日", "<|endoftext|>", "<|endof", "text|>", "'", "\x1c", "\r\n", "  ", "😀", "\u3000", "hello", "don't", "İ"]
 
 
 def ids(tokenizer, text):
     return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
 
-@pytest.mark.parametrize("mask", [3, 15, 2047])
+def store_of(texts, mask):
+    """Every chunk that stands in several places, encoded on its own."""
+    encoder, counts = bpe.ChunkEncoder(BYTE), Counter(c for s in texts for c in bpe.chunks_of(s.encode(), mask))
+    return {c: encoder.stored(c) for c, n in counts.items() if c and n > 1}
+
+
+@pytest.mark.parametrize("mask", [3, 15, 63])
 def test_chunked_encoding_is_the_librarys(mask):
-    t, e, d, rng = load(BYTE), bpe.ChunkEncoder(BYTE, mask=mask), bpe.Decoder(BYTE), random.Random(mask)
-    for _ in range(1500):
-        s = "".join(rng.choice(PARTS) for _ in range(rng.randint(0, 50)))
+    t, d, rng = load(BYTE), bpe.Decoder(BYTE), random.Random(mask)
+    some = lambda n: "".join(rng.choice(PARTS) for _ in range(rng.randint(1, n)))
+    pool = [some(60) for _ in range(30)] + ["x" * 400, " " * 300, "ab1" * 150, "日本" * 90]
+    texts = ["".join(rng.choice(pool) if rng.random() < 0.6 else some(30) for _ in range(rng.randint(0, 5))) for _ in range(1500)]
+    e = bpe.ChunkEncoder(BYTE, store_of(texts, mask), mask)
+    for s in texts:
         got = e.encode(s.encode())
         assert got == ids(t, s), s
         assert d.decode(got) == t.decode(t.encode(s, add_special_tokens=False).ids, skip_special_tokens=False)
-    assert mask > 15 or e.reused > 0
+    assert e.reused > 0.2 * sum(len(s.encode()) for s in texts)
+    assert e.joins > 100
+    assert mask < 63 or e.widened > 0
+
+
+def test_joins_ask_for_agreement_and_widen_until_there_is_some():
+    """The word at the cut ends far from it, so the first windows agree with neither part."""
+    left, right = b"one two " + b"a" * 150, b"a" * 200 + b" three four " + b"five " * 60
+    e = bpe.ChunkEncoder(BYTE)
+    data, done = left + right, []
+    parts = [e.part(at, x, *e.raw(x)) for at, x in ((0, left), (len(left), right))]
+    tail = e.join(data, *parts, done)
+    assert b"".join(done) + tail.ids.tobytes() == ids(load(BYTE), data.decode())
+    assert e.widened >= 2
+    other = e.part(len(left), right, parts[1].ids + 1, np.ones(len(parts[1].ids), bool))  # ids that no encoding gives
+    window = e.part(0, data, *e.raw(data))
+    assert bpe.ChunkEncoder.agreement(parts[0], window, parts[1], 4, len(data)) is not None
+    assert bpe.ChunkEncoder.agreement(parts[0], window, other, 4, len(data)) is None
+    wrong = e.part(0, left, parts[0].ids + 1, np.ones(len(parts[0].ids), bool))
+    assert bpe.ChunkEncoder.agreement(wrong, window, parts[1], 4, len(data)) is None
+
+
+def test_chunks_of_several_documents_are_stored_once(spark):
+    passage = " ".join(f"shared{i}" for i in range(400))
+    rows = [(i, f"{i * 977} starts " + " ".join(f"own{i}x{j}" for j in range(50)) + " " + passage + f" ends {i}") for i in range(30)] + [(99, None), (99, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    store = bpe.chunk_store(d, BYTE)
+    assert sum(c in passage.encode() for c in store) == len(store) >= 3
+    few = bpe.chunk_store(d, BYTE, store_chunks=2)
+    assert len(few) == 2
+    assert sum(map(len, few)) >= 0.3 * sum(map(len, store))
+    for bounds in ({}, {"store_chunks": 2}, {"store_bytes": 0}):
+        got = {r.doc_id: r for r in bpe.round_trip(d, BYTE, **bounds).collect()}
+        for i, text in rows[:30]:
+            assert got[i].ids_sha256 == hashlib.sha256(ids(load(BYTE), text)).hexdigest()
+            assert got[i].n_bytes == len(text)
+            assert got[i].reused_bytes == (0 if bounds.get("store_bytes") == 0 else sum(map(len, few if bounds else store)))
 
 
 def test_round_trip_rows(docs, none):
