@@ -9,8 +9,10 @@ Defined cases: a null text is an empty one; a text without words has an empty
 sketch (empty string), which is alike (1.0) to another empty one and unlike
 (0.0) to any other; fewer than five words are one shingle; equal texts have
 equal sketches; among rows that repeat a doc_id the order is by the text's
-hash; null doc_ids come last in descending order; a single document is its own
-next one; an empty table gives no rows; other columns are ignored.
+hash; null doc_ids come last in descending order, ordered by the text's hash
+among themselves; a single document is its own next one; an empty table gives
+no rows; other columns are ignored.  An identifier that very many rows have, or
+none, is cut by the text's hash; only rows that repeat both are held together.
 """
 
 from __future__ import annotations
@@ -68,38 +70,103 @@ def printed(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda x: F.lpad(F.hex(x), 16, "0")), "")
 
 
-def with_next(docs: DataFrame, row: Callable[[], Column], per_bucket: int = 20_000) -> DataFrame:
-    """docs (with doc_id, tie) plus `own` and `next`: the column row() of each document and of the one that follows in descending doc_id; the last is followed by the first.
+def steps_of(docs: DataFrame, steps: int) -> tuple[list[int], list[int]]:
+    """Quantiles of doc_id over all rows that have one, ascending, and how many steps each of them spans; an identifier that many rows have spans several."""
+    cuts = docs.agg(F.percentile_approx("doc_id", [i / steps for i in range(1, steps)], max(10_000, 4 * steps))).first()[0] if steps > 1 else None
+    spans: dict[int, int] = {}
+    for c in cuts or ():
+        spans[c] = spans.get(c, 0) + 1
+    return list(spans), list(spans.values())
 
-    The order is cut into ranges by quantiles, and each range into even steps,
-    so no task holds more than about per_bucket rows; only the first row of
-    each range travels to the range before it.
+
+def numbers(values: list[int]) -> Column:
+    """A constant array<bigint>, folded once."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def table_of(spark: SparkSession, rows: list[tuple], names: tuple[str, ...]) -> DataFrame:
+    """Rows of whole numbers or nulls as a table, from constants."""
+    if not rows:
+        return spark.range(0).select(*[F.col("id").alias(n) for n in names])
+    at, out = F.col("at").cast("int"), spark.range(len(rows)).withColumnRenamed("id", "at").coalesce(1)
+    columns = zip(*rows, strict=True)
+    return out.select(*[F.when(F.get(numbers([int(v is not None) for v in c]), at) == 1, F.get(numbers([v or 0 for v in c]), at)).alias(n) for n, c in zip(names, columns, strict=True)])
+
+
+def buckets_of(docs: DataFrame, n: int, per_bucket: int, most: int) -> Column:
+    """The bucket of a row of docs (doc_id, tie): a range of the descending order of identifiers, then of ties.
+
+    Quantiles cut the identifiers.  One that spans k steps is alone in its
+    range, and is cut into k + 1 even ranges of the tie, a hash; so are rows
+    without an identifier, which come last.
+    """
+    steps = min(most, max(1, n // per_bucket))
+    cuts, spans = steps_of(docs, steps)
+    nulls = docs.filter("doc_id is null").count()
+    null_steps = 1 + min(most, nulls // per_bucket)
+    # Each cut opens a range from it on; a heavy one closes behind itself.
+    starts, widths = [], []
+    for c, k in zip(cuts, spans, strict=True):
+        if not starts or starts[-1] != c:
+            starts.append(c)
+            widths.append(1)
+        if k > 1:
+            widths[-1] = k + 1
+            if c < -BIAS - 1:
+                starts.append(c + 1)
+                widths.append(1)
+    first, at = [], 1  # the bucket that a range starts with, counted up with identifiers
+    for w in widths:
+        first.append(at)
+        at += w
+    place = F.lit(0)  # how many ranges start at or below the identifier: a binary search
+    if starts:
+        known = numbers(starts)
+
+        def halve(step: int) -> Callable[[Column], Column]:
+            return lambda p: F.when(F.get(known, p + step - 1) <= F.col("doc_id"), p + step).otherwise(p)
+
+        for bit in range(len(starts).bit_length() - 1, -1, -1):
+            place = F.transform(F.array(place), halve(1 << bit))[0]
+
+    def within(width: Column) -> Column:
+        """Which even range of the tie, counted up with it."""
+        share = F.shiftrightunsigned(F.col("tie"), 33)  # 31 bits; the sign comes first in the order
+        return F.shiftright((share.bitwiseXOR(F.lit(1 << 30))) * width, 31)
+
+    base, width = F.get(numbers([0, *first]), place), F.get(numbers([1, *widths]), place)
+    # Identifiers are counted down and ties up: buckets ascend in the order of rows.
+    known_row = -(base + width - 1) + within(width)
+    return F.when(F.col("doc_id").isNull(), F.lit(1) + within(F.lit(null_steps))).otherwise(known_row).cast("long")
+
+
+def with_next(docs: DataFrame, row: Callable[[], Column], per_bucket: int = 2_000, most: int = 65_536) -> DataFrame:
+    """docs (with doc_id, tie) plus `own` and `next`: the column row() of each row and of the one that follows in descending doc_id; the last is followed by the first.
+
+    The order is cut into ranges of about per_bucket rows, at most about `most`
+    of them, and rows travel once, to their range's task; row() is computed
+    there.  The first row of each range travels to the range before it.  What
+    the driver sees is a row (bucket, doc_id, tie) for each range.
     """
-    n, low, high = docs.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).first()
-    parts = min(64, max(1, n // per_bucket))
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000)).first()[0] if parts > 1 else []
-    edges = [0 if low is None else low, *sorted(set(cuts or []) - {low, high}), 0 if high is None else high]
-    steps = max(1, n // (parts * per_bucket))
-    at = F.lit(0).cast("long")
-    for i, edge in enumerate(edges[:-1]):
-        width = max(1, -(-(edges[i + 1] - edge + 1) // steps))
-        step = F.least(F.lit(steps - 1), F.floor((F.col("doc_id") - F.lit(edge)) / F.lit(width)))
-        at = F.when(F.col("doc_id") >= edge, F.lit(i * steps) + step).otherwise(at)
-    # Ids are counted down, and so are buckets; rows without an id have the last.
-    docs = docs.withColumn("bucket", F.when(F.col("doc_id").isNull(), F.lit(1)).otherwise(-at).cast("long"))
+    n = docs.count()
+    bucket = buckets_of(docs, n, per_bucket, most)
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), (-F.col("doc_id").cast("decimal(20,0)")).alias("down"), "tie")
+    tops = docs.select(bucket.alias("bucket"), "doc_id", "tie").groupBy("bucket").agg(F.min_by(F.struct("doc_id", "tie"), order).alias("top")).collect()
+    tops = sorted((r.bucket, r.top.doc_id, r.top.tie) for r in tops)  # bounded by most
+    heads = [(tops[i - 1][0], *top[1:]) for i, top in enumerate(tops)]
+    heads = table_of(docs.sparkSession, heads, ("before", "top_id", "top_tie"))
+    # The first rows of ranges: a scan with a broadcast of a row for each range, then one row for each.
+    first = docs.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("top_id")) & (F.col("tie") == F.col("top_tie"))).dropDuplicates(["before"])
+    first = first.withColumn("outer", row()).select(F.col("before").alias("bucket"), "outer")
     inside = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), "tie")
-    chained = docs.withColumn("own", row()).withColumn("inner", F.lead("own").over(inside))
-    first = docs.groupBy("bucket").agg(F.max("doc_id").alias("top"))  # a row for each bucket, of which there are n / per_bucket
-    heads = docs.join(F.broadcast(first.withColumnRenamed("bucket", "b")), (F.col("bucket") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("top")))
-    heads = heads.withColumn("own", row()).groupBy("bucket").agg(F.min_by("own", "tie").alias("head"))
-    order = Window.orderBy("bucket")
-    ends = heads.select("bucket", F.coalesce(F.lead("head").over(order), F.first("head").over(order)).alias("outer"))
-    return chained.join(ends, "bucket").withColumn("next", F.coalesce("inner", "outer")).drop("inner", "outer", "bucket")
+    placed = docs.withColumn("bucket", bucket).repartition("bucket").withColumn("own", row())
+    chained = placed.withColumn("inner", F.lead("own").over(inside))
+    return chained.join(first, "bucket").withColumn("next", F.coalesce("inner", "outer")).drop("inner", "outer", "bucket")
 
 
 def fingerprint_documents(docs: DataFrame, k: int = K) -> DataFrame:
-    """The contract's row for every document (doc_id, text)."""
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns({"n_chars": F.length("text").cast("long"), "tie": F.xxhash64("text")})
+    """The contract's row for every document (doc_id, text), and how the sketch stands to the edited text's: containment and distinct shingles."""
+    base = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumns({"n_chars": F.length("text").cast("long"), "tie": F.xxhash64("text")})
     chained = with_next(base, lambda: F.struct("text", sketch(F.col("text"), k).alias("sketch")))
     third = F.floor(F.col("n_chars") / 3)
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - third).cast("int")), F.substring(F.col("next.text"), F.lit(1), third.cast("int")))
@@ -107,6 +174,7 @@ def fingerprint_documents(docs: DataFrame, k: int = K) -> DataFrame:
     return out.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), printed(F.col("own")).alias("fingerprint"), printed(F.col("theirs")).alias("edited_fingerprint"),
         resemblance(F.col("own"), F.col("theirs"), k).alias("near_edited"), resemblance(F.col("own"), F.col("other"), k).alias("near_next"),
+        containment(F.col("own"), F.col("theirs"), k).alias("contained"), distinct_shingles(F.col("own"), k).alias("n_distinct"),
     )
 
 

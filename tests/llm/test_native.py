@@ -1,7 +1,9 @@
 import hashlib
+import random
 import re
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from scriptloom.llm import fingerprints, url_filter
@@ -46,25 +48,54 @@ def shingles(t):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-@pytest.mark.parametrize("per_bucket", [2, 20_000])
-def test_fingerprints_against_brute_force(docs, per_bucket, monkeypatch):
-    inner = fingerprints.with_next
-    monkeypatch.setattr(fingerprints, "with_next", lambda d, row: inner(d, row, per_bucket))
-    rows = sorted({(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None}, key=lambda x: -x[0])
-    d = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    got = {r.doc_id: r for r in fingerprints.fingerprint_documents(d).collect()}
-    assert len(got) == len(rows)
+def in_order(rows):
+    """Descending identifiers, none last; equal ones by the text's hash, signed."""
+    tie = lambda t: (xxhash.xxh64_intdigest((t or "").encode(), 42) ^ (1 << 63)) - (1 << 63)
+    return sorted(rows, key=lambda x: (x[0] is None, -(x[0] or 0), tie(x[1])))
+
+
+def check(spark_rows, rows):
+    rows = in_order(rows)
+    got = sorted(((r.doc_id, r.n_chars, r.edited_sha256) for r in spark_rows), key=repr)
+    want, likeness = [], {}
     for k, (i, t) in enumerate(rows):
         t, after = t or "", rows[(k + 1) % len(rows)][1] or ""
         n = len(t) // 3
         edited = t[: len(t) - n] + after[:n]
-        r = got[i]
-        assert r.n_chars == len(t)
-        assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        for other, likeness in ((edited, r.near_edited), (after, r.near_next)):
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest()))
+        likeness[want[-1]] = t, edited, after
+    assert got == sorted(want, key=repr)
+    for r in spark_rows:
+        t, edited, after = likeness[(r.doc_id, r.n_chars, r.edited_sha256)]
+        for other, value in ((edited, r.near_edited), (after, r.near_next)):
             a, b = shingles(t), shingles(other)
             true = len(a & b) / len(a | b) if a | b else 1.0
-            assert abs(true - likeness) <= (0.001 if len(a | b) <= fingerprints.K else 0.2)
+            assert abs(true - value) <= (0.001 if len(a | b) <= fingerprints.K else 0.2)
+        a, b = shingles(t), shingles(edited)
+        assert abs(r.n_distinct - len(a)) <= (0.001 if len(a) < fingerprints.K else 0.35 * len(a))
+        assert abs(r.contained - (len(a & b) / len(a) if a else 1.0)) <= (0.001 if len(a | b) < fingerprints.K else 0.3)
+
+
+@pytest.mark.parametrize("per_bucket", [1, 2, 20_000])
+def test_fingerprints_against_brute_force(docs, per_bucket, monkeypatch):
+    inner = fingerprints.with_next
+    monkeypatch.setattr(fingerprints, "with_next", lambda d, row: inner(d, row, per_bucket))
+    check(fingerprints.fingerprint_documents(docs).collect(), [(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_identifiers_that_many_rows_have_are_cut(spark):
+    rng = random.Random(4)
+    text = lambda: " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 12)))
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else rng.randint(-50, 50), f"{k} {text()}") for k in range(600)] + [((1 << 63) - 1, "top"), (-(1 << 63), "bottom")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    base = d.withColumn("tie", F.xxhash64("text"))
+    sizes = [r["count"] for r in base.groupBy(fingerprints.buckets_of(base, len(rows), 20, 1000)).count().collect()]
+    assert len(sizes) >= 25
+    assert max(sizes) <= 70
+    chained = fingerprints.with_next(base, lambda: F.struct("text"), 20)
+    ordered = in_order(rows)
+    got = sorted(((r.own.text, r.next.text) for r in chained.collect()))
+    assert got == sorted((t, ordered[(k + 1) % len(ordered)][1]) for k, (_, t) in enumerate(ordered))
 
 
 def test_fingerprints_of_repeats_and_nothing(docs, none):
