@@ -22,11 +22,17 @@ def packed() -> bytes:
     return out.getvalue()
 
 
+def on_one_machine(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process (local mode)."""
+    return spark.sparkContext.master.startswith(("local[", "local ")) or spark.sparkContext.master == "local"
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Sends this package to the executors, once per application, by Spark's own file distribution.
 
     It is placed in the folder that driver and executors share
-    (spark.checkpoint.dir); without one, on a single machine, in a temporary one.
+    (spark.checkpoint.dir).  Without one, on a single machine, it is in a
+    temporary one; on a cluster that is an error.
     """
     context = spark.sparkContext
     if context.applicationId in _shipped:
@@ -38,6 +44,8 @@ def ship(spark: SparkSession) -> SparkSession:
         stream = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path)
         stream.write(bytearray(packed()))
         stream.close()
+    elif not on_one_machine(spark):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     else:
         target = str(Path(tempfile.mkdtemp(prefix="scriptloom-")) / "scriptloom_pkg.zip")
         Path(target).write_bytes(packed())
