@@ -9,6 +9,11 @@ Where no stretch of words favours another language by more than half the
 penalty, one label for all words is the optimum, which is found from running
 sums; only other texts need the step-by-step search.
 
+Whether a text is in any learned language at all is judged by its evidence:
+the mean log likelihood of its n-grams, drawn towards that of learned texts
+where it is short.  Texts far below the least of the learned ones are rejected
+by the filter; the label itself does not depend on it.
+
 Defined cases: a text that is null or has no letter is `und` with score 0, and
 so is any text if nothing could be learned; null or unknown languages are not
 learned; ties go to the language that sorts first; a null identifier counts
@@ -18,7 +23,7 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,13 +75,28 @@ def script_of(word: str) -> int:
     return -1 if letter else -2
 
 
-def grams(word: bytes) -> list[int]:
-    """Hashed n-grams of 2 to 4 bytes of the word between marks, and the whole word."""
-    w = b"<" + word + b">"
-    n = len(w)
-    out = [zlib.crc32(w[i : i + k]) for k in (2, 3, 4) for i in range(n - k + 1)]
-    out.append(zlib.crc32(w, 7))
-    return out
+def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the hashed n-grams of 2 to 4 bytes of each word between marks, and of the whole word: buckets word by word, and how many each word has."""
+    lengths = np.array([len(w) + 2 for w in words])
+    raw = np.frombuffer(b"<" + b"><".join(words) + b">", np.uint8).astype(np.uint64) + np.uint64(1)
+    owner = np.repeat(np.arange(len(words)), lengths)
+    ends = np.cumsum(lengths)
+    room = np.repeat(ends, lengths) - np.arange(len(raw))  # bytes from here to the word's end
+    hashed, owners = [], []
+    h = raw.copy()
+    for k in (2, 3, 4):
+        h = h[:-1] * np.uint64(0x100000001B3) + raw[k - 1 :]
+        here = room[: len(h)] >= k
+        hashed.append(h[here] * np.uint64(8) + np.uint64(k))
+        owners.append(owner[: len(h)][here])
+    place = np.arange(len(raw)) - np.repeat(ends - lengths, lengths)
+    power = np.cumprod(np.full(int(lengths.max()), 0x9E3779B97F4A7C15, np.uint64))
+    hashed.append(np.add.reduceat(raw * power[place], ends - lengths) * np.uint64(8))
+    owners.append(np.arange(len(words)))
+    ids, whose = np.concatenate(hashed), np.concatenate(owners)
+    ids = (ids ^ (ids >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    order = np.argsort(whose, kind="stable")
+    return ((ids >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int64)[order], np.bincount(whose, minlength=len(words))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -95,6 +115,8 @@ class Model:
         self.words: dict[bytes, int] = {}
         self.scores = np.zeros((0, len(languages)), np.float32)  # grows to its limit on the worker
         self.letters = np.zeros(0, np.int64)
+        self.sums, self.counts = np.zeros(0), np.zeros(0, np.int64)  # log likelihood in the best language, and n-grams
+        self.usual, self.floor = 0.0, -np.inf  # evidence of learned texts: the mean, and below what a text is rejected
 
     def learn_words(self, words: set[bytes], limit: int = 250_000) -> None:
         """Scores of words not met before, together."""
@@ -105,18 +127,19 @@ class Model:
             more = max(2 * len(self.scores), start + len(words)) - len(self.scores)
             self.scores = np.vstack([self.scores, np.zeros((more, len(self.languages)), np.float32)])
             self.letters = np.append(self.letters, np.zeros(more, np.int64))
-        new, flat, firsts, masks, letters = list(words), [], [], [], []
+            self.sums, self.counts = np.append(self.sums, np.zeros(more)), np.append(self.counts, np.zeros(more, np.int64))
+        new, masks, letters = list(words), [], []
         for k, w in enumerate(new):
             self.words[w] = start + k
-            firsts.append(len(flat))
-            flat += grams(w)
             s = 0 if w.isascii() else script_of(w.decode("utf-8", "replace"))
             masks.append(s)
             letters.append(0 if s == -2 else len(w))
-        firsts_ = np.array(firsts)
-        ids = np.array(flat, np.int64) % BUCKETS
-        sizes = np.diff(np.append(firsts_, len(ids)))
-        got = np.add.reduceat(self.log[ids], firsts_, axis=0) / np.sqrt(sizes)[:, None]
+        ids, sizes = grams(new)
+        got = np.add.reduceat(self.log[ids], np.cumsum(sizes) - sizes, axis=0)
+        wordless = np.array(masks) == -2
+        self.sums[start : start + len(new)] = np.where(wordless, 0, got.max(1))
+        self.counts[start : start + len(new)] = np.where(wordless, 0, sizes)
+        got /= np.sqrt(sizes)[:, None]
         got -= got.max(1, keepdims=True)
         for k, s in enumerate(masks):
             if s == -2:
@@ -147,6 +170,22 @@ class Model:
             return np.full(len(rows), best)
         return viterbi(scores, penalty)
 
+    def likelihood(self, text: bytes | None) -> tuple[float, int]:
+        """Sum of log likelihoods of a text's n-grams, each word's in its best language, and how many there are."""
+        words = (text or b"").translate(LETTERS).split()
+        if not words or not self.languages:
+            return 0.0, 0
+        rows = self.rows(words)
+        return float(self.sums[rows].sum()), int(self.counts[rows].sum())
+
+    def evidence(self, total: float, n: int, drawn: int = 50) -> float:
+        """Mean log likelihood of an n-gram, as if `drawn` usual ones stood beside."""
+        return (total + drawn * self.usual) / (n + drawn)
+
+    def accepts(self, text: bytes | None, penalty: float) -> bool:
+        """Whether a text is in a learned language: some word has a letter, and the evidence is not below the floor."""
+        return self.predict(text, penalty)[0] != UNKNOWN and self.evidence(*self.likelihood(text)) >= self.floor
+
     def predict(self, text: bytes | None, penalty: float) -> tuple[str, float]:
         words = (text or b"").translate(LETTERS).split()
         if not words or not self.languages:
@@ -184,34 +223,46 @@ def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
     return np.array(out[::-1])
 
 
-def train(docs: DataFrame, train_docs: int = 20_000) -> Model:
-    """A model of the languages in docs (doc_id, text, lang), fitted on about train_docs of the rows that have a language.
+def sampled(docs: DataFrame, train_docs: int) -> DataFrame:
+    """Of the rows of docs that have a text and a language about train_docs, each language with an even share, or all of its rows if they are fewer: a share of the rows by a hash of identifier and language.
 
-    The sample is a share of all rows by a hash of identifier and language;
-    the counts it gives are bounded by buckets times languages.
+    The driver sees a row for each language.
     """
     known = docs.filter("lang is not null and text is not null")
-    rows = known.count()
+    counts = known.groupBy("lang").count().collect()
     million = 1_000_000
-    share = million if rows <= train_docs else max(1, million * train_docs // rows)
-    sample = known.filter(F.pmod(F.xxhash64("doc_id", "lang"), F.lit(million)) < share)
+    shares = {r["lang"]: min(million, max(1, million * (train_docs // len(counts)) // r["count"])) for r in counts}
+    if all(v == million for v in shares.values()):
+        return known
+    share = F.element_at(F.create_map(*[F.lit(x) for pair in shares.items() for x in pair]), F.col("lang"))
+    return known.filter(F.pmod(F.xxhash64("doc_id", "lang"), F.lit(million)) < share)
+
+
+def train(docs: DataFrame, train_docs: int = 20_000) -> Model:
+    """A model of the languages in docs (doc_id, text, lang), fitted on about train_docs of the rows that have a language.
+
+    The counts are bounded by buckets times languages.
+    """
+    sample = sampled(docs, train_docs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally: dict[str, np.ndarray] = {}
         for b in batches:
+            met: dict[str, Counter] = {}
             for lang, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                met.setdefault(lang, Counter()).update(x.as_py().translate(LETTERS).split())
+            for lang, counter in met.items():
                 if lang not in tally:
                     tally[lang] = np.zeros(BUCKETS + len(NAMES), np.int64)
-                words = x.as_py().translate(LETTERS).split()
-                for w in words:
-                    if not w.isascii():
-                        s = script_of(w.decode("utf-8", "replace"))
-                        if s >= 0:
-                            tally[lang][BUCKETS + s] += 1
-                    else:
-                        tally[lang][BUCKETS] += 1
-                if words:
-                    tally[lang][:BUCKETS] += np.bincount(np.array([g for w in words for g in grams(w)], np.int64) % BUCKETS, minlength=BUCKETS)
+                if not counter:
+                    continue
+                words, times = list(counter), np.array(list(counter.values()))
+                for w, n in counter.items():
+                    s = 0 if w.isascii() else script_of(w.decode("utf-8", "replace"))
+                    if s >= 0:
+                        tally[lang][BUCKETS + s] += n
+                ids, sizes = grams(words)
+                tally[lang][:BUCKETS] += np.bincount(ids, np.repeat(times, sizes), BUCKETS).astype(np.int64)
         for lang, t in tally.items():
             at = np.flatnonzero(t)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(t[at], pa.int64())], ["lang", "bucket", "n"])
@@ -237,15 +288,32 @@ def identify(docs: DataFrame, model: Model, penalty: float = 10.0) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).transform(mapped, run, "doc_id long, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
-    """docs without those in which no language is found, all columns as they were, in one pass and without a shuffle."""
+def with_floor(docs: DataFrame, model: Model, floor_docs: int = 2_000, margin: float = 1.0) -> Model:
+    """The model with the evidence below which a text is rejected: the least of about floor_docs learned texts, less margin (nats an n-gram)."""
+    shared = ship(docs.sparkSession).sparkContext.broadcast(model)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [shared.value.likelihood(x.as_py()) for x in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in got], pa.float64()), pa.array([n for _, n in got], pa.int64())], ["total", "n"])
+
+    got = sampled(docs, floor_docs).select(F.col("text").cast("binary")).transform(mapped, measure, "total double, n long").filter("n > 0").toArrow()  # bounded by floor_docs
+    totals, counts = got.column("total").to_numpy(), got.column("n").to_numpy()
+    if len(totals):
+        model.usual = float(totals.sum() / counts.sum())
+        model.floor = float(model.evidence(totals, counts).min()) - margin
+    return model
+
+
+def keep_identified(docs: DataFrame, model: Model, penalty: float = 10.0) -> DataFrame:
+    """docs without those that are in no learned language, all columns as they were, in one pass and without a shuffle."""
     shared = ship(docs.sparkSession).sparkContext.broadcast(model)
     found = distinct_name("lang_found", docs.columns)
 
     @F.pandas_udf("boolean")
     def identified(texts: pd.Series) -> pd.Series:
         m = shared.value
-        return pd.Series([m.predict(None if x is None else x.encode("utf-8", "replace"), 10.0)[0] != UNKNOWN for x in texts], dtype=bool)
+        return pd.Series([m.accepts(None if x is None else x.encode("utf-8", "replace"), penalty) for x in texts], dtype=bool)
 
     return docs.withColumn(found, identified(F.col("text"))).filter(F.col(found)).drop(found)
 

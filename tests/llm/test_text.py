@@ -143,6 +143,56 @@ def test_edges(docs, none):
     assert got[9][0] != "und"
     assert languages.identify(none, languages.train(none)).count() == 0
     assert {r.lang_pred for r in languages.identify(docs, languages.train(none)).collect()} == {"und"}
+
+
+def brute_accepted(rows, m):
+    """Identifiers of the rows with a letter whose mean n-gram is not far less likely than learned ones'; rows are (doc_id, text, whether learned)."""
+
+    def likelihood(t):
+        found = [languages.grams([w])[0] for w in (t or "").encode().translate(languages.LETTERS).split() if any(c.isalpha() for c in w.decode("utf-8", "replace"))]
+        return sum(m.log[g].sum(0).max() for g in found), sum(map(len, found))
+
+    measured = [(*likelihood(t), learned) for _, t, learned in rows]
+    usual = sum(s for s, n, learned in measured if learned) / sum(n for _, n, learned in measured if learned)
+    evidence = [(s + 50 * usual) / (n + 50) for s, n, _ in measured]
+    floor = min(e for e, (_, n, learned) in zip(evidence, measured, strict=True) if learned and n) - 1
+    return sorted((i for (i, _, _), (_, n, _), e in zip(rows, measured, evidence, strict=True) if n and e >= floor), key=repr)
+
+
+def test_filter_rejects_what_is_in_no_learned_language(docs, none):
+    m = languages.with_floor(docs, languages.train(docs))
     kept = languages.keep_identified(docs, m)
     assert kept.columns == docs.columns
-    assert {r.doc_id for r in docs.collect()} - {r.doc_id for r in kept.collect()} == {5, 6, 7, 13}
+    rows = [(r.doc_id, r.text, r.lang is not None and r.text is not None) for r in docs.collect()]
+    assert sorted((r.doc_id for r in kept.collect()), key=repr) == brute_accepted(rows, m)
+    assert languages.keep_identified(none, languages.with_floor(none, languages.train(none))).count() == 0
+    assert languages.keep_identified(docs, languages.with_floor(none, languages.train(none))).count() == 0
+
+
+def test_gibberish_and_other_languages_go_and_clean_texts_stay(spark):
+    rng = np.random.default_rng(3)
+    syllables = {"en": "the tion ing er on re and ther".split(), "de": "der ung sch ein ich ver gen ber".split()}
+    text = lambda k: " ".join("".join(rng.choice(syllables[k], rng.integers(1, 4))) for _ in range(60))
+    rows = [(i, text(k), k) for i, k in enumerate(["en", "de"] * 150)]
+    new = [(1000 + i, text(k), None) for i, k in enumerate(["en", "de"] * 50)]
+    bad = [(2000 + i, "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz  "), 400)), None) for i in range(20)] + [(3000, "это был холодный зимний день " * 5, None), (3001, "12 34 !!", None)]
+    d = spark.createDataFrame(rows + new + bad, "doc_id long, text string, lang string")
+    m = languages.with_floor(d, languages.train(d))
+    assert sorted(r.doc_id for r in languages.keep_identified(d, m).collect()) == [i for i, _, _ in rows + new]
+
+
+def test_rare_languages_are_learned_at_any_size(spark):
+    rows = [(i, "common words of the first", "aa") for i in range(2000)] + [(9000 + i, "andere woorden hier", "bb") for i in range(5)]
+    got = languages.sampled(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 100).groupBy("lang").count().collect()
+    got = {r["lang"]: r["count"] for r in got}
+    assert got["bb"] == 5
+    assert 20 <= got["aa"] <= 90
+
+
+def test_grams_are_those_of_each_word():
+    words = [b"a", b"the", "über".encode(), b"x" * 40, b"the"]
+    ids, sizes = languages.grams(words)
+    assert sizes.tolist() == [sum(max(0, len(w) + 2 - k + 1) for k in (2, 3, 4)) + 1 for w in words]
+    starts = np.cumsum(sizes) - sizes
+    for w, a, n in zip(words, starts, sizes, strict=True):
+        assert ids[a : a + n].tolist() == languages.grams([w])[0].tolist()
