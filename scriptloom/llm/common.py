@@ -4,34 +4,66 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptloom.session import ship
+from scriptloom.session import on_one_machine, ship
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
+_scopes = threading.local()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where the setting is absent, as in tests on one machine, a temporary
-    folder of this machine takes its place.
+    Only where the setting is absent and all is on one machine, as in tests, a
+    temporary folder takes its place; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not on_one_machine(spark):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", "scriptloom")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
+@contextmanager
+def working() -> Iterator[None]:
+    """Folders that this thread makes inside are deleted at the end."""
+    stack = _scopes.__dict__.setdefault("stack", [])
+    stack.append([])
+    try:
+        yield
+    finally:
+        for spark, path in stack.pop():
+            remove(spark, path)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scopes.__dict__.get("stack"):
+        _scopes.stack[-1].append((spark, path))
+    return path
+
+
+def settled(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """What build gives, as a written table; all else that it wrote is deleted."""
+    path = new_folder(spark, name)
+    with working():
+        df = build()
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -1,14 +1,16 @@
 """Resharding by minimum-cost flow.
 
-Old shards are kept as blocks: rows of a shard whose identifier hashes to the
-same block.  Only block sizes reach the driver.  A minimum-cost flow from the
+Old shards are kept as blocks: rows of a shard whose tie hashes to the same
+block.  Only block sizes reach the driver, and there are at most about 65,536
+blocks, which grow with the data.  A minimum-cost flow from the
 old shards' sizes to the new shards' capacities, where staying costs nothing
 and moving costs a unit a byte, says how many bytes go from where to where;
 it moves as few as any assignment can.  Blocks are cut along that flow, so a
 shard gives away whole blocks and at most one part of a block for each
 transfer.  Only files of shards that gain or lose rows are rewritten; those of
 shards that no longer exist are removed.  The plan is made without texts; rows
-are laid down with a number, by which the texts follow the plan.
+are laid down with a number, by which the texts follow the plan and by which
+they are dealt into blocks, so rows that repeat are spread like any others.
 
 Defined cases: a null text has no bytes, so its row has size 1; null
 identifiers hash like any value; rows that repeat are placed each, in an order
@@ -24,7 +26,7 @@ import heapq
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scriptloom.llm.common import new_folder, remove, table, written
+from scriptloom.llm.common import discard, new_folder, remove, settled, table, written
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[int]]) -> list[list[int]]:
@@ -106,21 +108,24 @@ def cut(blocks: list[tuple[int, int, int]], flow: list[list[int]]) -> list[tuple
     return out
 
 
-def reshard(rows: DataFrame, old_shards: int, shards: int, block_bytes: int = 1 << 26, capacity: list[int] | None = None) -> DataFrame:
-    """rows (old, size, tie, and others) with shard and slot; a row goes where its middle byte in its block goes.
+def reshard(rows: DataFrame, old_shards: int, shards: int, block_bytes: int = 1 << 26, capacity: list[int] | None = None, most_blocks: int = 1 << 16) -> DataFrame:
+    """rows (old, size, tie, and others) with shard and slot, as a written table; a row goes where its middle byte in its block goes.
 
-    tie orders rows inside a block; it should tell different rows apart.
+    tie orders rows inside a block; it should tell different rows apart.  There
+    are at most most_blocks blocks and 8 for each old shard, and as many cuts
+    as blocks and pairs of shards: that bounds what the driver sees, what is
+    broadcast and the windows over blocks.
     """
     spark = rows.sparkSession
     sizes = [0] * old_shards
     for old, size in rows.groupBy("old").agg(F.sum("size")).collect():
         sizes[old] = size
-    each = max(1, min(block_bytes, sum(sizes) // (8 * old_shards)))  # a shard that holds most bytes has most blocks
+    each = max(1, min(block_bytes, sum(sizes) // (8 * old_shards)), -(-sum(sizes) // most_blocks))  # a shard that holds most bytes has most blocks
     counts = F.array(*[F.lit(max(8, -(-size // each))) for size in sizes])
     hashed = rows.withColumn("block", F.pmod(F.xxhash64("tie", F.lit(1)), F.get(counts, F.col("old"))).cast("int"))
     inside = Window.partitionBy("old", "block").orderBy("tie", "size")
     placed = written(hashed.withColumn("middle", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.ceil(F.col("size") / 2)), "reshard-rows")
-    blocks = sorted((r[0], r[1], r[2]) for r in placed.groupBy("old", "block").agg(F.sum("size")).collect())  # a row for each block: total / block_bytes, or 8 a shard and as many again
+    blocks = sorted((r[0], r[1], r[2]) for r in placed.groupBy("old", "block").agg(F.sum("size")).collect())
     pieces = cut(blocks, solve(sizes, shards, capacity))
     where = spark.createDataFrame(pieces, "old int, block int, from long, to long, shard int")
     moved = placed.join(F.broadcast(where.withColumnsRenamed({"old": "o", "block": "b"})), (F.col("old") == F.col("o")) & (F.col("block") == F.col("b")) & (F.col("middle") >= F.col("from")) & (F.col("middle") < F.col("to"))).drop("o", "b", "from", "to")
@@ -128,7 +133,10 @@ def reshard(rows: DataFrame, old_shards: int, shards: int, block_bytes: int = 1
     counts = moved.groupBy("shard", "old", "block").agg(F.count(F.lit(1)).alias("n"))
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("shard").orderBy("old", "block")) - F.col("n")).drop("n")
     slot = F.row_number().over(Window.partitionBy("shard", "old", "block").orderBy("tie", "size")) - 1
-    return moved.withColumn("in_block", slot).join(before, ["shard", "old", "block"]).withColumn("slot", (F.col("before") + F.col("in_block")).cast("long")).drop("before", "in_block", "middle", "block")
+    out = moved.withColumn("in_block", slot).join(F.broadcast(before), ["shard", "old", "block"]).withColumn("slot", (F.col("before") + F.col("in_block")).cast("long"))
+    out = written(out.drop("before", "in_block", "middle", "block"), "reshard-planned")
+    discard(placed, moved)
+    return out
 
 
 def rewrite(placed: DataFrame, columns: list[str], folder: str, shards: int) -> list[int]:
@@ -163,23 +171,30 @@ def sized(docs: DataFrame, old: Column, *others: str) -> DataFrame:
 
 
 def reshard_files(docs: DataFrame, old: Column, old_shards: int, shards: int, folder: str) -> DataFrame:
-    """Lays documents (doc_id, text) down in folder as old shards, reshards the files, and reads them: doc_id, size, text_crc32, shard, slot."""
+    """Lays documents (doc_id, text) down in folder as old shards, reshards the files, and reads them: doc_id, size, text_crc32, shard, slot, as a written table."""
     spark = docs.sparkSession
     laid = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), old.cast("int").alias("shard")).withColumn("row", F.monotonically_increasing_id())
     laid.write.partitionBy("shard").option("compression", "zstd").parquet(folder)
     reader = spark.read.schema("doc_id long, text string, row long, slot long, shard int")
     before = reader.parquet(folder)
-    placed = written(reshard(sized(before, F.col("shard"), "row"), old_shards, shards).select("row", "old", "shard", "slot"), "reshard-placed")
+    plan = reshard(sized(before, F.col("shard"), "row").withColumn("tie", F.xxhash64("row")), old_shards, shards)
+    placed = plan.select("row", "old", "shard", "slot")
     texts = before.select("doc_id", "text", "row")
     touched = rewrite(texts.join(placed.hint("shuffle_hash"), "row"), ["doc_id", "text", "row"], folder, shards)
     after = reader.parquet(folder)
     stayed = after.filter(~F.col("shard").isin(touched)).drop("slot").join(placed.select("row", "slot"), "row")  # files as they were know no slot
     out = after.filter(F.col("shard").isin(touched)).unionByName(stayed)
-    return sized(out, F.col("shard"), "shard", "slot").select("doc_id", "size", "text_crc32", "shard", "slot")
+    out = written(sized(out, F.col("shard"), "shard", "slot").select("doc_id", "size", "text_crc32", "shard", "slot"), "reshard-rows-read")
+    discard(plan)
+    return out
 
 
 def op4_min_cost_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From shards by source, which are far from even, to eight of near equal bytes."""
-    docs = table(spark, sf_dir, "documents")
-    out = reshard_files(docs, F.pmod(F.xxhash64("source"), F.lit(8)).cast("int"), 8, 8, new_folder(spark, "shards"))
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    """From six shards by source, which are far from even, to eight of near equal bytes; the files go when they have been read."""
+
+    def read_back() -> DataFrame:
+        docs = table(spark, sf_dir, "documents")
+        out = reshard_files(docs, F.pmod(F.xxhash64("source"), F.lit(6)).cast("int"), 6, 8, new_folder(spark, "shards"))
+        return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+    return settled(spark, "reshard-result", read_back)

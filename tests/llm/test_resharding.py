@@ -54,6 +54,27 @@ def test_rows_slots_and_even_sizes(spark, docs):
     assert abs(sum(r.size for r in rows if r.old == r.shard) - stay) <= 16 * 91
 
 
+def test_repeated_rows_are_spread(spark, tmp_path):
+    rows = [(1, "same text")] * 900 + [(k, f"{k}") for k in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    out = resharding.reshard_files(d, F.lit(0), 1, 4, f"file://{tmp_path}/hot").collect()
+    check(out, rows)
+    sizes = [sum(r.size for r in out if r.shard == s) for s in range(4)]
+    assert max(sizes) - min(sizes) <= 40
+
+
+def test_number_of_blocks_is_bounded(spark):
+    d = spark.createDataFrame([(k, "x" * 50) for k in range(3000)], "doc_id long, text string")
+    seen, inner = {}, resharding.cut
+    resharding.cut = lambda blocks, flow: seen.setdefault("pieces", inner(blocks, flow))
+    try:
+        out = resharding.reshard(resharding.sized(d, F.lit(0)), 1, 8, block_bytes=10, most_blocks=40).collect()
+    finally:
+        resharding.cut = inner
+    check(out, [(r.doc_id, r.text) for r in d.collect()])
+    assert len(seen["pieces"]) <= 40 + 8 + 8
+
+
 def test_nothing(none):
     assert resharding.reshard(resharding.sized(none, F.lit(0)), 4, 8).count() == 0
 
