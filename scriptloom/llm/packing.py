@@ -4,9 +4,11 @@ Only lengths matter to a packing, and there are at most as many lengths as a
 sequence has places.  So the plan is made on the histogram of lengths, whose
 size does not depend on the number of documents: large lengths are ranked,
 cut into groups of equal cardinality and rounded up to their group's largest;
-configurations of these few sizes are chosen, fullest first; the actual
-lengths take the places of the rounded ones; then small lengths go, longest
-first, where they fit best.  Bins of equal content are held as ranges.  The
+configurations of these few sizes are optimised, by a linear program whose
+columns are generated as they are needed and which is rounded by solving it
+anew for what is left; the actual lengths take the places of the rounded ones;
+then small lengths go, longest first, where they fit best.  Large are lengths
+of which at most three go into a sequence.  Bins of equal content are held as ranges.  The
 plan is a list of runs: "pieces of length l with ranks a to b go to the bins
 from s on, at offset o".  Pieces find their run by length and rank, and ranks
 are counted in two steps, so that no task sees all pieces of a length.
@@ -28,10 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptloom.llm.common import mapped, table, written
+from scriptloom.llm.common import mapped, settled, table, written
 from scriptloom.llm.tokens import LatinPieceCache, load
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: Numbers of groups that are tried in turn; more groups round less.
+GROUPS = (16, 48, 256)
 _caches: dict = {}
 
 
@@ -58,11 +62,104 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) ->
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).transform(mapped, run, PIECE)
 
 
+def linear_program(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[np.ndarray, float]]:
+    """Configurations and how often each is used, fractions allowed, so that every size is placed as often as it counts, in fewest bins.
+
+    Revised simplex; the configuration that enters is the one worth most at the
+    current prices, found over all pairs of sizes and the best third beside
+    each.  Sizes are above a quarter of the capacity.
+    """
+    m = len(sizes)
+    each = np.minimum(counts, capacity // sizes).astype(float)
+    columns: list[np.ndarray | None] = [np.eye(m)[i] * each[i] for i in range(m)]  # None: a size is placed too often
+    inverse, cost, x = np.diag(1 / each), np.ones(m), counts / each
+    fits = sizes[:, None] + sizes[None, :] <= capacity
+    fits &= ~np.diag(counts < 2)
+    room = np.where(fits, capacity - sizes[:, None] - sizes[None, :], 0)
+    for turn in range(40 * m + 200):
+        price = cost @ inverse
+        worst = int(price.argmin())
+        if price[worst] < -1e-9:
+            column, c, kept = -np.eye(m)[worst], 0.0, None
+        else:
+            top = np.zeros(capacity + 1)
+            np.maximum.at(top, sizes, price)
+            top = np.maximum.accumulate(top)
+            pairs = np.where(fits, price[:, None] + price[None, :] + top[room], -1.0)
+            i, j = divmod(int(pairs.argmax()), m)
+            one = int(price.argmax())
+            column, c = np.zeros(m), 1.0
+            if pairs[i, j] > price[one]:
+                column[i] += 1
+                column[j] += 1
+                third = np.flatnonzero((sizes <= room[i, j]) & (price > 0))
+                if len(third):
+                    column[third[price[third].argmax()]] += 1
+            else:
+                column[one] = each[one]
+            if column @ price <= 1 + 1e-9:
+                break
+            kept = column
+        d = inverse @ column
+        can = d > 1e-9
+        if not can.any():
+            break
+        ratio = np.where(can, x / np.where(can, d, 1), np.inf)
+        out = int(ratio.argmin())
+        step = ratio[out]
+        x = x - step * d
+        x[out] = step
+        columns[out], cost[out] = kept if kept is not None else None, c
+        inverse[out] /= d[out]
+        d[out] = 0
+        inverse -= np.outer(d, inverse[out])
+        if turn % 200 == 199:  # errors that add up are put right
+            basis = np.array([col if col is not None else np.zeros(m) for col in columns]).T
+            if all(col is not None for col in columns) and np.linalg.matrix_rank(basis) == m:
+                inverse = np.linalg.inv(basis)
+                x = inverse @ counts
+    return [(col, float(v)) for col, v in zip(columns, x, strict=True) if col is not None and v > 1e-9]
+
+
+def configurations(sizes: list[int], counts: list[int], capacity: int) -> list[tuple[int, dict[int, int]]]:
+    """(times, how many of each size): all sizes placed, in as few bins as can be.
+
+    The linear program is solved; whole uses are taken, and of the fractions
+    those of 0.9 and more, one at least; then it is solved for what is left.
+    """
+    left, out = np.array(counts, np.int64), []
+
+    def take(column: np.ndarray, live: np.ndarray, most: int) -> bool:
+        used = np.flatnonzero(column)
+        times = min(most, int((left[live[used]] // column[used].astype(np.int64)).min())) if len(used) else 0
+        if times > 0:
+            out.append((times, {int(live[i]): int(column[i]) for i in used}))
+            left[live[used]] -= times * column[used].astype(np.int64)
+        return times > 0
+
+    while left.any():
+        live = np.flatnonzero(left)
+        found = linear_program(np.array(sizes)[live], left[live], capacity)
+        some = False
+        for column, v in found:
+            if v >= 1 - 1e-6:
+                some |= take(column, live, int(v + 1e-6))
+        for column, v in sorted(found, key=lambda f: f[1] % 1, reverse=True):
+            if not some or 0.9 <= v % 1 < 1 - 1e-6:
+                some |= take(column, live, 1)
+        if not some:  # no configuration has all its members left: the largest size, as often as it goes
+            i = live[0]
+            n = min(int(left[i]), capacity // sizes[i])
+            out.append((1, {int(i): n}))
+            left[i] -= n
+    return out
+
+
 class Plan:
     """A packing of a histogram of lengths: runs of (length, first rank, count, first bin, offset)."""
 
-    def __init__(self, counts: dict[int, int], capacity: int, groups: int = 24, small: int | None = None):
-        self.capacity, self.small = capacity, capacity // 4 if small is None else small
+    def __init__(self, counts: dict[int, int], capacity: int, groups: int = 24):
+        self.capacity, self.small = capacity, capacity // 4
         self.runs: list[tuple[int, int, int, int, int]] = []
         self.bins, self.rank = 0, dict.fromkeys(counts, 0)
         self.open: dict[int, list[tuple[int, int]]] = {}  # room -> ranges (first bin, bins)
@@ -109,15 +206,12 @@ class Plan:
         return out
 
     def configure(self, groups: list[list[list[int]]]) -> None:
-        """Fullest configurations of rounded sizes, each as often as its members last; then their actual lengths."""
+        """Configurations of rounded sizes, then their actual lengths in their places."""
         sizes = [g[0][0] for g in groups]
         counts = [sum(c for _, c in g) for g in groups]
-        while any(counts):
-            many = self.fullest(sizes, counts)
-            times = min(counts[g] // m for g, m in many.items())
+        for times, many in configurations(sizes, counts, self.capacity):
             ranges = [(self.new_bins(times), times, 0)]  # first bin, bins, used
             for g, m in sorted(many.items()):
-                counts[g] -= times * m
                 for _ in range(m):
                     ranges = self.substitute(groups[g], ranges)
             for first, n, used in ranges:
@@ -137,23 +231,6 @@ class Plan:
                     members.pop(0)
         return out
 
-    def fullest(self, sizes: list[int], counts: list[int]) -> dict[int, int]:
-        """How many of each group fill a bin most; a bit set over fills, group by group."""
-        mask, reach, before = (1 << (self.capacity + 1)) - 1, 1, []
-        for s, c in zip(sizes, counts, strict=True):
-            before.append(reach)
-            for _ in range(min(c, self.capacity // s)):
-                grown = reach | (before[-1] << s) if _ == 0 else reach | ((reach << s) & mask)
-                reach = grown & mask
-        fill, many = reach.bit_length() - 1, {}
-        for g in range(len(sizes) - 1, -1, -1):
-            m = 0
-            while not (before[g] >> fill) & 1:
-                fill, m = fill - sizes[g], m + 1
-            if m:
-                many[g] = m
-        return many
-
     def best_fit(self, length: int, count: int) -> None:
         """Pieces of one length to the bins with the least room that holds them, else to new bins."""
         while count:
@@ -183,14 +260,26 @@ class Plan:
             self.leave(room, first, n)
 
 
-def pack(pieces: DataFrame, capacity: int, groups: tuple[int, ...] = (8, 16, 24, 48), per_bucket: int = 500_000) -> DataFrame:
+def best_plan(counts: dict[int, int], capacity: int, groups: tuple[int, ...]) -> Plan:
+    """Of the numbers of groups, the plan that needs the fewest bins; none is tried once the lengths' sum admits no fewer."""
+    least, best = -(-sum(n * c for n, c in counts.items()) // capacity), None
+    for g in groups:
+        plan = Plan(counts, capacity, g)
+        if best is None or plan.bins < best.bins:
+            best = plan
+        if best.bins == least:
+            break
+    return best
+
+
+def pack(pieces: DataFrame, capacity: int, groups: tuple[int, ...] = GROUPS, per_bucket: int = 500_000) -> DataFrame:
     """pieces (a written table) with sequence_id and offset; of the numbers of groups, the one that needs the fewest sequences."""
     n = pieces.count()
     buckets = max(64, n // per_bucket)
     ranked = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
     sizes = written(ranked.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")), "pack-sizes")
     counts = {r[0]: r[1] for r in sizes.groupBy("length").agg(F.sum("n")).collect()}  # as many rows as capacity, at most
-    plan = min((Plan(counts, capacity, g) for g in groups), key=lambda p: p.bins)
+    plan = best_plan(counts, capacity, groups)
     runs = np.array(sorted(plan.runs), np.int64).reshape(-1, 5)
     keys, firsts, offsets = (runs[:, 0] << 48) + runs[:, 1], runs[:, 3], runs[:, 4]
     before = sizes.withColumn("base", F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).drop("n")
@@ -206,7 +295,7 @@ def pack(pieces: DataFrame, capacity: int, groups: tuple[int, ...] = (8, 16, 24,
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("rank").cast("long").alias("rank")).transform(mapped, place, PIECE + ", sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, groups: tuple[int, ...] = (8, 16, 24, 48)) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, groups: tuple[int, ...] = GROUPS) -> DataFrame:
     """Tokens of every document (doc_id, text) and an end token, in sequences of at most capacity."""
     return pack(written(token_pieces(docs, tokenizer, capacity, end_id), "pack-pieces"), capacity, groups)
 
@@ -214,4 +303,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id
 def op6_best_fit_packing(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return settled(spark, "pack-result", lambda: pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))

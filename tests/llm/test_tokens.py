@@ -111,6 +111,46 @@ def test_plans_fill_bins_without_gaps():
         assert len(bins) <= -(-sum(n * c for n, c in counts.items()) // cap) * 1.1 + 1
 
 
+def test_plans_are_near_a_known_optimum():
+    """Lengths cut from 200 full sequences of two or three large pieces each: 200 is the optimum."""
+    for seed in range(6):
+        rng, cap, counts = random.Random(seed), 4096, Counter()
+        for _ in range(200):
+            a, b = rng.randint(1100, cap - 1100), rng.randint(1030, 2000)
+            c = rng.randint(1030, cap - b - 1030)
+            counts.update([a, cap - a] if rng.random() < 0.5 else [b, c, cap - b - c])
+        assert packing.best_plan(counts, cap, packing.GROUPS).bins <= 203
+
+
+def test_linear_program_is_a_lower_bound_that_small_cases_reach():
+    import itertools
+
+    for seed in range(20):
+        rng = random.Random(seed)
+        sizes = sorted({rng.randint(26, 100) for _ in range(3)}, reverse=True)
+        counts = [rng.randint(1, 3) for _ in sizes]
+        items = [s for s, c in zip(sizes, counts, strict=True) for _ in range(c)]
+        best = len(items)
+        for order in set(itertools.permutations(items)):  # first fit of the best order is an optimum
+            bins = []
+            for s in order:
+                k = next((k for k, room in enumerate(bins) if room >= s), None)
+                if k is None:
+                    bins.append(100 - s)
+                else:
+                    bins[k] -= s
+            best = min(best, len(bins))
+        bound = sum(v for _, v in packing.linear_program(np.array(sizes), np.array(counts), 100))
+        assert bound <= best + 1e-6
+        found = packing.configurations(sizes, counts, 100)
+        placed = Counter()
+        for times, many in found:
+            assert sum(sizes[i] * m for i, m in many.items()) <= 100
+            placed.update({i: times * m for i, m in many.items()})
+        assert placed == dict(enumerate(counts))
+        assert best <= sum(times for times, _ in found) <= best + 1
+
+
 def test_packing_of_whole_documents(docs, none):
     t, cap = load(WORD), 512
     rows = [r.asDict() for r in packing.pack_documents(docs, WORD, capacity=cap).collect()]
