@@ -22,33 +22,43 @@ from scriptloom.llm.common import lower_ascii, table
 # Verdict, host, path prefix.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
-# Hosts of the default labelled table, to block and to allow, and the paths they are paired with.
-BLOCK_HOSTS = """cheap-pills cheap-meds pills-online discount-pills free-bets bets-free casino-win casino-bonus best-slots win-big jackpot-win
-spam-farm link-farm seo-spam spam-links ads-track track-ads popup-ads ad-click click-track adserver xxx-cams adult-xxx warez-crack crack-serial
-replica-watches payday-loans fast-cash lotto-win poker-bets viagra-shop""".split()
-ALLOW_HOSTS = """library news garden weather university docs wiki recipes travel museum council science health orchestra tools forum chess
-there other thanks nation theatre interest thering station history project thethe onthe therein hers three others weather-report shine sheer
-thunder then-and-there action edition ration the-times""".split()
-PATHS = ["/en/1", "/de/84", "/fr/144.html", "/es/245/", "/en/270?page=2", "/fr/92#top", "/index.html", ""]
-ENDINGS = ["test", "example.com", "example.org", "example.net", "invalid"]
-
-
-
-def paired(words: list[str], mark: str, shift: int) -> list[str]:
-    """Words joined in pairs: a hyphen alone, or length, must not tell one kind from the other."""
-    return [f"{a}{mark}{b}" for a, b in zip(words, words[shift:], strict=False)]
-
-
-#: The default labelled table (url, 1 to block): every host once bare and once below a subdomain, with paths in turn.
-LABELLED = [
-    (f"http://{sub}{host}.{ENDINGS[(i + 2 * j) % len(ENDINGS)]}{PATHS[(i + j) % len(PATHS)]}", label)
-    for label, hosts in (
-        (1, BLOCK_HOSTS + paired([w for h in BLOCK_HOSTS for w in h.split("-")][::2], "-", 1)),
-        (0, ALLOW_HOSTS + paired(ALLOW_HOSTS, "-", 1) + paired(ALLOW_HOSTS, "", 5)),
-    )
-    for i, host in enumerate(hosts)
-    for j, sub in enumerate(("", "www.", "blog.", "m."))
-]
+# Words of the default labelled table.  Of the first kind each makes a URL one to block, of the second none does.
+UNWANTED = """casino poker roulette jackpot betting slots gambling lottery pills viagra pharmacy steroids cialis adult porn webcam escort hentai
+warez cracked keygen torrent serials payday loans replica counterfeit spyware malware phishing adserver popunder clickbait doorway spam
+cheap discount bonus winner tracker banner clicks""".split()
+WANTED = """library museum university school hospital council parliament garden weather journal newspaper history science physics biology geography
+recipes cooking kitchen travel railway airport football chess music orchestra theatre cinema painting photography software hardware manual
+handbook tutorial reference dictionary research report minutes agenda budget calendar archive catalogue press contact privacy terms
+annual election astronomy forest river mountain bicycle gardening parents teachers students engineering architecture""".split()
+#: What stands beside such words in hosts and paths of either kind.
+NEUTRAL = "home online best top free daily world city group center store portal info page site my the big new local".split()
+TOP = "test example invalid localhost".split()
+
+
+def invented(n: int) -> list[str]:
+    """Names without meaning, made of syllables by a fixed rule: a host that says nothing is not one to block."""
+    start, end = "ba cor del fi gran hol jen kal lu mor nes pel quin ros sil tor ur vel wim zan".split(), "bek dal fen gar lin mont nor per rick son tam vik wold yer zim".split()
+    return [start[i % len(start)] + (start[(7 * i + 3) % len(start)] if i % 3 else "") + end[(5 * i + i // 20) % len(end)] for i in range(n)]
+
+
+def labelled_urls() -> list[tuple[str, int]]:
+    """The default labelled table (url, 1 to block): words of both kinds in hosts and in paths, alone, below neutral names and beside neutral words, with the same shapes for both kinds."""
+    names, out = invented(120), []
+    for label, words in ((1, UNWANTED), (0, WANTED)):
+        for i, w in enumerate(words):
+            near, name, top = NEUTRAL[i % len(NEUTRAL)], names[i % len(names)], TOP[i % len(TOP)]
+            other = words[(i + 5) % len(words)]
+            out += [
+                (f"http://www.{w}.{top}/", label), (f"https://{w}-{other}.{top}/{near}/{i}", label), (f"http://{near}{w}.{top}/index.html", label),
+                (f"http://{name}.{top}/{w}", label), (f"https://{name}.{top}/{near}/{w}-{other}/", label), (f"http://www.{name}.{top}/{near}-{w}.html", label),
+            ]
+    # Neither host nor path says anything: most of the web, and not to be blocked.
+    out += [(f"http://{sub}{name}.{TOP[i % len(TOP)]}/{NEUTRAL[i % len(NEUTRAL)]}/{i}", 0) for i, name in enumerate(names) for sub in ("", "www.")]
+    return out + [(f"http://{name}.{TOP[i % len(TOP)]}/", 0) for i, name in enumerate(names)]
+
+
+#: The default labelled table.
+LABELLED = labelled_urls()
 
 
 def host_of(url: Column) -> Column:
@@ -61,20 +71,24 @@ def path_of(url: Column) -> Column:
     return F.when(F.coalesce(F.instr(url, "://"), F.lit(0)) > 0, F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1)).otherwise("")
 
 
-def grams(part: Column, mark: str, sizes: tuple[int, ...]) -> Column:
+def grams(part: Column, sizes: tuple[int, ...] = (3, 4, 5)) -> Column:
     """Character n-grams of a part between marks; none of an empty part."""
-    s = F.concat(F.lit(mark), part, F.lit("$"))
-    each = [F.when((F.length(part) > 0) & (F.length(s) >= n), F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(s) - n + 1)), lambda i, n=n: F.concat(F.lit(mark), F.substring(s, i, F.lit(n))))).otherwise(F.array().cast("array<string>")) for n in sizes]
+    s = F.concat(F.lit("^"), part, F.lit("$"))
+
+    def of(n: int) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(s) - n + 1))
+        return F.when((F.length(part) > 0) & (F.length(s) >= n), F.transform(places, lambda i: F.substring(s, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    each = [of(n) for n in sizes]
     return F.concat(*each)
 
 
 def buckets(host: Column, path: Column, size: int) -> Column:
-    """Hashed n-grams of host (3 to 5 characters) and path (3 and 4), each once. Give columns, not expressions: they are read for every n-gram."""
-    both = F.concat(grams(host, "^", (3, 4, 5)), grams(path, "~", (3, 4)))
-    return F.array_distinct(F.transform(both, lambda g: F.pmod(F.xxhash64(g), F.lit(size)).cast("int")))
+    """Hashed n-grams of host and path, each once; what a word says is the same in both.  Give columns, not expressions: they are read for every n-gram."""
+    return F.array_distinct(F.transform(F.concat(grams(host), grams(path)), lambda g: F.pmod(F.xxhash64(g), F.lit(size)).cast("int")))
 
 
-def fit(spark: SparkSession, labelled=LABELLED, size: int = 8192, ridge: float = 0.001) -> tuple[list[float], float]:
+def fit(spark: SparkSession, labelled=LABELLED, size: int = 16384, ridge: float = 0.001) -> tuple[list[float], float]:
     """Weights and intercept; the labelled table is small and stays in one partition, so the fit is the same each time."""
     rows = spark.createDataFrame(labelled, "url string, label int").coalesce(1)
     parts = rows.select(F.col("label").cast("double").alias("label"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
@@ -100,7 +114,7 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def judge(pages: DataFrame, labelled=LABELLED, rules=RULES, threshold: float = 0.5, size: int = 8192) -> DataFrame:
+def judge(pages: DataFrame, labelled=LABELLED, rules=RULES, threshold: float = 0.5, size: int = 16384) -> DataFrame:
     """page_id, host, path, rule, verdict, score of every page (page_id, url)."""
     weights, intercept = fit(pages.sparkSession, labelled, size)
     parts = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
