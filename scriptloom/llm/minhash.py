@@ -4,28 +4,35 @@ Each permutation of the hashed shingles gives two values, the minimum and the
 maximum; each agrees between two sets with the probability of their Jaccard
 similarity, so half the hash evaluations fill a signature.  Values are banded.
 
-1. One pass over the texts gives per document the set's size, a 128-bit key of
-   the whole set and one hash per band.  Documents with equal sets are one
-   class; only the class's smallest doc_id goes on.
+1. One pass over the texts gives per row the set's size, a 128-bit key of the
+   whole set and one hash per band.  Rows with equal sets are one class, with
+   a number of its own; only one row of a class goes on.
 2. Band buckets with several classes become stars (member, smallest member),
    so a bucket of n costs n links, never n squared.  Their connected
    components are the families: every pair to be confirmed lies inside one.
 3. A family's sets meet in one task if it is small.  In a larger one, each
-   member is first held against one hub; those linked with it need no
-   comparison with one another.  The others are cut into blocks, and each
-   pair of blocks is a task of bounded size.  There, exact intersections
-   decide, and only a spanning forest of the confirmed links leaves the task.
-4. Components of the confirmed links name each document's smallest partner.
+   member is first held against one hub; those linked with it are settled
+   among themselves.  Then only the band buckets that still have members of
+   different standing are looked at, each set of members once however many
+   bands it shares, and only members of one bucket meet.  A large bucket is
+   cut into blocks, and each pair of blocks is a task of bounded size.  There,
+   exact intersections decide, and only a spanning forest of the confirmed
+   links leaves the task.
+4. Components of the confirmed links name each row's smallest partner.
 
 A pair at the similarity that is asked for is missed with probability 2e-5,
 and less above it: 7 values a band and 28 bands do for 0.85, 6 values and 36
 bands for 0.80.
 
 Defined cases: a text that is null or has no words has an empty set, is linked
-with nothing and is kept; fewer than five words are one shingle; rows that
-repeat a doc_id with one text are one class; a null doc_id gets a null
-component and is kept if nothing else is in its class; an empty table gives no
-rows; other columns are ignored (the pipeline stage passes them through).
+with nothing and is kept; fewer than five words are one shingle.  What is
+linked is rows, not identifiers: rows that repeat a doc_id with different
+texts may be in different groups.  A null doc_id is linked as any other, but
+names no group unless all of the group's are null.  Of each group keep_one
+keeps the row with the smallest doc_id, then the smallest hash of the text;
+rows that repeat both all stay or all go, as telling them apart is exact
+deduplication's work.  An empty table gives no rows; other columns are ignored
+(the pipeline stage passes them through).
 """
 
 from __future__ import annotations
@@ -42,13 +49,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptloom.llm.common import discard, mapped, table, written
+from scriptloom.llm.common import discard, distinct_name, mapped, table, written
 
 #: A pair at the threshold is missed with about this probability.
 MISS = 2e-5
 SHINGLE = 5
-#: Family members are broadcast up to so many (about 40 bytes each); beyond, the join with the texts is a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Family members are broadcast up to so many (about 100 bytes each); beyond, the join with the texts is a shuffle.
+BROADCAST_ROWS = 400_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _rng = np.random.default_rng(20240229)
 _ODD = _rng.integers(0, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -105,21 +112,26 @@ def band_hashes(s: np.ndarray, rows: int, bands: int) -> np.ndarray:
     return _scramble((_scramble(values) * mix).sum(1) + np.arange(bands, dtype=np.uint64)).view(np.int64)
 
 
+def set_key(s: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+
+
 def signatures(docs: DataFrame, percent: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (null for the empty set), bands of every document."""
+    """doc_id, text_hash, n_shingles, set_key (null for the empty set), bands of every row."""
     shape = banding(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes, keys, bands = [], [], []
-            for x in b.column(1):
+            for x in b.column(2):
                 s = shingle_set(x.as_py())
                 sizes.append(len(s))
-                keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                keys.append(set_key(s))
                 bands.append(band_hashes(s, *shape) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_key", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "text_hash", "n_shingles", "set_key", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).transform(mapped, run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
+    texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary"))
+    return texts.transform(mapped, run, "doc_id long, text_hash long, n_shingles long, set_key binary, bands array<long>")
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -147,7 +159,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         before = state
     stars = now.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
     roots = now.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("root"))
-    return stars.union(roots.join(stars, "node", "left_anti"))
+    out = written(stars.union(roots.join(stars, "node", "left_anti")), name)
+    discard(now)
+    return out
 
 
 def forest(ids: np.ndarray, sets: list[np.ndarray], percent: int, left: int | None = None) -> list[tuple[int, int]]:
@@ -191,46 +205,70 @@ def forest(ids: np.ndarray, sets: list[np.ndarray], percent: int, left: int | No
     return links
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, block: int = 512) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every document (doc_id, text)."""
+def decisions(docs: DataFrame, percent: int, block: int = 512) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id, kept, stays of every row of docs (doc_id, text): a written table."""
     sig = written(signatures(docs, percent), "minhash-signatures")
-    classes = written(sig.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("size"), F.first("bands").alias("bands")), "minhash-classes")
-    banded = classes.filter("rep is not null").select("rep", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    placed = written(banded.join(buckets, "band").select("rep", "head", "n"), "minhash-placed")
-    stars = placed.filter("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()
-    company = placed.groupBy(F.col("rep").alias("node")).agg(F.sum("n").alias("company"))
-    family = components(stars, "minhash-families").withColumnRenamed("root", "family")
-    family = written(family.join(company, "node"), "minhash-family")
-    links = written(confirmed(docs, family, percent, block), "minhash-links")
+    rep = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    classes = sig.filter("set_key is not null").groupBy("set_key").agg(F.min(rep).alias("rep"), F.first("bands").alias("bands"))
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "minhash-classes")  # numbers are fixed once written
+    banded = classes.select("node", F.explode("bands").alias("band"))
+    buckets = banded.groupBy("band").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    placed = written(banded.join(buckets, "band").select("node", "band", "head", "n"), "minhash-placed")
+    stars = placed.filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
+    company = placed.groupBy("node").agg(F.sum("n").alias("company"))
+    found = components(stars, "minhash-families")
+    family = written(found.withColumnRenamed("root", "family").join(company, "node").join(classes.select("node", "set_key", "rep"), "node"), "minhash-family")
+    links = written(confirmed(docs, family, placed, percent, block), "minhash-links")
     root = components(links, "minhash-components")
-    reps = classes.select("set_key", "rep").join(root, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("root", "rep").alias("root"))
-    return sig.select("doc_id", "n_shingles", "set_key").join(reps, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    linked = root.join(classes.select("node", "set_key", "rep"), "node")
+    tops = written(linked.groupBy("root").agg(F.min("rep").alias("top")), "minhash-tops")
+    named = written(linked.join(tops, "root").select("set_key", "top"), "minhash-named")
+    # Written, so that a set that most rows share can be split over several tasks in the join behind it.
+    top = written(classes.select("set_key", "rep").join(named, "set_key", "left").select("set_key", F.coalesce("top", "rep").alias("top")), "minhash-top")
+    out = sig.drop("bands").join(top, "set_key", "left")
+    out = out.withColumn("component_id", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("top.doc_id")))
+    out = out.withColumns({"kept": F.col("doc_id").eqNullSafe(F.col("component_id")), "stays": F.col("set_key").isNull() | rep.eqNullSafe(F.col("top"))})
+    out = written(out.select("doc_id", "text_hash", "n_shingles", "component_id", "kept", "stays"), "minhash-decisions")
+    discard(sig, classes, placed, found, family, links, root, tops, named, top)
+    return out
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, block: int = 512) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text)."""
+    return decisions(docs, percent, block).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def family_sets(docs: DataFrame, family: DataFrame) -> DataFrame:
-    """family with the set of each member: node, family, company, set."""
+    """The sets of family members: node, family, company, set; the row of a class is found by identifier and hash, and held against the class's key."""
     if family.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # then only the texts of members are read on
         family = F.broadcast(family)
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("binary").alias("text")).filter("node is not null")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"), F.col("text").cast("binary").alias("text"))
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # rows that repeat identifier and text give a class's set once a task
         for b in batches:
-            sets = [shingle_set(x.as_py()).tobytes() for x in b.column(3)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sets, pa.binary())], ["node", "family", "company", "set"])
+            rows = []
+            for node, fam, company, key, text in zip(*(b.column(k).to_pylist() for k in range(4)), b.column(4), strict=True):
+                if node not in seen:
+                    s = shingle_set(text.as_py())
+                    if set_key(s) == key:
+                        seen.add(node)
+                        rows.append((node, fam, company, s.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["node", "family", "company", "set"])
 
-    return texts.join(family, "node").select("node", "family", "company", "text").transform(mapped, to_sets, "node long, family long, company long, set binary")
+    both = texts.join(family, F.col("id").eqNullSafe(F.col("rep.doc_id")) & (F.col("hash") == F.col("rep.text_hash")))
+    return both.select("node", "family", "company", "set_key", "text").transform(mapped, to_sets, "node long, family long, company long, set binary")
 
 
 def near_hub(members: DataFrame, block: int, percent: int) -> DataFrame:
-    """members with members (their number), hub and near: whether the set is linked with that of its family's hub.
+    """members with large (whether the family has more than block), hub and near: whether the set is linked with that of its family's hub.
 
     A hub is the member of a large family that shares most band buckets with
     most others, as an original does among its edited copies.  Small families
     have none.
     """
     hubs = members.groupBy("family").agg(F.count(F.lit(1)).alias("members"), F.max_by(F.struct("node", "set"), F.struct("company", -F.col("node"))).alias("hub"))
-    hubs = written(hubs.select("family", "members", F.when(F.col("members") > block, F.col("hub")).alias("hub")), "minhash-hubs")
+    hubs = written(hubs.select("family", (F.col("members") > block).alias("large"), F.when(F.col("members") > block, F.col("hub")).alias("hub")), "minhash-hubs")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -242,35 +280,59 @@ def near_hub(members: DataFrame, block: int, percent: int) -> DataFrame:
                 x, y = np.frombuffer(mine.as_py(), np.uint64), np.frombuffer(hub.as_py(), np.uint64)
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 near.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(near, pa.bool_())], ["node", "family", "set", "members", "hub", "near"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(near, pa.bool_())], ["node", "family", "set", "large", "hub", "near"])
 
-    both = members.join(hubs, "family").select("node", "family", "set", "members", F.col("hub.node").alias("hub"), F.col("hub.set").alias("hub_set"))
-    return both.transform(mapped, compare, "node long, family long, set binary, members long, hub long, near boolean")
+    both = members.join(hubs, "family").select("node", "family", "set", "large", F.col("hub.node").alias("hub"), F.col("hub.set").alias("hub_set"))
+    out = written(both.transform(mapped, compare, "node long, family long, set binary, large boolean, hub long, near boolean"), "minhash-members")
+    discard(hubs)
+    return out
 
 
-def confirmed(docs: DataFrame, family: DataFrame, percent: int, block: int) -> DataFrame:
-    """a, b: confirmed links that span what is linked inside each family (node, family, company).
+def cells(members: DataFrame, placed: DataFrame) -> DataFrame:
+    """Groups in which pairs are left to decide: large, cell, node, near.
 
-    What is near a large family's hub is linked through it, and no two such
-    members are compared.  The others of a family are dealt into blocks of
-    about `block` sets by a hash, and so are those near the hub; each pair of
-    blocks, two of the near ones aside, is one group.
+    A small family is one cell.  Of a large one, cells are the band buckets
+    with members of different standing (linked with the hub, or each for
+    itself); buckets of the same members count once.
     """
-    members = written(near_hub(written(family_sets(docs, family), "minhash-sets"), block, percent), "minhash-members")
-    through = members.filter("near and node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    counts = written(members.groupBy("family").agg(F.sum(F.col("near").cast("long")).alias("n_near"), F.sum((~F.col("near")).cast("long")).alias("n_far")), "minhash-counts")
-    placed = members.join(counts, "family")
+    small = members.filter("not large").select("large", F.col("family").alias("cell"), "node", "near")
+    standing = members.filter("large").select("node", "near", F.when(F.col("near"), F.col("hub")).otherwise(F.col("node")).alias("standing")).distinct()
+    met = placed.select("node", "band").join(standing, "node")
+    buckets = met.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.min("standing").alias("low"), F.max("standing").alias("high"))
+    buckets = buckets.filter("low <> high").groupBy("n", "sum").agg(F.min("band").alias("band")).select("band")
+    return small.union(met.join(buckets, "band").select(F.lit(True).alias("large"), F.col("band").alias("cell"), "node", "near"))
+
+
+def dealt(cell: DataFrame, members: DataFrame, block: int) -> DataFrame:
+    """Sets dealt to tasks: large, cell, i, j, mine, node, set.
+
+    What is not near a hub is dealt into blocks of about `block` by a hash,
+    and so is what is near; each pair of blocks, two of the near ones aside,
+    is one group.
+    """
+    counts = written(cell.groupBy("large", "cell").agg(F.sum(F.col("near").cast("long")).alias("n_near"), F.sum((~F.col("near")).cast("long")).alias("n_far")).filter("n_far > 0 and n_near + n_far > 1"), "minhash-counts")
+    placed = cell.join(counts, ["large", "cell"])
     placed = placed.withColumn("far_blocks", F.ceil(F.col("n_far") / block).cast("int")).withColumn("near_blocks", F.ceil(F.col("n_near") / block).cast("int"))
     at = F.xxhash64("node")
     mine = F.when(F.col("near"), F.col("far_blocks") + F.pmod(at, F.greatest(F.lit(1), "near_blocks").cast("long"))).otherwise(F.pmod(at, F.greatest(F.lit(1), "far_blocks").cast("long"))).cast("int")
-    placed = placed.filter("n_far > 0").withColumn("mine", mine)
+    placed = placed.withColumn("mine", mine)
     others = F.when(F.col("near"), F.col("far_blocks")).otherwise(F.col("far_blocks") + F.col("near_blocks"))
     pair = F.transform(F.sequence(F.lit(0), others - 1), lambda o: F.struct(F.least("mine", o).alias("i"), F.greatest("mine", o).alias("j")))
-    dealt = placed.withColumn("pair", F.explode(pair)).select("node", "family", "mine", "set", "pair.i", "pair.j")
+    placed = placed.withColumn("pair", F.explode(pair)).select("node", "large", "cell", "mine", "pair.i", "pair.j")
+    return placed.join(members.select("node", "set"), "node")
+
+
+def confirmed(docs: DataFrame, family: DataFrame, placed: DataFrame, percent: int, block: int) -> DataFrame:
+    """a, b: confirmed links that span what is linked inside each family (node, family, company, set_key, rep)."""
+    sets = written(family_sets(docs, family), "minhash-sets")
+    members = near_hub(sets, block, percent)
+    discard(sets)
+    through = members.filter("near and node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    cell = written(cells(members, placed), "minhash-cells")
 
     def link(key, rows: pd.DataFrame) -> pd.DataFrame:
-        _, i, j = key
-        rows = rows.drop_duplicates(["node", "set"])
+        _, _, i, j = key
+        rows = rows.drop_duplicates(["node"])
         if i == j:
             ids, left = rows, None
         else:
@@ -281,13 +343,14 @@ def confirmed(docs: DataFrame, family: DataFrame, percent: int, block: int) -> D
         sets = [np.frombuffer(s, np.uint64) for s in ids.set]
         return pd.DataFrame(forest(ids.node.to_numpy(), sets, percent, left), columns=["a", "b"], dtype="int64")
 
-    return through.union(dealt.groupBy("family", "i", "j").applyInPandas(link, "a long, b long"))
+    return through.union(dealt(cell, members, block).groupBy("large", "cell", "i", "j").applyInPandas(link, "a long, b long"))
 
 
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """docs with one document of each group of near duplicates, all columns as they were."""
-    gone = near_duplicates(docs, percent).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    """docs with one row of each group of near duplicates, all columns as they were."""
+    one, two = distinct_name("gone_id", docs.columns), distinct_name("gone_hash", docs.columns)
+    gone = decisions(docs, percent).filter("not stays").select(F.col("doc_id").alias(one), F.col("text_hash").alias(two)).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone[one]) & (F.xxhash64(docs["text"]) == gone[two]), "left_anti")
 
 
 def op2_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

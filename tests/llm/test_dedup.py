@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -76,7 +77,7 @@ def brute_near(rows):
 
 def test_near_against_brute_force(docs):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    got = minhash.near_duplicates(docs).collect()
+    got = minhash.near_duplicates(docs, 85).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute_near(rows)
     assert minhash.keep_one(docs).columns == docs.columns
 
@@ -92,10 +93,69 @@ def test_near_families_of_several_blocks(spark):
         rows.append((k, " ".join(w)))
     d = spark.createDataFrame(rows, "doc_id long, text string")
     for block in (8, 512):
-        got = minhash.near_duplicates(d, block=block).collect()
+        got = minhash.near_duplicates(d, 85, block).collect()
         assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute_near(rows)
 
 
+def edited(words, n, rng, mark):
+    """words with n places, far apart, taken by other words."""
+    w = list(words)
+    for k in range(n):
+        w[(k + 1) * len(w) // (n + 1)] = f"{mark}{rng.random()}"
+    return " ".join(w)
+
+
+def test_one_identifier_with_several_texts(spark):
+    """Rows are linked, not identifiers: the row with a text of its own stays."""
+    rng, words = random.Random(1), [f"w{i}" for i in range(200)]
+    other = " ".join(f"u{i}" for i in range(90))
+    rows = [(1, " ".join(words)), (5, edited(words, 2, rng, "x")), (5, other), (None, edited(words, 1, rng, "y")), (None, other + " end"), (None, "alone is this text that nobody else has"), (5, other)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as gone_id", "2 as text_hash")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(d, 85).collect()), key=repr)
+    assert got == brute_near(rows)
+    assert sorted(((r.doc_id, r.text) for r in minhash.keep_one(d).collect()), key=repr) == sorted([rows[0], rows[2], rows[5], rows[6]], key=repr)
+
+
+def test_planted_pairs_at_the_threshold_are_found(spark):
+    rng, rows = random.Random(2), []
+    for k in range(2400):  # 5 shingles change with each word: similarity 0.85 to 0.90
+        words = [f"p{k}w{i}" for i in range(rng.randint(160, 260))]
+        n = len(words) - 4
+        most = int(0.15 / 1.85 * n / 5)
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, edited(words, most, rng, f"p{k}x"))]
+    sets = {i: shingles(t) for i, t in rows}
+    alike = {i: len(sets[i] & sets[i - 1]) / len(sets[i] | sets[i - 1]) for i in sets if i % 2}
+    near = [i for i, j in alike.items() if 0.85 <= j <= 0.9]
+    assert len(near) >= 2000
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()}
+    assert sum(got[i] == i - 1 for i in near) >= 0.999 * len(near)
+    assert all(got[i] == (i - 1 if alike[i] >= 0.85 else i) for i in alike if i not in near or got[i] == i - 1)
+
+
+def test_a_family_far_from_its_hub_copies_few_sets(spark):
+    """A chain: each text is near its neighbours only, so the family is one and its hub near to few."""
+    words, rows = [f"c{i}" for i in range(1600)], []
+    for k in range(300):
+        rows.append((k, " ".join(words[4 * k : 4 * k + 120])))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = {}
+    inner = minhash.dealt
+
+    def counted(*a):
+        out = inner(*a)
+        seen["copies"], seen["largest"] = out.count(), out.groupBy("large", "cell", "i", "j").count().agg({"count": "max"}).first()[0]
+        return out
+
+    minhash.dealt = counted
+    try:
+        got = {r.doc_id: r.component_id for r in minhash.near_duplicates(d, 85, block=32).collect()}
+    finally:
+        minhash.dealt = inner
+    assert got == {i: c for i, _, c in brute_near(rows)}
+    assert seen["largest"] <= 80
+    assert seen["copies"] <= 30 * len(rows)  # a bucket a band at most; blocks of the whole family would be more at any larger size
+
+
 def test_near_of_nothing(none):
     assert minhash.near_duplicates(none).count() == 0
 
