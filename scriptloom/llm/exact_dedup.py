@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptloom.llm.common import new_folder, table, written
+from scriptloom.llm.common import new_folder, settled, table, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Repeated digests are broadcast up to so many (about 200 bytes each); beyond, the join is a shuffle.
@@ -110,7 +110,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:
-    return deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text")).select(*DECISION)
+    return settled(spark, "dedup-decisions", lambda: deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text")).select(*DECISION))
 
 
 OP3_SQL = r"""

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptloom.llm.common import mapped, new_folder, table
+from scriptloom.llm.common import mapped, new_folder, settled, table, written
 
 SKIPPABLE = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
@@ -143,6 +143,7 @@ def mark_revisits(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     """(record_id, url, payload, sha1, refers_to): of equal payloads of at least so many bytes the smallest id is the response."""
     rows = pages.select("record_id", "url", F.coalesce("payload", F.lit("").cast("binary")).alias("payload")).withColumn("sha1", F.sha1("payload"))
     first = rows.groupBy("sha1").agg(F.min("record_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).filter("copies > 1 and first_id is not null").drop("copies")
+    first = written(first, "warc-first")  # with no aggregation right behind the join, a payload that most rows share can be split over several tasks
     refers = F.when((F.octet_length("payload") >= min_revisit_bytes) & ~F.col("record_id").eqNullSafe(F.col("first_id")), F.col("first_id"))
     return rows.join(first, "sha1", "left").select("record_id", "url", "payload", "sha1", refers.alias("refers_to"))
 
@@ -203,7 +204,11 @@ def read_bundles(bundles: DataFrame) -> DataFrame:
 
 
 def op1_warc(spark, sf_dir: str) -> DataFrame:
-    """Every page into bundles, and every record back from them."""
+    """Every page into bundles, and every record back from them; then the bundles go."""
+    return settled(spark, "warc-records", lambda: there_and_back(spark, sf_dir))
+
+
+def there_and_back(spark, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("long").alias("record_id"), "url", F.col("html").cast("binary").alias("payload"))
     index = write_bundles(mark_revisits(pages), new_folder(spark, "warc"))
     bundles = index.select("bundle").distinct()

@@ -1,7 +1,8 @@
 import base64
 import hashlib
+import os
 
-from scriptloom.llm import warc
+from scriptloom.llm import common, warc
 from scriptloom.llm.common import new_folder
 
 PAGES = [(1, "http://a/%41?\r\nx", "hello"), (2, None, "hello"), (3, "u", None), (4, "u", ""), (5, "u", "x" * 3_000_000), (None, "u", "hello"), (2, "u", "hello"), (7, "u", "ä\r\n\r\nWARC/1.1")]
@@ -36,3 +37,13 @@ def test_threshold_and_empty(spark):
     index = warc.write_bundles(warc.mark_revisits(pages(spark, [])), new_folder(spark, "w"))
     assert index.count() == 0
     assert warc.read_bundles(index.select("bundle").distinct()).count() == 0
+
+
+def test_working_tables_go(spark, tmp_path):
+    with common.working():
+        kept = common.settled(spark, "kept", lambda: common.written(spark.range(3), "inner"))
+        files = kept.inputFiles()
+        assert kept.count() == 3
+    assert not any(os.path.exists(f.removeprefix("file://")) for f in files)
+    out = common.settled(spark, "result", lambda: common.written(spark.range(5), "inner"))
+    assert out.count() == 5
