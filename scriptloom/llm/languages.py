@@ -288,7 +288,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = 10.0) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).transform(mapped, run, "doc_id long, lang_pred string, score double")
 
 
-def with_floor(docs: DataFrame, model: Model, floor_docs: int = 2_000, margin: float = 1.0) -> Model:
+def with_floor(docs: DataFrame, model: Model, floor_docs: int = 2_000, margin: float = 2.0) -> Model:
     """The model with the evidence below which a text is rejected: the least of about floor_docs learned texts, less margin (nats an n-gram)."""
     shared = ship(docs.sparkSession).sparkContext.broadcast(model)
 

@@ -155,7 +155,7 @@ def brute_accepted(rows, m):
     measured = [(*likelihood(t), learned) for _, t, learned in rows]
     usual = sum(s for s, n, learned in measured if learned) / sum(n for _, n, learned in measured if learned)
     evidence = [(s + 50 * usual) / (n + 50) for s, n, _ in measured]
-    floor = min(e for e, (_, n, learned) in zip(evidence, measured, strict=True) if learned and n) - 1
+    floor = min(e for e, (_, n, learned) in zip(evidence, measured, strict=True) if learned and n) - 2
     return sorted((i for (i, _, _), (_, n, _), e in zip(rows, measured, evidence, strict=True) if n and e >= floor), key=repr)
 
 
