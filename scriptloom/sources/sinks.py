@@ -39,7 +39,7 @@ def save_bundle_files(bundle, folder: str) -> None:
     from scriptloom.js import paths
 
     for m in bundle.modules.values():
-        if paths.escapes(paths.join(m.path)):
+        if paths.escapes(m.path):
             raise UnsafePath(m.path)
     os.makedirs(folder, exist_ok=True)
     listed = {"type": bundle.type, "entryId": bundle.entry_id, "modules": [{"id": m.id, "path": m.path} for m in bundle.modules.values()]}

@@ -51,12 +51,27 @@ def test_browserify_paths_and_external_names():
 
 
 def test_trees():
-    tree = {"0": {"1": "./a.js", "4": "lib"}, "1": {"2": "../bar/b.js"}, "2": {"3": "../../c.js"}, "3": {}, "4": {}}
-    assert paths.resolve_tree(tree, "0") == {"0": "tmp0/tmp1/index.js", "1": "tmp0/tmp1/a.js", "2": "tmp0/bar/b.js", "3": "c.js", "4": "node_modules/lib/index.js"}
-    assert paths.resolve_tree({"a": {"b": "./b"}, "b": {"a": "./a"}}, "a") == {"a": "index.js", "b": "b.js"}
-    assert paths.relative("./x/y.js", "./a.js") == "../a.js"
-    assert paths.relative("./a.js", "node_modules/lib") == "lib"
-    assert paths.key_order(["b", "10", "2", "a"]) == ["2", "10", "b", "a"]
+    tree = {"main": {"7": "./views/start", "9": "dates"}, "7": {"8": "../../shared/log.js", "3": "./parts/menu"}, "3": {"8": "../../../shared/log.js"}, "9": {"12": "./zones/table"}, "8": {"12": "dates/zones"}}
+    assert paths.resolve_tree(tree, "main") == {"main": "tmp0/index.js", "7": "tmp0/views/start.js", "3": "tmp0/views/parts/menu.js", "8": "shared/log.js", "9": "node_modules/dates/index.js", "12": "node_modules/dates/zones/index.js"}
+    ring = {"x": {"y": "./one"}, "y": {"z": "./deep/two"}, "z": {"x": "../", "y": "../one"}}
+    assert paths.resolve_tree(ring, "x") == {"x": "index.js", "y": "one.js", "z": "deep/two.js"}
+    assert paths.resolve_tree({}, "only") == {"only": "index.js"}
+    up = {"e": {"p": "../../../far", "q": "../near"}}
+    assert paths.resolve_tree(up, "e") == {"e": "tmp0/tmp1/tmp2/index.js", "p": "far.js", "q": "tmp0/tmp1/near.js"}
+
+
+@pytest.mark.parametrize(("source", "target", "name"), [
+    ("lib/core/run.js", "lib/core/stop.js", "./stop.js"), ("lib/core/run.js", "lib/util.js", "../util.js"), ("start.js", "./lib/util.js", "./lib/util.js"),
+    ("a/b/c.js", "d/e.js", "../../d/e.js"), ("a/../b/c.js", "./b/x/../y.js", "./y.js"), ("views/start.js", "node_modules/dates/index.js", "dates/index.js"),
+])
+def test_names_by_the_way(source, target, name):
+    assert paths.relative(source, target) == name
+
+
+def test_keys_and_normal_paths():
+    assert paths.key_order(["z", "04", "30", "4", "m", "0"]) == ["0", "4", "30", "z", "04", "m"]
+    assert [paths.join(*p) for p in (("a", "", "b/./c"), ("a/..",), ("..", "x"), ("a", "../../y"))] == ["a/b/c", ".", "../x", "../y"]
+    assert [paths.escapes(p) for p in ("a/../b", "a/../../b", "..", "C:\\x", "x..y/z")] == [False, True, True, True, False]
 
 
 def test_mappings():
