@@ -2,52 +2,78 @@
 
 Every kernel is a mapInArrow over the rows of a DataFrame, so there is no
 shuffle, filters and projections before it reach the scan, and rows that
-cannot be read get an error instead of failing the job.  Batches should be
-small, since a row is a whole program: see small_batches.
+cannot be read, or take too long, get an error instead of failing the job.
+Texts are taken from a batch one by one; Spark bounds a batch's bytes.
 """
 
 from __future__ import annotations
 
+import signal
+import threading
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from scriptloom.session import ship
 
+#: Seconds that one program may take.
+SECONDS = 300.0
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Limits Arrow batches to so many programs."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+class TimeBudgetError(RuntimeError):
+    """A program takes too long."""
+
+
+@contextmanager
+def within(seconds: float | None) -> Iterator[None]:
+    """Raises TimeBudgetError inside once so many seconds have gone by; without effect outside of a process's main thread."""
+    if seconds is None or threading.current_thread() is not threading.main_thread():
+        yield
+        return
+
+    def stop(*_):
+        raise TimeBudgetError(f"more than {seconds:g} seconds")
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores where it comes from fewer files than there are cores; larger inputs keep their splits and are not shuffled."""
+    """A scan over all cores where it has fewer splits than there are cores; larger ones are not shuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
-def per_program(df: DataFrame, id_column: str, code_column: str, schema: str, f: Callable[[str], list[tuple]], failed: Callable[[str], list[tuple]] | None = None) -> DataFrame:
-    """Rows of (id, *row) for each row that f gives for a program.
+def per_program(df: DataFrame, id_column: str, code_column: str, schema: str, f: Callable[[str], list[tuple]], seconds: float | None = SECONDS) -> DataFrame:
+    """Rows of (id, *row) for each row that f gives for a program, and a last column error.
 
-    A null text is an empty program.  What f raises becomes the rows that
-    failed gives for its message, or no row.
+    A null text is an empty program.  What f raises, and taking more than so
+    many seconds, becomes one row with nulls and the message.
     """
+    schema += ", error string"
     full = StructType.fromDDL(f"{id_column} long, {schema}")
     arrow = to_arrow_schema(full)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[] for _ in full.names]
-            for key, code in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for key, code in zip(b.column(0), b.column(1), strict=True):
                 try:
-                    rows = f(code or "")
+                    with within(seconds):
+                        rows = [(*row, None) for row in f(code.as_py() or "")]
                 except Exception as e:  # one bad program must not fail the job
-                    rows = failed(f"{type(e).__name__}: {e}"[:500]) if failed else []
+                    rows = [(*[None] * (len(full.names) - 2), f"{type(e).__name__}: {e}"[:500])]
                 for row in rows:
-                    for column, value in zip(out, (key, *row), strict=True):
+                    for column, value in zip(out, (key.as_py(), *row), strict=True):
                         column.append(value)
                 if len(out[0]) >= 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(out, arrow, strict=True)], schema=arrow)

@@ -49,7 +49,7 @@ class JsNodes:
 
         try:
             tree = parse(code or "")
-        except ValueError:
+        except Exception:  # a text that is no program has no rows
             return
         ids = {}
         for i, n in enumerate(tree.walk()):
@@ -65,7 +65,7 @@ class JsModules:
 
         try:
             b = rewrite(code or "").bundle
-        except ValueError:
+        except Exception:
             return
         for m in b.modules.values() if b else ():
             yield b.type, m.id, m.is_entry, m.path, m.code
@@ -80,7 +80,7 @@ class JsStringArray:
 
         try:
             a = find_string_array(Context(parse(code or "")))
-        except ValueError:
+        except Exception:
             return
         for i, v in enumerate(a.elements if a else ()):
             yield i, v

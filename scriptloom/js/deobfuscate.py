@@ -11,7 +11,7 @@ from scriptloom.js.nodes import FUNCTIONS, LOOPS, Node, block, expr, ident, stri
 from scriptloom.js.printer import to_code
 from scriptloom.js.scope import Binding, Scopes, rename, uid
 from scriptloom.js.unminify import BY_NAME as UNMINIFY
-from scriptloom.js.unminify import can_precede, json_tree, literal_value
+from scriptloom.js.unminify import can_precede, constant_value, json_tree
 
 ARRAY_NAME = "__STRING_ARRAY__"
 
@@ -475,7 +475,7 @@ def collect_assignments(b: Binding, d: Node) -> list[tuple[str, Node, Node]]:
         e = x.expression if x.type == "ExpressionStatement" else None
         if not (is_(e, "AssignmentExpression", operator="=") and is_member(e.left, b.name)):
             break
-        if e.right.type == "BinaryExpression" and isinstance(text := literal_value(e.right), str):
+        if e.right.type == "BinaryExpression" and isinstance(text := constant_value(e.right), str):
             e.set("right", string(text))
         if not proxy_value(e.right):
             break

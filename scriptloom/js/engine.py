@@ -33,6 +33,13 @@ class Skip:
         self.node = node
 
 
+class Again:
+    """Changed in place, and these nodes below are to be visited again; the rest has been visited."""
+
+    def __init__(self, *nodes: Node):
+        self.nodes = nodes
+
+
 class Rule:
     """A named rewrite: handlers by node type, whether it keeps meaning in all cases, and whether it asks for scopes."""
 
@@ -46,7 +53,7 @@ class Context:
     def __init__(self, program: Node, options: dict | None = None):
         self.program, self.changes, self.options = program, Counter(), options or {}
         self.version, self._scopes, self.at = 0, None, -1
-        self.again = (AGAIN, AGAIN_EACH)
+        self.again, self.turn = (AGAIN, AGAIN_EACH), 0  # turn: the number of the pass
 
     @property
     def scopes(self) -> Scopes:
@@ -88,6 +95,7 @@ def apply(ctx: Context, rules: list[Rule]) -> int:
             for t in types.split("|"):
                 (first if r.before else handlers)[t].append((r.name, f))
     start = sum(ctx.changes.values())
+    ctx.turn += 1
     left = ctx.again[0] + ctx.again[1] * sum(1 for _ in ctx.program.walk())
     inside = 0  # how many replaced nodes the visit is inside of
 
@@ -109,6 +117,10 @@ def apply(ctx: Context, rules: list[Rule]) -> int:
             ctx.changed(name)
             if out == DONE:
                 continue
+            if isinstance(out, Again):
+                for x in out.nodes:
+                    again(x)
+                continue
             if out is True:
                 again(n)
                 return True

@@ -8,8 +8,8 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
-# Trees are deep where programs are; pure Python calls need no more of the C stack.
-sys.setrecursionlimit(max(sys.getrecursionlimit(), 60_000))
+# Trees are deep where programs are.  Calls from Python to Python take no C stack, only memory: a few hundred bytes each.
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))
 
 # The child fields of each node type, in source order.
 FIELDS = {
@@ -179,7 +179,7 @@ def same(a, b) -> bool:
         return a == b
     if not isinstance(b, Node) or a.type != b.type:
         return False
-    skip = {"parent", "start", "end", "comment", "raw", "parens", "directive", "notes"}
+    skip = {"parent", "start", "end", "comment", "raw", "parens", "directive", "notes", "worth"}
     keys = {k for k in a.__dict__ if k not in skip} | {k for k in b.__dict__ if k not in skip}
     return all(same(a.__dict__.get(k), b.__dict__.get(k)) for k in keys)
 

@@ -7,7 +7,7 @@ import math
 
 from scriptloom.js import numbers
 from scriptloom.js.ask import IDENTIFIER, is_, is_ident, is_literal, is_number, is_pure, is_string, is_undefined
-from scriptloom.js.engine import DONE, Rule, Skip
+from scriptloom.js.engine import DONE, Again, Rule, Skip
 from scriptloom.js.nodes import Node, block, boolean, expr, ident, number, string
 from scriptloom.js.parser import JsSyntaxError, parse_expression
 
@@ -39,20 +39,20 @@ def before(n: Node, exprs: list[Node]) -> list[Node]:
 
 @rule("block-statements", "IfStatement")
 def _(n, ctx):
-    out = None
+    made = []
     for k in ("consequent", "alternate"):
         x = getattr(n, k)
         if x is not None and x.type not in ("BlockStatement", "EmptyStatement") and not (k == "alternate" and x.type == "IfStatement"):
-            n.set(k, block(x))
-            out = True
-    return out
+            made.append(block(x))
+            n.set(k, made[-1])
+    return Again(*made) if made else None
 
 
 @rule("block-statements", "ForStatement|ForInStatement|ForOfStatement|WhileStatement|DoWhileStatement")
 def _(n, ctx):
     if n.body.type not in ("BlockStatement", "EmptyStatement"):
         n.set("body", block(n.body))
-        return True
+        return Again(n.body)
     return None
 
 
@@ -187,30 +187,50 @@ def _(n, ctx):
     return None
 
 
-def literal_value(n: Node) -> float | str | None:
-    """The value of a number expression's part: numbers, strings and what they make."""
+def literal_value(n: Node, turn: int) -> float | str | None:
+    """The value of a number expression's part: numbers, strings and what they make.
+
+    A node keeps what was found in a pass, so an operand is worked out once,
+    however long the chain above it is.
+    """
     if n.type == "NumericLiteral":
         return float(n.value)
     if n.type == "StringLiteral":
         return n.value
-    if n.type == "UnaryExpression" and n.operator == "-":
-        v = literal_value(n.argument)
+    if n.type not in ("UnaryExpression", "BinaryExpression"):
+        return None
+    known = n.__dict__.get("worth")
+    if known is None or known[0] != turn:
+        known = n.worth = (turn, operated(n, turn))
+    return known[1]
+
+
+def constant_value(n: Node) -> float | str | None:
+    """The value of a subtree as it stands now."""
+    return literal_value(n, object())
+
+
+def operated(n: Node, turn: int) -> float | str | None:
+    if n.type == "UnaryExpression":
+        v = literal_value(n.argument, turn) if n.operator == "-" else None
         return None if v is None else -(v if isinstance(v, float) else numbers.from_text(v))
-    if n.type == "BinaryExpression" and n.operator in ("+", "-", "/", "%", "*", "**", "&", "|", ">>", ">>>", "<<", "^"):
-        a, b = literal_value(n.left), literal_value(n.right)
-        if a is None or b is None:
-            return None
-        if n.operator == "+" and (isinstance(a, str) or isinstance(b, str)):
-            return (a if isinstance(a, str) else numbers.to_text(a)) + (b if isinstance(b, str) else numbers.to_text(b))
-        return numbers.binary(n.operator, *(x if isinstance(x, float) else numbers.from_text(x) for x in (a, b)))
-    return None
+    if n.operator not in ("+", "-", "/", "%", "*", "**", "&", "|", ">>", ">>>", "<<", "^"):
+        return None
+    b = literal_value(n.right, turn)
+    a = None if b is None else literal_value(n.left, turn)
+    if a is None:
+        return None
+    if n.operator == "+" and (isinstance(a, str) or isinstance(b, str)):
+        return (a if isinstance(a, str) else numbers.to_text(a)) + (b if isinstance(b, str) else numbers.to_text(b))
+    return numbers.binary(n.operator, *(x if isinstance(x, float) else numbers.from_text(x) for x in (a, b)))
 
 
 @rule("number-expressions", "UnaryExpression|BinaryExpression")
 def _(n, ctx):
     if n.type == "UnaryExpression" and (n.operator != "-" or is_number(n.argument)):
         return None
-    v = literal_value(n)
+    n.__dict__.pop("worth", None)  # its parts may have changed since it was asked for
+    v = literal_value(n, ctx.turn)
     if isinstance(v, str) and n.type == "BinaryExpression":
         return string(v)
     if not isinstance(v, float) or not math.isfinite(v):

@@ -2,11 +2,13 @@
 
 Inputs are the nodes, bindings and refs tables; every operator is joins,
 filters and aggregations on (file_id, ...), so Catalyst plans it, and tables
-written by file_id bucket join without a shuffle.
+written by file_id bucket join without a shuffle.  Error rows of these tables
+have no node and match nothing.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,8 +79,68 @@ def read_only_objects(nodes: DataFrame, bindings: DataFrame, refs: DataFrame) ->
 
 
 def temporaries(bindings: DataFrame, reads: int) -> DataFrame:
-    """Bindings written once and read so often (parameters and variables without a value)."""
-    return bindings.filter((F.col("n_writes") == 1) & (F.col("n_refs") == reads))
+    """Bindings written once and read so often: variables without a value of their own, and plain parameters."""
+    return bindings.filter((F.col("n_writes") == 1) & (F.col("n_refs") == reads) & F.col("bare"))
+
+
+def constant_keys(nodes: DataFrame) -> DataFrame:
+    """Members of objects and classes with a constant key, as a name or a text: file_id, node_id, type, key."""
+    owners = nodes.filter("type in ('ObjectProperty', 'ObjectMethod', 'ClassMethod', 'ClassProperty')")
+    k = with_child(owners, nodes, "key", "k")
+    plain = (F.coalesce(F.col("attrs")["computed"], F.lit("false")) == "false") & (F.col("k_type") == "Identifier")
+    return k.filter(plain | F.col("k_type").isin("StringLiteral", "NumericLiteral")).select("file_id", "node_id", "type", F.when(plain, F.col("k_name")).otherwise(F.col("k_value")).alias("key"))
+
+
+def constant_properties(nodes: DataFrame) -> DataFrame:
+    """Properties of objects with a constant key: file_id, node_id, key, value_type, value."""
+    keys = constant_keys(nodes).filter("type = 'ObjectProperty'").drop("type")
+    return keys.join(child(nodes, "value", "value").select("file_id", "node_id", "value_type", F.coalesce("value_value", "value_name").alias("value")), ["file_id", "node_id"])
+
+
+def anonymous_functions(nodes: DataFrame) -> DataFrame:
+    """Arrow functions, and function expressions without a name that are no generators."""
+    named = nodes.filter("field = 'id'").select("file_id", F.col("parent_id").alias("node_id"))
+    plain = nodes.filter("type = 'FunctionExpression'").filter(F.coalesce(F.col("attrs")["generator"], F.lit("false")) == "false")
+    return nodes.filter("type = 'ArrowFunctionExpression'").unionByName(plain.join(named, ["file_id", "node_id"], "left_anti"))
+
+
+def constants(nodes: DataFrame) -> DataFrame:
+    """Spellings of undefined, true and false: file_id, node_id, constant.
+
+    undefined and void 0; true, !0, !!1 and !![]; false and ![].
+    """
+    empty = nodes.filter("type = 'ArrayExpression'").join(nodes.filter("field = 'elements'").select("file_id", F.col("parent_id").alias("node_id")), ["file_id", "node_id"], "left_anti")
+    leaves = nodes.filter("type = 'NumericLiteral'").unionByName(empty)
+    inner = leaves.filter("field = 'argument'").select("file_id", F.col("parent_id").alias("node_id"), F.coalesce("value", F.lit("[]")).alias("of"))
+    once = nodes.filter("type = 'UnaryExpression'").join(inner, ["file_id", "node_id"]).select("file_id", "node_id", "parent_id", "field", "operator", "of")
+    twice = nodes.filter("operator = '!'").select("file_id", "node_id").join(once.filter("operator = '!' and field = 'argument'").select("file_id", F.col("parent_id").alias("node_id"), "of"), ["file_id", "node_id"])
+    plain = nodes.filter("type = 'BooleanLiteral'").select("file_id", "node_id", F.col("value").alias("constant"))
+    plain = plain.unionByName(nodes.filter("type = 'Identifier' and name = 'undefined'").select("file_id", "node_id", F.lit("undefined").alias("constant")))
+    case = F.when((F.col("operator") == "void") & (F.col("of") == "0"), "undefined").when((F.col("operator") == "!") & (F.col("of") == "0"), "true").when((F.col("operator") == "!") & (F.col("of") == "[]"), "false")
+    made = once.select("file_id", "node_id", case.alias("constant")).filter("constant is not null")
+    return plain.unionByName(made).unionByName(twice.filter("of in ('1', '[]')").select("file_id", "node_id", F.lit("true").alias("constant")))
+
+
+def named_functions(nodes: DataFrame) -> DataFrame:
+    """Functions by the name they are declared by, in a declaration or as a variable's value: file_id, node_id (the function), name."""
+    declared = with_child(nodes.filter("type = 'FunctionDeclaration'"), nodes, "id", "id").select("file_id", "node_id", F.col("id_name").alias("name"))
+    variables = with_child(with_child(nodes.filter("type = 'VariableDeclarator'"), nodes, "id", "id"), nodes, "init", "init")
+    held = variables.filter("init_type = 'FunctionExpression' and id_type = 'Identifier'").select("file_id", F.col("init_node_id").alias("node_id"), F.col("id_name").alias("name"))
+    return declared.unionByName(held)
+
+
+def sublists(nodes: DataFrame, types: list[str]) -> DataFrame:
+    """Lists (statements, arguments ...) in which nodes of these types stand in this order, others between them: file_id, parent_id, field.
+
+    The first of each type behind the one before is as good as any other, so
+    each step is one aggregation and a join on the list.
+    """
+    at = nodes.filter("idx is not null").select("file_id", "parent_id", "field", "idx", "type")
+    found = at.filter(F.col("type") == types[0]).groupBy("file_id", "parent_id", "field").agg(F.min("idx").alias("last"))
+    for t in types[1:]:
+        further = at.filter(F.col("type") == t).join(found, ["file_id", "parent_id", "field"]).filter("idx > last")
+        found = further.groupBy("file_id", "parent_id", "field").agg(F.min("idx").alias("last"))
+    return found.drop("last")
 
 
 def nearest_assignments(nodes: DataFrame, refs: DataFrame) -> DataFrame:
@@ -96,7 +158,7 @@ def anti_read_write(bindings: DataFrame) -> DataFrame:
 
 def node_counts(nodes: DataFrame) -> DataFrame:
     """How many nodes of each type a program has."""
-    return nodes.groupBy("file_id", "type").agg(F.count(F.lit(1)).alias("n"))
+    return nodes.filter("type is not null").groupBy("file_id", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
 def module_edges(modules: DataFrame) -> DataFrame:
@@ -110,31 +172,58 @@ def unresolved(edges: DataFrame, modules: DataFrame) -> DataFrame:
 
 
 def enclosing(nodes: DataFrame, inner: str, outer: str) -> DataFrame:
-    """For each node of one type, the innermost node of another around it: a range join inside a program on source positions, the narrowest kept."""
-    a = nodes.filter(F.col("type") == inner).select("file_id", "node_id", F.col("start").alias("s"), F.col("end").alias("e"))
-    b = nodes.filter(F.col("type") == outer).select("file_id", F.col("node_id").alias("outer_id"), F.col("start").alias("os"), F.col("end").alias("oe"))
-    both = a.join(b, "file_id").filter("os <= s and e <= oe")
-    return both.groupBy("file_id", "node_id").agg(F.max_by("outer_id", "os").alias("outer_id"))
+    """For each node of one type, the innermost node of another around it: file_id, node_id, outer_id.
+
+    Source positions nest, so one walk over a program's nodes of both types in
+    the order of the text, with a stack of the open ones, finds them all.  A
+    task holds the nodes of these types of one program at a time.
+    """
+    some = nodes.filter(F.col("type").isin(inner, outer)).select("file_id", "node_id", "type", F.col("start").alias("s"), F.col("end").alias("e"))
+
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["s", "e", "node_id"], ascending=[True, False, True])
+        stack: list[tuple[int, int]] = []  # (end, node) of the open ones
+        found = []
+        for file, node, kind, start, end in rows.itertuples(index=False):
+            while stack and stack[-1][0] <= start:
+                stack.pop()
+            if kind == inner and stack:
+                found.append((file, node, stack[-1][1]))
+            if kind == outer:
+                stack.append((end, node))
+        return pd.DataFrame(found, columns=["file_id", "node_id", "outer_id"]).astype({"file_id": "int64", "node_id": "int32", "outer_id": "int32"})
+
+    return some.groupBy("file_id").applyInPandas(walk, "file_id long, node_id int, outer_id int")
 
 
-def alias_roots(nodes: DataFrame, bindings: DataFrame, refs: DataFrame, rounds: int = 16) -> DataFrame:
+def alias_roots(nodes: DataFrame, bindings: DataFrame, refs: DataFrame) -> DataFrame:
     """For each constant that only names another variable, the variable at the chain's end (file_id, alias, root).
 
-    Pointer jumping: every round doubles the length of the chains that are
-    followed, and it stops when nothing moves, so the rounds grow with the
-    logarithm of the longest chain.
+    A program's aliases are a map from variable to variable; following it to
+    the end, with what is known kept on the way, is linear.  Aliases that name
+    one another in a ring have no root and no row.
     """
     read = refs.filter("not is_write").select("file_id", F.col("binding_id").alias("target"), "node_id")
     init = nodes.filter("field = 'init'").select("file_id", "node_id", F.col("parent_id").alias("declarator"))
     ids = nodes.filter("field = 'id'").select("file_id", F.col("node_id").alias("decl_node_id"), F.col("parent_id").alias("declarator"))
     own = bindings.filter("is_constant").select("file_id", F.col("binding_id").alias("source"), "decl_node_id")
-    step = read.join(init, ["file_id", "node_id"]).join(ids, ["file_id", "declarator"]).join(own, ["file_id", "decl_node_id"]).select("file_id", "source", "target").cache()
-    for _ in range(rounds):
-        onward = step.select("file_id", F.col("source").alias("target"), F.col("target").alias("further"))
-        jumped = step.join(onward, ["file_id", "target"], "left").select("file_id", "source", F.coalesce("further", "target").alias("target"), F.col("further").isNotNull().alias("moved")).cache()
-        moved = jumped.filter("moved").limit(1).count()
-        step = jumped.drop("moved")
-        if not moved:
-            break
+    step = read.join(init, ["file_id", "node_id"]).join(ids, ["file_id", "declarator"]).join(own, ["file_id", "decl_node_id"]).select("file_id", "source", "target")
+
+    def follow(rows: pd.DataFrame) -> pd.DataFrame:
+        onward, root = dict(zip(rows.source, rows.target, strict=True)), {}
+        for source in onward:
+            way, at = [], source
+            while at in onward and at not in root:
+                root[at] = None  # on the way; met again, it is a ring
+                way.append(at)
+                at = onward[at]
+            end = root[at] if at in root else at
+            root.update(dict.fromkeys(way, end))
+        found = [(s, r) for s, r in root.items() if r is not None]
+        out = pd.DataFrame(found, columns=["source", "target"]).astype({"source": "int32", "target": "int32"})
+        out.insert(0, "file_id", rows.file_id.iloc[0])
+        return out.astype({"file_id": "int64"})
+
+    ends = step.groupBy("file_id").applyInPandas(follow, "file_id long, source int, target int")
     names = bindings.select("file_id", "binding_id", "name")
-    return step.join(names.select("file_id", F.col("binding_id").alias("source"), F.col("name").alias("alias")), ["file_id", "source"]).join(names.select("file_id", F.col("binding_id").alias("target"), F.col("name").alias("root")), ["file_id", "target"]).select("file_id", "alias", "root")
+    return ends.join(names.select("file_id", F.col("binding_id").alias("source"), F.col("name").alias("alias")), ["file_id", "source"]).join(names.select("file_id", F.col("binding_id").alias("target"), F.col("name").alias("root")), ["file_id", "target"]).select("file_id", "alias", "root")

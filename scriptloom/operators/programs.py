@@ -1,7 +1,9 @@
 """Operators on a table of programs: rewriting, and the tables of facts.
 
 All take a DataFrame with an identifier (long) and a text column and give one
-of the tables below; none shuffles.
+of the tables below and a last column error; none shuffles.  A program that
+cannot be read, or takes too long, has one row with nulls and an error in each
+table: failures() gives these.
 """
 
 from __future__ import annotations
@@ -11,10 +13,10 @@ from pyspark.sql import DataFrame
 from scriptloom.functions.kernels import per_program
 from scriptloom.js.pipeline import Options
 
-RESULTS = "code string, bundle_type string, entry_id string, n_modules int, error string"
+RESULTS = "code string, bundle_type string, entry_id string, n_modules int"
 NODES = "node_id int, parent_id int, field string, idx int, type string, name string, value string, operator string, start int, `end` int, depth int, scope_id int, attrs map<string,string>"
 SCOPES = "scope_id int, parent_scope_id int, kind string, node_id int"
-BINDINGS = "binding_id int, scope_id int, name string, kind string, decl_node_id int, is_constant boolean, n_refs int, n_writes int"
+BINDINGS = "binding_id int, scope_id int, name string, kind string, decl_node_id int, is_constant boolean, n_refs int, n_writes int, bare boolean"
 REFS = "binding_id int, node_id int, is_write boolean"
 MODULES = "bundle_type string, module_id string, is_entry boolean, path string, code string, dependencies map<string,string>"
 REWRITES = "transform string, changes int"
@@ -28,9 +30,9 @@ def rewrite(df: DataFrame, id_column: str = "file_id", code_column: str = "code"
 
         r = run(code, options)
         b = r.bundle
-        return [(r.code, b and b.type, b and b.entry_id, len(b.modules) if b else None, None)]
+        return [(r.code, b and b.type, b and b.entry_id, len(b.modules) if b else None)]
 
-    return per_program(df, id_column, code_column, RESULTS, f, lambda e: [(None, None, None, None, e)])
+    return per_program(df, id_column, code_column, RESULTS, f)
 
 
 def transform(df: DataFrame, names: list[str], id_column: str = "file_id", code_column: str = "code") -> DataFrame:
@@ -39,9 +41,9 @@ def transform(df: DataFrame, names: list[str], id_column: str = "file_id", code_
     def f(code: str) -> list[tuple]:
         from scriptloom.js.pipeline import transform as run
 
-        return [(run(code, names), None)]
+        return [(run(code, names),)]
 
-    return per_program(df, id_column, code_column, "code string, error string", f, lambda e: [(None, e)])
+    return per_program(df, id_column, code_column, "code string", f)
 
 
 def compacted(df: DataFrame, id_column: str = "file_id", code_column: str = "code") -> DataFrame:
@@ -51,9 +53,9 @@ def compacted(df: DataFrame, id_column: str = "file_id", code_column: str = "cod
         from scriptloom.js.parser import parse
         from scriptloom.js.printer import to_code
 
-        return [(to_code(parse(code), compact=True), None)]
+        return [(to_code(parse(code), compact=True),)]
 
-    return per_program(df, id_column, code_column, "code string, error string", f, lambda e: [(None, e)])
+    return per_program(df, id_column, code_column, "code string", f)
 
 
 def _analysed(code: str):
@@ -68,6 +70,11 @@ def _analysed(code: str):
     return tree, ids, scopes, {id(s): i for i, s in enumerate(order)}
 
 
+def failures(table: DataFrame) -> DataFrame:
+    """Identifier and error of the programs that a table has none but an error row of."""
+    return table.filter("error is not null").select(table.columns[0], "error")
+
+
 def nodes(df: DataFrame, id_column: str = "file_id", code_column: str = "code") -> DataFrame:
     """A row for each syntax node, numbered in source order."""
 
@@ -107,11 +114,14 @@ def scopes(df: DataFrame, id_column: str = "file_id", code_column: str = "code")
 
 
 def bindings(df: DataFrame, id_column: str = "file_id", code_column: str = "code") -> DataFrame:
-    """A row for each declared name."""
+    """A row for each declared name; bare where it is a variable without a value or a plain parameter."""
+
+    def bare(b) -> bool:
+        return b.path.type == "Identifier" if b.kind == "param" else b.path.type == "VariableDeclarator" and b.path.init is None
 
     def f(code: str) -> list[tuple]:
         _, ids, found, scope_ids = _analysed(code)
-        return [(i, scope_ids[id(b.scope)], b.name, b.kind, ids[id(b.ident)], b.constant, len(b.refs), len(b.writes)) for i, b in enumerate(found.all)]
+        return [(i, scope_ids[id(b.scope)], b.name, b.kind, ids[id(b.ident)], b.constant, len(b.refs), len(b.writes), bare(b)) for i, b in enumerate(found.all)]
 
     return per_program(df, id_column, code_column, BINDINGS, f)
 

@@ -63,7 +63,7 @@ def read_only_objects(spark, sf_dir):
 
 
 def temporaries(spark, sf_dir):
-    text = r"concat('var t;x=(t=f(', c_custkey, '))===null||t', CASE WHEN c_custkey % 2 = 0 THEN '.b' ELSE '' END, ';var u;u=1;', CASE WHEN c_custkey % 3 = 0 THEN 'g(u,u)' ELSE 'g(u)' END)"
+    text = r"concat('var t;x=(t=f(', c_custkey, '))===null||t', CASE WHEN c_custkey % 2 = 0 THEN '.b' ELSE '' END, ';var u;u=1;', CASE WHEN c_custkey % 3 = 0 THEN 'g(u,u)' ELSE 'g(u)' END, ';var w=1;w=2;g(w)')"
     return detect.temporaries(programs.bindings(made(spark, sf_dir, "customer", "c_custkey", text)), 1).select(F.col("file_id").alias("id"), "name")
 
 
@@ -236,7 +236,109 @@ def sql_fold(spark, sf_dir):
     return made(spark, sf_dir, "customer", "c_custkey", "concat(c_custkey, '*2+1')").select(F.col("file_id").alias("id"), F.expr("js_fold(code)").alias("value"))
 
 
+def facts(text, find, *columns):
+    """A detection over the nodes of made programs."""
+
+    def query(spark, sf_dir):
+        return find(programs.nodes(made(spark, sf_dir, "customer", "c_custkey", text))).select(F.col("file_id").alias("id"), *columns)
+
+    return query
+
+
+KEYS_TEXT = r"""concat('x={a', c_custkey, ':1,"b":2,[c]:3,d(){},7:4};class q{e=1;["f"](){}}')"""
+FUNCTIONS_TEXT = r"concat('f(function(){},()=>', c_custkey, ',function g(){},function*(){})')"
+CONSTANTS_TEXT = r"concat('f(undefined,void 0,void 1', c_custkey, ',!0,!1,!!1,!![],![],true,false)')"
+NAMED_TEXT = r"concat('function a', c_custkey, '(){}var b=function(){};let c=()=>1;const d=function e(){}')"
+LIST_TEXT = r"concat(CASE WHEN c_custkey % 2 = 0 THEN 'var a=1;' ELSE '' END, 'f(', c_custkey, ');if(a)b();var c')"
+
+
+def failed_facts(spark, sf_dir):
+    """Programs that cannot be read have an error row in every table of facts."""
+    p = made(spark, sf_dir, "customer", "c_custkey", r"concat('f(', CASE WHEN c_custkey % 7 = 0 THEN '' ELSE ')' END)")
+    tables = {"nodes": programs.nodes, "scopes": programs.scopes, "bindings": programs.bindings, "references": programs.references, "modules": programs.modules, "rewrites": programs.rewrites, "string_arrays": programs.string_arrays}
+    out = None
+    for name, f in tables.items():
+        one = programs.failures(f(p)).select(F.col("file_id").alias("id"), F.lit(name).alias("facts"), F.col("error").startswith("JsSyntaxError").alias("syntax"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def long_chains(spark, sf_dir):
+    """Programs with chains of thousands of operators and calls, one after the other."""
+    text = "concat('x=y', repeat('+z', 4000 + cast(n_nationkey as int)), ';a', repeat('.b()', 3000), ';s=', repeat('\"q\"+', 2000), '1')"
+    r = programs.rewrite(made(spark, sf_dir, "nation", "n_nationkey", text))
+    return r.select(F.col("file_id").alias("id"), F.length("code").alias("n_chars"), F.col("error").isNull().alias("ok"))
+
+
+def sql_scalar(function, text):
+    def query(spark, sf_dir):
+        from scriptloom.functions.sql import register
+
+        register(spark)
+        return made(spark, sf_dir, "customer", "c_custkey", text).select(F.col("file_id").alias("id"), F.expr(f"{function}(code)").alias("code"))
+
+    return query
+
+
+def sql_table(function, text, *columns):
+    def query(spark, sf_dir):
+        from scriptloom.functions.sql import register
+
+        register(spark)
+        made(spark, sf_dir, "customer", "c_custkey", text).createOrReplaceTempView(f"made_for_{function}")
+        return spark.sql(f"SELECT m.file_id AS id, {', '.join(columns)} FROM made_for_{function} m, LATERAL {function}(m.code) f")
+
+    return query
+
+
+def plugin_stages(spark, sf_dir):
+    """A caller's step at each of the five points: each counts the statements that it meets."""
+
+    def counter(mark):
+        def f(tree, ctx):
+            from scriptloom.js.nodes import call, expr, ident, number
+
+            tree.body.append(expr(call(ident(mark), number(len(tree.body)))))
+            tree.body[-1].parent = tree
+
+        return f
+
+    stages = ("after_parse", "after_prepare", "after_deobfuscate", "after_unminify")
+    options = programs.Options(plugins={s: [counter(s)] for s in stages}, unpack=False)
+    p = made(spark, sf_dir, "nation", "n_nationkey", "concat('a(),b(', n_nationkey, ')')")
+    return programs.rewrite(p, options=options).select(F.col("file_id").alias("id"), "code")
+
+
+def other_sandbox(spark, sf_dir):
+    """Decoders evaluated by a caller's own sandbox: here one that knows the answer is upper case."""
+    import re
+
+    def sandbox(code: str) -> list:
+        return [x.upper() for x in re.findall(r'"(segment_[^"]*)"', code)][:1]
+
+    text = r"""concat('function arr(){const s=["segment_', lower(c_mktsegment), '"];arr=function(){return s};return arr()}function dec(i){i=i-0;return arr()[i]}f(dec(0))')"""
+    p = made(spark, sf_dir, "customer", "c_custkey", text)
+    return programs.rewrite(p, options=programs.Options(sandbox=sandbox)).select(F.col("file_id").alias("id"), F.col("code").contains("SEGMENT_").alias("by_sandbox"), F.col("error").isNull().alias("ok"))
+
+
+def title_cases(spark, sf_dir):
+    d = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", F.lower("p_type"), F.lit("a-b"), F.col("p_size").cast("string")).alias("t"))
+    return d.select("id", columns.title_case(F.col("t")).alias("title"))
+
+
+def identifiers(spark, sf_dir):
+    d = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.expr("CASE WHEN p_partkey % 4 = 0 THEN concat('_', p_size) WHEN p_partkey % 4 = 1 THEN concat(p_size, 'a') WHEN p_partkey % 4 = 2 THEN concat('a-', p_size) ELSE concat(chr(36), 'x', p_size) END").alias("t"))
+    return d.select("id", columns.identifier_test(F.col("t")).alias("ok"))
+
+
 QUERIES = {
+    "js_constant_keys": facts(KEYS_TEXT, detect.constant_keys, "type", "key"), "js_constant_properties": facts(KEYS_TEXT, detect.constant_properties, "key", "value_type", "value"),
+    "js_anonymous_functions": facts(FUNCTIONS_TEXT, detect.anonymous_functions, "type"), "js_constants": facts(CONSTANTS_TEXT, detect.constants, "constant"), "js_named_functions": facts(NAMED_TEXT, detect.named_functions, "name"),
+    "js_sublists": facts(LIST_TEXT, lambda n: detect.sublists(n, ["VariableDeclaration", "IfStatement", "VariableDeclaration"]), "field"), "js_failed_facts": failed_facts, "js_long_chains": long_chains,
+    "js_sql_unminify": sql_scalar("js_unminify", "concat('x=!0;y=void 0;z=', c_custkey)"), "js_sql_deobfuscate": sql_scalar("js_deobfuscate", r"concat('f(decodeURIComponent(\"%41\"),', c_custkey, ')')"), "js_sql_mangle": sql_scalar("js_mangle", "concat('let q=', c_custkey)"),
+    "js_sql_nodes": sql_table("js_nodes", "concat('f(', c_custkey, ')')", "f.node_id", "f.parent_id", "f.type", "f.name", "f.value"), "js_sql_modules": sql_table("js_modules", CHUNK_TEXT, "f.bundle_type", "f.module_id", "f.path"),
+    "js_sql_string_array": sql_table("js_string_array", r"concat('function q(){const s=[\"', c_name, '\",\"', c_mktsegment, '\"];q=function(){return s};return q()}')", "f.idx", "f.value"),
+    "js_plugin_stages": plugin_stages, "js_sandbox": other_sandbox, "js_title_case": title_cases, "js_identifiers": identifiers,
     "js_call_args": call_args, "js_inline_scripts": inline_scripts, "js_node_counts": node_counts, "js_results": results, "js_binding_stats": binding_stats, "js_read_only_objects": read_only_objects,
     "js_temporaries": temporaries, "js_infinite_loops": infinite_loops, "js_safe_literals": safe_literals, "js_iifes": iifes, "js_constant_members": constant_members, "js_nearest_assignments": nearest_assignments,
     "js_bundle_modules": bundle_modules, "js_bundles": bundles, "js_dep_paths": dep_paths, "js_require_join": require_join, "js_string_array_table": string_array_table, "js_rewrite_counts": rewrite_counts,
@@ -247,6 +349,24 @@ QUERIES = {
 }
 
 ORACLES = {
+    "js_constant_keys": "SELECT c_custkey AS id, t.t AS type, CASE WHEN t.k = 'a' THEN 'a' || c_custkey ELSE t.k END AS key FROM customer, (VALUES ('ObjectProperty', 'a'), ('ObjectProperty', 'b'), ('ObjectMethod', 'd'), ('ObjectProperty', '7'), ('ClassProperty', 'e'), ('ClassMethod', 'f')) t(t, k)",
+    "js_constant_properties": "SELECT c_custkey AS id, CASE WHEN t.k = 'a' THEN 'a' || c_custkey ELSE t.k END AS key, 'NumericLiteral' AS value_type, t.v AS value FROM customer, (VALUES ('a', '1'), ('b', '2'), ('7', '4')) t(k, v)",
+    "js_anonymous_functions": "SELECT c_custkey AS id, t.t AS type FROM customer, (VALUES ('FunctionExpression'), ('ArrowFunctionExpression')) t(t)",
+    "js_constants": "SELECT c_custkey AS id, t.c AS constant FROM customer, (VALUES ('undefined'), ('undefined'), ('true'), ('true'), ('true'), ('false'), ('false'), ('true'), ('false')) t(c)",
+    "js_named_functions": "SELECT c_custkey AS id, CASE WHEN t.n = 'a' THEN 'a' || c_custkey ELSE t.n END AS name FROM customer, (VALUES ('a'), ('b'), ('d')) t(n)",
+    "js_sublists": "SELECT c_custkey AS id, 'body' AS field FROM customer WHERE c_custkey % 2 = 0",
+    "js_failed_facts": "SELECT c_custkey AS id, t.f AS facts, true AS syntax FROM customer, (VALUES ('nodes'), ('scopes'), ('bindings'), ('references'), ('modules'), ('rewrites'), ('string_arrays')) t(f) WHERE c_custkey % 7 = 0",
+    "js_long_chains": "SELECT CAST(n_nationkey AS BIGINT) AS id, CAST(length('x = y') + (4000 + n_nationkey) * length(' + z') + length(';') + 1 + length('a') + 3000 * length('.b()') + length(';') + 1 + length('s = \"') + 2000 + length('1\";') AS INTEGER) AS n_chars, true AS ok FROM nation",
+    "js_sql_unminify": "SELECT c_custkey AS id, 'x = true;' || chr(10) || 'y = undefined;' || chr(10) || 'z = ' || c_custkey || ';' AS code FROM customer",
+    "js_sql_deobfuscate": "SELECT c_custkey AS id, 'f(\"A\", ' || c_custkey || ');' AS code FROM customer",
+    "js_sql_mangle": "SELECT c_custkey AS id, 'let vLN' || c_custkey || ' = ' || c_custkey || ';' AS code FROM customer",
+    "js_sql_nodes": "SELECT c_custkey AS id, CAST(t.i AS INTEGER) AS node_id, CAST(t.p AS INTEGER) AS parent_id, t.t AS type, t.n AS name, CASE WHEN t.i = 4 THEN CAST(c_custkey AS VARCHAR) END AS value FROM customer, (VALUES (0, NULL, 'Program', NULL), (1, 0, 'ExpressionStatement', NULL), (2, 1, 'CallExpression', NULL), (3, 2, 'Identifier', 'f'), (4, 2, 'NumericLiteral', NULL)) t(i, p, t, n)",
+    "js_sql_modules": "SELECT c_custkey AS id, 'webpack' AS bundle_type, m || c_custkey AS module_id, './' || m || c_custkey || '.js' AS path FROM customer, (VALUES ('a'), ('b')) t(m)",
+    "js_sql_string_array": "SELECT c_custkey AS id, CAST(0 AS INTEGER) AS idx, c_name AS value FROM customer UNION ALL SELECT c_custkey, 1, c_mktsegment FROM customer",
+    "js_plugin_stages": "SELECT CAST(n_nationkey AS BIGINT) AS id, 'a();' || chr(10) || 'b(' || n_nationkey || ');' || chr(10) || 'after_parse(1);' || chr(10) || 'after_prepare(3);' || chr(10) || 'after_deobfuscate(4);' || chr(10) || 'after_unminify(5);' AS code FROM nation",
+    "js_sandbox": "SELECT c_custkey AS id, true AS by_sandbox, true AS ok FROM customer",
+    "js_title_case": "SELECT p_partkey AS id, array_to_string(list_transform(string_split(lower(p_type), ' '), lambda w: upper(w[1]) || w[2:]), '') || 'Ab' || p_size AS title FROM part",
+    "js_identifiers": "SELECT p_partkey AS id, p_partkey % 4 IN (0, 3) AS ok FROM part",
     "js_call_args": r"SELECT page_id, 'track' AS callee, CAST(regexp_extract(html, 'track\((\d+)\)', 1) AS BIGINT) AS arg FROM pages",
     "js_inline_scripts": r"SELECT page_id, CAST(unnest(range(len(s))) AS INTEGER) AS idx, unnest(s) AS script FROM (SELECT page_id, regexp_extract_all(html, '(?s)<script[^>]*>(.*?)</script>', 1) AS s FROM pages)",
     "js_node_counts": "SELECT page_id, t.type, CAST(t.n AS BIGINT) AS n FROM pages, (VALUES ('Program', 1), ('VariableDeclaration', 1), ('VariableDeclarator', 1), ('Identifier', 2), ('StringLiteral', 1), ('ExpressionStatement', 1), ('CallExpression', 1), ('NumericLiteral', 1)) t(type, n)",

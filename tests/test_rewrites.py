@@ -1,5 +1,7 @@
 """Rules, one at a time and together: what they change and what they must leave."""
 
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -217,3 +219,14 @@ def test_endless_replacement_is_an_error():
     turns = Rule("turns", {"Identifier": lambda n, _: ident("y" if n.name == "x" else "x")})
     with pytest.raises(BudgetError):
         apply(ctx, [turns])
+
+
+@pytest.mark.parametrize("code", ["a=b" + "+b" * 20_000, "a=x" + "+1" * 20_000, "a" + ".b()" * 20_000, "a" + "()" * 20_000, "a='x'" + "+'y'" * 20_000, "a=1" + "/3" * 5000, "if(a)b();" + "else if(a)b();" * 4000, "a=" + "(" * 5000 + "1" + ")" * 5000])
+def test_long_chains_take_time_in_proportion(code):
+    start = time.process_time()
+    assert rewrite(code).code
+    assert time.process_time() - start < 4
+
+
+def test_parts_are_worked_out_once_and_anew_when_they_change():
+    assert transform("x=1/3+2/3;y=(1/3)*3;z=1+2+a;w=-(1+2)", ["number-expressions"]) == "x = 1;\ny = 1;\nz = 3 + a;\nw = -3;"

@@ -25,7 +25,9 @@ def test_one_bad_program_does_not_fail_the_job(some):
 
 
 def test_tables_fit_together(some):
-    nodes, bindings, refs, scopes = (f(some).cache() for f in (programs.nodes, programs.bindings, programs.references, programs.scopes))
+    tables = [f(some) for f in (programs.nodes, programs.bindings, programs.references, programs.scopes)]
+    assert [[(r.file_id, r.error[:13]) for r in programs.failures(t).collect()] for t in tables] == [[(2, "JsSyntaxError")]] * 4
+    nodes, bindings, refs, scopes = (t.filter("error is null").drop("error").cache() for t in tables)
     assert nodes.filter("parent_id is null").count() == 3
     assert nodes.join(nodes.select("file_id", F.col("node_id").alias("parent_id")), ["file_id", "parent_id"], "left_anti").filter("parent_id is not null").count() == 0
     assert [(r.name, r.kind, r.n_refs) for r in bindings.collect()] == [("a", "var", 1)]
@@ -90,3 +92,48 @@ def test_stream_of_files(spark, tmp_path):
     q = rewrite_stream(arriving_files(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "check"))
     q.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).first().code == "x = true;"
+
+
+def test_a_program_that_takes_too_long_has_an_error(some):
+    import time
+
+    from scriptloom.functions.kernels import TimeBudgetError, per_program, within
+
+    with pytest.raises(TimeBudgetError), within(0.05):
+        time.sleep(2)
+    with within(5):
+        pass
+
+    def slow(code):
+        time.sleep(20 if "g(a)" in code else 0)
+        return [(len(code),)]
+
+    got = {r.file_id: (r.n, r.error) for r in per_program(some, "file_id", "code", "n int", slow, seconds=0.5).collect()}
+    assert got == {1: (4, None), 2: (2, None), 3: (0, None), 4: (None, "TimeBudgetError: more than 0.5 seconds")}
+
+
+def test_aliases_of_any_length_and_rings(spark):
+    chain = "const a0=f;" + "".join(f"const a{i + 1}=a{i};" for i in range(200)) + "const p=q,q=p;"
+    p = spark.createDataFrame([(1, "var f=1;" + chain)], "file_id long, code string")
+    got = {r.alias: r.root for r in detect.alias_roots(programs.nodes(p), programs.bindings(p), programs.references(p)).collect()}
+    assert got == {f"a{i}": "f" for i in range(201)}
+
+
+def test_enclosing_functions_of_many_calls(spark):
+    code = "a();" * 300 + "function f(){" + "b();" * 300 + "function g(){c()}d()}" + "e();function h(){}i()"
+    p = spark.createDataFrame([(1, code)], "file_id long, code string")
+    nodes = programs.nodes(p).cache()
+    got = detect.enclosing(nodes, "CallExpression", "FunctionDeclaration").groupBy("outer_id").count().collect()
+    assert sorted(r["count"] for r in got) == [1, 301]
+
+
+def test_files_to_files(spark, tmp_path):
+    """Read from a folder, rewritten, saved and read back."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "one.js").write_text("x=!0")
+    (folder / "two.js").write_text("f(void 0)")
+    out = programs.rewrite(readers.read_files(spark, f"file://{folder}"))
+    sinks.save_table(out, f"file://{tmp_path}/out")
+    saved = spark.read.parquet(f"file://{tmp_path}/out")
+    assert sorted(r.code for r in saved.collect()) == ["f(undefined);", "x = true;"]
