@@ -56,7 +56,7 @@ def spread(df: DataFrame) -> DataFrame:
 def per_program(df: DataFrame, id_column: str, code_column: str, schema: str, f: Callable[[str], list[tuple]], seconds: float | None = SECONDS) -> DataFrame:
     """Rows of (id, *row) for each row that f gives for a program, and a last column error.
 
-    A null text is an empty program.  What f raises, and taking more than so
+    f's rows may end in an error of their own.  A null text is an empty program.  What f raises, and taking more than so
     many seconds, becomes one row with nulls and the message.
     """
     schema += ", error string"
@@ -69,7 +69,7 @@ def per_program(df: DataFrame, id_column: str, code_column: str, schema: str, f:
             for key, code in zip(b.column(0), b.column(1), strict=True):
                 try:
                     with within(seconds):
-                        rows = [(*row, None) for row in f(code.as_py() or "")]
+                        rows = [(*row, None) if len(row) < len(full.names) - 1 else row for row in f(code.as_py() or "")]
                 except Exception as e:  # one bad program must not fail the job
                     rows = [(*[None] * (len(full.names) - 2), f"{type(e).__name__}: {e}"[:500])]
                 for row in rows:

@@ -19,17 +19,17 @@ FIELDS = {
     "TryStatement": ("block", "handler", "finalizer"), "CatchClause": ("param", "body"), "WhileStatement": ("test", "body"), "DoWhileStatement": ("body", "test"),
     "ForStatement": ("init", "test", "update", "body"), "ForInStatement": ("left", "right", "body"), "ForOfStatement": ("left", "right", "body"),
     "VariableDeclaration": ("declarations",), "VariableDeclarator": ("id", "init"), "FunctionDeclaration": ("id", "params", "body"), "FunctionExpression": ("id", "params", "body"),
-    "ArrowFunctionExpression": ("params", "body"), "ClassDeclaration": ("id", "superClass", "body"), "ClassExpression": ("id", "superClass", "body"), "ClassBody": ("body",),
-    "ClassMethod": ("key", "params", "body"), "ClassProperty": ("key", "value"), "PrivateName": (), "ObjectExpression": ("properties",), "ObjectProperty": ("key", "value"),
+    "ArrowFunctionExpression": ("params", "body"), "ClassDeclaration": ("decorators", "id", "superClass", "body"), "ClassExpression": ("decorators", "id", "superClass", "body"), "ClassBody": ("body",),
+    "ClassMethod": ("decorators", "key", "params", "body"), "ClassProperty": ("decorators", "key", "value"), "Decorator": ("expression",), "ImportAttribute": ("key", "value"), "UnreadStatement": (), "PrivateName": (), "ObjectExpression": ("properties",), "ObjectProperty": ("key", "value"),
     "ObjectMethod": ("key", "params", "body"), "SpreadElement": ("argument",), "ArrayExpression": ("elements",), "UnaryExpression": ("argument",), "UpdateExpression": ("argument",),
     "BinaryExpression": ("left", "right"), "LogicalExpression": ("left", "right"), "AssignmentExpression": ("left", "right"), "ConditionalExpression": ("test", "consequent", "alternate"),
     "CallExpression": ("callee", "arguments"), "OptionalCallExpression": ("callee", "arguments"), "NewExpression": ("callee", "arguments"), "MemberExpression": ("object", "property"),
     "OptionalMemberExpression": ("object", "property"), "SequenceExpression": ("expressions",), "YieldExpression": ("argument",), "AwaitExpression": ("argument",), "ThisExpression": (),
     "Super": (), "Import": (), "MetaProperty": ("meta", "property"), "Identifier": (), "StringLiteral": (), "NumericLiteral": (), "BooleanLiteral": (), "NullLiteral": (), "BigIntLiteral": (),
     "RegExpLiteral": (), "TemplateLiteral": ("quasis", "expressions"), "TemplateElement": (), "TaggedTemplateExpression": ("tag", "quasi"), "ArrayPattern": ("elements",),
-    "ObjectPattern": ("properties",), "AssignmentPattern": ("left", "right"), "RestElement": ("argument",), "ImportDeclaration": ("specifiers", "source"), "ImportSpecifier": ("imported", "local"),
-    "ImportDefaultSpecifier": ("local",), "ImportNamespaceSpecifier": ("local",), "ExportNamedDeclaration": ("declaration", "specifiers", "source"), "ExportSpecifier": ("local", "exported"),
-    "ExportDefaultDeclaration": ("declaration",), "ExportAllDeclaration": ("exported", "source"), "JSXElement": ("openingElement", "children", "closingElement"),
+    "ObjectPattern": ("properties",), "AssignmentPattern": ("left", "right"), "RestElement": ("argument",), "ImportDeclaration": ("specifiers", "source", "attributes"), "ImportSpecifier": ("imported", "local"),
+    "ImportDefaultSpecifier": ("local",), "ImportNamespaceSpecifier": ("local",), "ExportNamedDeclaration": ("declaration", "specifiers", "source", "attributes"), "ExportSpecifier": ("local", "exported"),
+    "ExportDefaultDeclaration": ("declaration",), "ExportAllDeclaration": ("exported", "source", "attributes"), "JSXElement": ("openingElement", "children", "closingElement"),
     "JSXOpeningElement": ("name", "attributes"), "JSXClosingElement": ("name",), "JSXFragment": ("children",), "JSXText": (), "JSXExpressionContainer": ("expression",), "JSXEmptyExpression": (),
     "JSXSpreadChild": ("expression",), "JSXAttribute": ("name", "value"), "JSXSpreadAttribute": ("argument",), "JSXIdentifier": (), "JSXMemberExpression": ("object", "property"), "JSXNamespacedName": ("namespace", "name"),
 }

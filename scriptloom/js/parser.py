@@ -1,7 +1,8 @@
 """JavaScript to syntax tree: a scanner driven by the parser, and precedence climbing.
 
 Parsed as a script or a module alike; `return` is allowed anywhere; JSX is on
-unless switched off.  Parentheses leave no node.
+unless switched off.  Parentheses leave no node.  With recovery, a statement
+that cannot be read stays as its text, and reading goes on behind it.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ NUMBER = re.compile(r"0[xX][0-9a-fA-F_]+n?|0[oO][0-7_]+n?|0[bB][01_]+n?|0[0-7]+(
 STRING = re.compile(r"\"(?:[^\"\\\n\r]|\\(?:\r\n|[\s\S]))*\"|'(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*'")
 REGEX = re.compile(r"/((?:[^\\/\[\n\r]|\\[^\n\r]|\[(?:[^\]\\\n\r]|\\[^\n\r])*\])+)/([a-zA-Z]*)")
 PUNCT = re.compile(r">>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|\*\*|[{}()\[\];,<>+\-*/%&|^!~?:=.#@]")
+STOP = re.compile(r"[;}\n\r\u2028\u2029]")
 ESCAPE = re.compile(r"\\(?:u\{([0-9a-fA-F]+)\}|u([0-9a-fA-F]{4})|x([0-9a-fA-F]{2})|(\r\n|[\n\r\u2028\u2029])|([0-3]?[0-7]{1,2})|([\s\S]))")
 SIMPLE = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f", "v": "\v", "0": "\0"}
 
@@ -52,11 +54,16 @@ def unescape(raw: str) -> str:
 
 
 class Parser:
-    def __init__(self, text: str, jsx: bool = True):
+    def __init__(self, text: str, jsx: bool = True, recover: bool = False):
+        self.recover, self.errors = recover, []
         self.s, self.jsx, self.pos, self.no_in, self.gap = text, jsx, 0, False, 0
         if text.startswith("#!"):
             self.pos = NEWLINE.search(text + "\n").start()
-        self.advance()
+        try:
+            self.advance()
+        except JsSyntaxError:  # the first token; the first statement meets it again
+            if not recover:
+                raise
 
     # scanning
 
@@ -137,8 +144,8 @@ class Parser:
 
     def program(self) -> Node:
         body = []
-        while self.kind != "end":
-            body.append(self.statement())
+        while self.kind != "end" or (self.recover and self.start < len(self.s)):
+            body.append(self.read_on(True) if self.recover else self.statement())
         out = self.node("Program", 0, body=self.directives(body))
         out.end = len(self.s)
         return out
@@ -150,6 +157,34 @@ class Parser:
             x.directive = True
         return body
 
+    def read_on(self, outermost: bool) -> Node:
+        """A statement, or what stands in its place as text: up to the next semicolon, line or closing brace behind where reading failed."""
+        start, no_in = self.start, self.no_in
+        try:
+            if self.kind == "end":
+                self.fail()
+            return self.statement()
+        except JsSyntaxError as e:
+            if self.start >= len(self.s) and not outermost:
+                raise  # a block that never ends is its owner's failure
+            self.errors.append(str(e))
+        m = STOP.search(self.s, max(self.start, start + 1))
+        end = len(self.s) if m is None else m.start() if m[0] == "}" and not outermost else m.end()
+        n = Node("UnreadStatement", text=self.s[start:end].rstrip())
+        n.start, n.end = start, end
+        self.pos, self.no_in = end, no_in
+        while True:
+            try:
+                self.advance()
+                break
+            except JsSyntaxError as e:  # no token starts here: it belongs to what cannot be read
+                self.errors.append(str(e))
+                m = STOP.search(self.s, self.start + 1)
+                self.pos = n.end = len(self.s) if m is None else m.end()
+                n.text = self.s[start : n.end].rstrip()
+        self.last_end = self.gap = n.end
+        return n
+
     def statement(self) -> Node:
         """A statement, with the comments before it and behind it on its line as notes."""
         before = COMMENT.findall(self.s, self.gap, self.start) if self.start > self.gap else []
@@ -174,7 +209,13 @@ class Parser:
                 self.advance()
                 return self.node("EmptyStatement", start)
             if v == "@":
-                self.fail("decorators are not read")
+                found = self.decorators()
+                n = self.statement()
+                target = n.declaration if n.type in ("ExportNamedDeclaration", "ExportDefaultDeclaration") else n
+                if target is None or target.type != "ClassDeclaration":
+                    self.fail("decorators stand before classes")
+                target.set("decorators", found)
+                return n
         elif self.kind == "name" and not self.escaped:
             f = getattr(self, "s_" + v, None) if v in KEYWORDS else None
             if f and not (v == "import" and self.peek()[1] in ("(", ".")):
@@ -184,6 +225,10 @@ class Parser:
                 if value == "function" and kind == "name" and not newline:
                     self.advance()
                     return self.function(start, True, True)
+            if v == "using" or (v == "await" and self.peek()[1] == "using"):
+                declared = self.using(start)
+                if declared:
+                    return declared
             if v == "let":
                 kind, value, _ = self.peek()
                 if value in ("[", "{") or (kind == "name" and value not in ("in", "instanceof", "of")):
@@ -202,7 +247,7 @@ class Parser:
         self.expect("{")
         body = []
         while not self.at("}"):
-            body.append(self.statement())
+            body.append(self.read_on(False) if self.recover and self.kind != "end" else self.statement())
         self.advance()
         return self.node("BlockStatement", start, body=body)
 
@@ -229,6 +274,17 @@ class Parser:
 
     s_var = s_const = declaration
 
+    def using(self, start: int) -> Node | None:
+        """`using x = ...` and `await using x = ...`, or nothing where the words are names."""
+        before, wait = self.state(), self.eat("await")
+        kind, value, newline = self.peek()
+        if kind != "name" or newline or value in ("in", "instanceof", "of", "as"):
+            self.back(before)
+            return None
+        n = self.declaration(start)
+        n.kind = "await using" if wait else "using"
+        return n
+
     def s_function(self, start):
         return self.function(start, True)
 
@@ -370,8 +426,23 @@ class Parser:
                     self.at("}") or self.expect(",")
             self.expect("from")
         source = self.literal()
+        attributes = self.attributes()
         self.semicolon()
-        return self.node("ImportDeclaration", start, specifiers=found, source=source)
+        return self.node("ImportDeclaration", start, specifiers=found, source=source, attributes=attributes)
+
+    def attributes(self) -> list[Node] | None:
+        """`with { type: "json" }` behind a module's name, also as `assert`."""
+        if not (self.at("with") or (self.at("assert") and not self.newline)) or self.peek()[1] != "{":
+            return None
+        self.advance()
+        self.advance()
+        out = []
+        while not self.eat("}"):
+            at, key = self.start, self.module_name()
+            self.expect(":")
+            out.append(self.node("ImportAttribute", at, key=key, value=self.literal()))
+            self.at("}") or self.expect(",")
+        return out
 
     def s_export(self, start):
         self.advance()
@@ -379,14 +450,15 @@ class Parser:
             name = self.module_name() if self.eat("as") else None
             self.expect("from")
             source = self.literal()
+            attributes = self.attributes()
             self.semicolon()
-            return self.node("ExportAllDeclaration", start, exported=name, source=source)
+            return self.node("ExportAllDeclaration", start, exported=name, source=source, attributes=attributes)
         if self.eat("default"):
             at = self.start
             if self.at("function") or (self.at("async") and self.peek()[1] == "function"):
                 is_async = self.eat("async")
                 d = self.function(at, True, is_async)
-            elif self.at("class"):
+            elif self.at("class") or self.at("@"):
                 d = self.klass(at, True)
             else:
                 d = self.assignment()
@@ -400,8 +472,9 @@ class Parser:
                 found.append(self.node("ExportSpecifier", local.start, local=local, exported=exported))
                 self.at("}") or self.expect(",")
             source = self.literal() if self.eat("from") else None
+            attributes = self.attributes() if source else None
             self.semicolon()
-            return self.node("ExportNamedDeclaration", start, declaration=None, specifiers=found, source=source)
+            return self.node("ExportNamedDeclaration", start, declaration=None, specifiers=found, source=source, attributes=attributes)
         return self.node("ExportNamedDeclaration", start, declaration=self.statement(), specifiers=[], source=None)
 
     # functions, classes, patterns
@@ -467,7 +540,26 @@ class Parser:
         out.start, out.end = e.start, e.end
         return out
 
+    def decorators(self) -> list[Node]:
+        """`@name`, `@a.b`, `@a.b(...)` and `@(...)`, one after the other."""
+        out = []
+        while self.at("@"):
+            at = self.start
+            self.advance()
+            if self.at("("):
+                e = self.paren()
+            else:
+                from_, e = self.start, self.identifier()
+                while self.eat("."):
+                    prop = self.private() if self.kind == "private" else self.identifier(True)
+                    e = self.node("MemberExpression", from_, object=e, property=prop, computed=False)
+                if self.at("("):
+                    e = self.node("CallExpression", from_, callee=e, arguments=self.args())
+            out.append(self.node("Decorator", at, expression=e))
+        return out
+
     def klass(self, start: int, statement: bool) -> Node:
+        found = self.decorators()
         self.expect("class")
         name = self.identifier() if self.kind == "name" and self.value not in ("extends",) else None
         parent = self.unary_tail(self.primary()) if self.eat("extends") else None
@@ -476,7 +568,7 @@ class Parser:
         while not self.eat("}"):
             if not self.eat(";"):
                 body.append(self.class_member())
-        return self.node("ClassDeclaration" if statement else "ClassExpression", start, id=name, superClass=parent, body=self.node("ClassBody", at, body=body))
+        return self.node("ClassDeclaration" if statement else "ClassExpression", start, id=name, superClass=parent, body=self.node("ClassBody", at, body=body), decorators=found)
 
     def modifier(self, word: str) -> bool:
         """Whether a word stands before a member's name, and is not the name."""
@@ -490,6 +582,13 @@ class Parser:
 
     def class_member(self) -> Node:
         start = self.start
+        found = self.decorators()
+        n = self.bare_member(start)
+        if found:
+            n.set("decorators", found)
+        return n
+
+    def bare_member(self, start: int) -> Node:
         static = self.modifier("static")
         if static and self.at("{"):
             b = self.block()
@@ -744,6 +843,8 @@ class Parser:
             return self.template()
         if kind == "private":
             return self.private()
+        if kind == "punct" and v == "@":
+            return self.klass(start, False)
         if kind == "name" and (not self.escaped or v not in KEYWORDS):
             simple = {"this": ("ThisExpression", {}), "null": ("NullLiteral", {}), "true": ("BooleanLiteral", {"value": True}), "false": ("BooleanLiteral", {"value": False}), "super": ("Super", {})}.get(v)
             if simple:
@@ -970,10 +1071,17 @@ class Parser:
             p = child.end
 
 
-def parse(text: str, jsx: bool = True) -> Node:
-    """The program of a text; raises JsSyntaxError."""
+def parse(text: str, jsx: bool = True, recover: bool = False) -> Node:
+    """The program of a text; raises JsSyntaxError.
+
+    With recover, statements that cannot be read are UnreadStatement nodes with
+    their text, and the program's errors says why.
+    """
     try:
-        return Parser(text, jsx).program()
+        p = Parser(text, jsx, recover)
+        out = p.program()
+        out.errors = p.errors
+        return out
     except RecursionError as e:
         raise JsSyntaxError("nested too deeply") from e
 

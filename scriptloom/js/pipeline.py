@@ -22,6 +22,7 @@ class Options:
 
     sandbox replaces the restricted interpreter: it is called once with the
     text of a program that ends in a list, and returns the list's values.
+    recover leaves statements that cannot be read as they are, and goes on.
     """
 
     jsx: bool = True
@@ -30,6 +31,7 @@ class Options:
     unminify: bool = True
     mangle: bool | Callable[[str], bool] = False
     force_control_flow: bool = False
+    recover: bool = False
     steps: int = 3_000_000
     sandbox: Callable[[str], list] | None = None
     plugins: dict = field(default_factory=dict)
@@ -71,13 +73,14 @@ def transform(code: str, names: list[str]) -> str:
 class Result:
     def __init__(self, code: str, bundle, changes: dict, tree: Node):
         self.code, self.bundle, self.changes, self.tree = code, bundle, changes, tree
+        self.errors: list[str] = getattr(tree, "errors", [])
 
 
 def rewrite(code: str, options: Options = Options()) -> Result:
-    """The whole pipeline on one program; raises JsSyntaxError if it is none."""
+    """The whole pipeline on one program; raises JsSyntaxError if it is none, unless recover is on."""
     from scriptloom.js import jsx, mangle, unpack
 
-    tree = parse(decode_bookmarklet(code), options.jsx)
+    tree = parse(decode_bookmarklet(code), options.jsx, options.recover)
     ctx = Context(tree)
 
     def plugins(stage: str) -> None:

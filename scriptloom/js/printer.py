@@ -232,8 +232,21 @@ class Printer:
             return f"{head}({self.p(n.body)})"
         return head + self.guarded(n.body, ("ObjectExpression", "ObjectPattern"))
 
+    def n_UnreadStatement(self, n):
+        return n.text
+
+    def n_Decorator(self, n):
+        e = n.expression
+        plain = e.callee if e.type == "CallExpression" else e
+        while plain.type == "MemberExpression" and not plain.computed:
+            plain = plain.object
+        return "@" + (self.p(e) if plain.type == "Identifier" else f"({self.p(e)})")
+
+    def decorated(self, n) -> str:
+        return "".join(self.p(d) + (self.nl or " ") for d in n.decorators or ())
+
     def n_ClassDeclaration(self, n):
-        out = "class" + (f" {n.id.name}" if n.id else "") + (f" extends {self.sub(n.superClass, CALL)}" if n.superClass else "")
+        out = self.decorated(n) + "class" + (f" {n.id.name}" if n.id else "") + (f" extends {self.sub(n.superClass, CALL)}" if n.superClass else "")
         return out + self.sp + self.braces(n.body.body)
 
     n_ClassExpression = n_ClassDeclaration
@@ -243,14 +256,14 @@ class Printer:
 
     def n_ClassMethod(self, n):
         kind = f"{n.kind} " if n.kind in ("get", "set") else ""
-        return ("static " if n.static else "") + ("async " if n.is_async else "") + kind + ("*" if n.generator else "") + self.key(n) + self.params(n) + self.sp + self.p(n.body)
+        return self.decorated(n) + ("static " if n.static else "") + ("async " if n.is_async else "") + kind + ("*" if n.generator else "") + self.key(n) + self.params(n) + self.sp + self.p(n.body)
 
     def n_ObjectMethod(self, n):
         kind = f"{n.kind} " if n.kind in ("get", "set") else ""
         return ("async " if n.is_async else "") + kind + ("*" if n.generator else "") + self.key(n) + self.params(n) + self.sp + self.p(n.body)
 
     def n_ClassProperty(self, n):
-        return ("static " if n.static else "") + self.key(n) + (f"{self.sp}={self.sp}{self.sub(n.value, ASSIGNMENT)}" if n.value else "") + ";"
+        return self.decorated(n) + ("static " if n.static else "") + self.key(n) + (f"{self.sp}={self.sp}{self.sub(n.value, ASSIGNMENT)}" if n.value else "") + ";"
 
     def n_PrivateName(self, n):
         return "#" + n.name
@@ -413,11 +426,16 @@ class Printer:
     # modules
 
     def source(self, n) -> str:
-        return f" from{self.sp or ' '}{self.p(n.source)}" if n.source else ""
+        return f" from{self.sp or ' '}{self.p(n.source)}{self.attributes(n)}" if n.source else ""
+
+    def attributes(self, n) -> str:
+        if not n.attributes:
+            return ""
+        return " with {" + self.sp + f",{self.sp}".join(f"{self.p(a.key)}:{self.sp}{self.p(a.value)}" for a in n.attributes) + self.sp + "}"
 
     def n_ImportDeclaration(self, n):
         if not n.specifiers:
-            return f"import {self.p(n.source)};"
+            return f"import {self.p(n.source)}{self.attributes(n)};"
         head = [self.p(x) for x in n.specifiers if x.type != "ImportSpecifier"]
         named = [self.p(x) for x in n.specifiers if x.type == "ImportSpecifier"]
         if named:

@@ -23,14 +23,17 @@ REWRITES = "transform string, changes int"
 
 
 def rewrite(df: DataFrame, id_column: str = "file_id", code_column: str = "code", options: Options = Options()) -> DataFrame:
-    """The whole pipeline: file_id, code, bundle_type, entry_id, n_modules, error."""
+    """The whole pipeline: file_id, code, bundle_type, entry_id, n_modules, error.
+
+    With the option recover, a program of which parts cannot be read has both a code and an error.
+    """
 
     def f(code: str) -> list[tuple]:
         from scriptloom.js.pipeline import rewrite as run
 
         r = run(code, options)
         b = r.bundle
-        return [(r.code, b and b.type, b and b.entry_id, len(b.modules) if b else None)]
+        return [(r.code, b and b.type, b and b.entry_id, len(b.modules) if b else None, "; ".join(r.errors)[:500] or None)]
 
     return per_program(df, id_column, code_column, RESULTS, f)
 

@@ -321,6 +321,19 @@ def other_sandbox(spark, sf_dir):
     return programs.rewrite(p, options=programs.Options(sandbox=sandbox)).select(F.col("file_id").alias("id"), F.col("code").contains("SEGMENT_").alias("by_sandbox"), F.col("error").isNull().alias("ok"))
 
 
+ATTRIBUTES_TEXT = r"""concat('import a from"./x', c_custkey, '.json"with{type:"json"};export*from"./y.css"assert{type:"css"};using u=f(a)')"""
+DECORATORS_TEXT = r"""concat('@one @two.b(', c_custkey, ')class A{@three m(){}@four static x=!0}export default@five class{}')"""
+BROKEN_TEXT = r"""concat('x=!0;', chr(10), 'f(', CASE WHEN c_custkey % 2 = 0 THEN '' ELSE ')' END, ';', chr(10), 'function g(){y=!1;', CASE WHEN c_custkey % 3 = 0 THEN 'z=];' ELSE '' END, 'h(', c_custkey, ')}')"""
+
+
+def rewritten(text, **options):
+    def query(spark, sf_dir):
+        r = programs.rewrite(made(spark, sf_dir, "customer", "c_custkey", text), options=programs.Options(unpack=False, **options))
+        return r.select(F.col("file_id").alias("id"), "code", F.col("error").isNull().alias("whole"))
+
+    return query
+
+
 def title_cases(spark, sf_dir):
     d = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", F.lower("p_type"), F.lit("a-b"), F.col("p_size").cast("string")).alias("t"))
     return d.select("id", columns.title_case(F.col("t")).alias("title"))
@@ -338,6 +351,7 @@ QUERIES = {
     "js_sql_unminify": sql_scalar("js_unminify", "concat('x=!0;y=void 0;z=', c_custkey)"), "js_sql_deobfuscate": sql_scalar("js_deobfuscate", r"concat('f(decodeURIComponent(\"%41\"),', c_custkey, ')')"), "js_sql_mangle": sql_scalar("js_mangle", "concat('let q=', c_custkey)"),
     "js_sql_nodes": sql_table("js_nodes", "concat('f(', c_custkey, ')')", "f.node_id", "f.parent_id", "f.type", "f.name", "f.value"), "js_sql_modules": sql_table("js_modules", CHUNK_TEXT, "f.bundle_type", "f.module_id", "f.path"),
     "js_sql_string_array": sql_table("js_string_array", r"concat('function q(){const s=[\"', c_name, '\",\"', c_mktsegment, '\"];q=function(){return s};return q()}')", "f.idx", "f.value"),
+    "js_import_attributes": rewritten(ATTRIBUTES_TEXT), "js_decorators": rewritten(DECORATORS_TEXT), "js_recovery": rewritten(BROKEN_TEXT, recover=True),
     "js_plugin_stages": plugin_stages, "js_sandbox": other_sandbox, "js_title_case": title_cases, "js_identifiers": identifiers,
     "js_call_args": call_args, "js_inline_scripts": inline_scripts, "js_node_counts": node_counts, "js_results": results, "js_binding_stats": binding_stats, "js_read_only_objects": read_only_objects,
     "js_temporaries": temporaries, "js_infinite_loops": infinite_loops, "js_safe_literals": safe_literals, "js_iifes": iifes, "js_constant_members": constant_members, "js_nearest_assignments": nearest_assignments,
@@ -363,6 +377,9 @@ ORACLES = {
     "js_sql_nodes": "SELECT c_custkey AS id, CAST(t.i AS INTEGER) AS node_id, CAST(t.p AS INTEGER) AS parent_id, t.t AS type, t.n AS name, CASE WHEN t.i = 4 THEN CAST(c_custkey AS VARCHAR) END AS value FROM customer, (VALUES (0, NULL, 'Program', NULL), (1, 0, 'ExpressionStatement', NULL), (2, 1, 'CallExpression', NULL), (3, 2, 'Identifier', 'f'), (4, 2, 'NumericLiteral', NULL)) t(i, p, t, n)",
     "js_sql_modules": "SELECT c_custkey AS id, 'webpack' AS bundle_type, m || c_custkey AS module_id, './' || m || c_custkey || '.js' AS path FROM customer, (VALUES ('a'), ('b')) t(m)",
     "js_sql_string_array": "SELECT c_custkey AS id, CAST(0 AS INTEGER) AS idx, c_name AS value FROM customer UNION ALL SELECT c_custkey, 1, c_mktsegment FROM customer",
+    "js_import_attributes": """SELECT c_custkey AS id, 'import a from "./x' || c_custkey || '.json" with { type: "json" };' || chr(10) || 'export * from "./y.css" with { type: "css" };' || chr(10) || 'using u = f(a);' AS code, true AS whole FROM customer""",
+    "js_decorators": "SELECT c_custkey AS id, concat_ws(chr(10), '@one', '@two.b(' || c_custkey || ')', 'class A {', '  @three', '  m() {}', '  @four', '  static x = true;', '}', 'export default @five', 'class {}') AS code, true AS whole FROM customer",
+    "js_recovery": "SELECT c_custkey AS id, concat_ws(chr(10), 'x = true;', CASE WHEN c_custkey % 2 = 0 THEN 'f(;' ELSE 'f();' END, 'function g() {', '  y = false;', CASE WHEN c_custkey % 3 = 0 THEN '  z=];' END, '  h(' || c_custkey || ');', '}') AS code, c_custkey % 2 <> 0 AND c_custkey % 3 <> 0 AS whole FROM customer",
     "js_plugin_stages": "SELECT CAST(n_nationkey AS BIGINT) AS id, 'a();' || chr(10) || 'b(' || n_nationkey || ');' || chr(10) || 'after_parse(1);' || chr(10) || 'after_prepare(3);' || chr(10) || 'after_deobfuscate(4);' || chr(10) || 'after_unminify(5);' AS code FROM nation",
     "js_sandbox": "SELECT c_custkey AS id, true AS by_sandbox, true AS ok FROM customer",
     "js_title_case": "SELECT p_partkey AS id, array_to_string(list_transform(string_split(lower(p_type), ' '), lambda w: upper(w[1]) || w[2:]), '') || 'Ab' || p_size AS title FROM part",

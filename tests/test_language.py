@@ -160,3 +160,45 @@ def test_renaming(code, old, new, text):
     s = Scopes(tree)
     rename(s, s.program.own[old], new)
     assert " ".join(to_code(tree).split()) == text
+
+
+RECOVERED = [
+    ("a=1;'no end\nb=2", "a=1;'no end\nb = 2;", 1),
+    ("}}}a()", "}}\n}a()", 2),
+    ("f(", "f(", 1),
+    ("if(x){", "if(x){", 1),
+    ("a=#;b=2", "a=#;\nb = 2;", 1),
+    ("function g(){c=);d()}\ne()", "function g() {\n  c=);\n  d();\n}\ne();", 1),
+    ("ok()", "ok();", 0),
+    ("", "", 0),
+]
+
+
+@pytest.mark.parametrize(("code", "text", "n"), RECOVERED)
+def test_reading_goes_on_behind_what_cannot_be_read(code, text, n):
+    tree = parse(code, recover=True)
+    assert to_code(tree) == text
+    assert len(tree.errors) == n
+
+
+@given(st.text(alphabet="a1{}();=+'\"`/\n,.[]#@ ", max_size=40))
+@settings(max_examples=300, deadline=None)
+def test_recovery_reads_any_text(code):
+    tree = parse(code, recover=True)
+    to_code(tree)
+    try:
+        strict = to_code(parse(code))
+    except JsSyntaxError:
+        assert tree.errors
+    else:
+        assert not tree.errors
+        assert to_code(tree) == strict
+
+
+@pytest.mark.parametrize("code", ["@a class A {}", "x = @a.b(c) class {};", "using = 1;\nusing;", "export { a } from \"b\" with { c: \"d\" };", "await using x = f();"])
+def test_newer_syntax_prints_as_it_is_read(code):
+    once = to_code(parse(code))
+    assert to_code(parse(once)) == once
+    assert once.replace("\n", " ") == code.replace("\n", " ")
+    compact = to_code(parse(code), compact=True)
+    assert to_code(parse(compact)) == once
