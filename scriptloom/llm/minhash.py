@@ -14,7 +14,9 @@ similarity, so half the hash evaluations fill a signature.  Values are banded.
    member is first held against one hub; those linked with it are settled
    among themselves.  Then only the band buckets that still have members of
    different standing are looked at, each set of members once however many
-   bands it shares, and only members of one bucket meet.  A large bucket is
+   bands it shares, and only members of one bucket meet; unless few are far
+   from the hub, so that the family as a whole needs fewer copies.  A large
+   bucket is
    cut into blocks, and each pair of blocks is a task of bounded size.  There,
    exact intersections decide, and only a spanning forest of the confirmed
    links leaves the task.
@@ -46,7 +48,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptloom.llm.common import discard, distinct_name, mapped, table, written
@@ -288,37 +290,53 @@ def near_hub(members: DataFrame, block: int, percent: int) -> DataFrame:
     return out
 
 
-def cells(members: DataFrame, placed: DataFrame) -> DataFrame:
-    """Groups in which pairs are left to decide: large, cell, node, near.
+def copies(near: str, far: str, block: int) -> Column:
+    """How many copies of sets a cell of so many members near and far costs when it is dealt."""
+    near_blocks, far_blocks = F.ceil(F.col(near) / block), F.ceil(F.col(far) / block)
+    return F.col(near) * far_blocks + F.col(far) * (far_blocks + near_blocks)
+
+
+def cells(members: DataFrame, placed: DataFrame, block: int) -> DataFrame:
+    """Groups in which pairs are left to decide: bucket (whether it is one), cell, node, near.
 
     A small family is one cell.  Of a large one, cells are the band buckets
     with members of different standing (linked with the hub, or each for
-    itself); buckets of the same members count once.
+    itself), buckets of the same members once; but if few are far from the
+    hub, the whole family as one cell costs fewer copies, and is taken.
     """
-    small = members.filter("not large").select("large", F.col("family").alias("cell"), "node", "near")
-    standing = members.filter("large").select("node", "near", F.when(F.col("near"), F.col("hub")).otherwise(F.col("node")).alias("standing")).distinct()
+    near, far = F.sum(F.col("near").cast("long")).alias("n_near"), F.sum((~F.col("near")).cast("long")).alias("n_far")
+    standing = members.filter("large").select("family", "node", "near", F.when(F.col("near"), F.col("hub")).otherwise(F.col("node")).alias("standing")).distinct()
     met = placed.select("node", "band").join(standing, "node")
-    buckets = met.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.min("standing").alias("low"), F.max("standing").alias("high"))
-    buckets = buckets.filter("low <> high").groupBy("n", "sum").agg(F.min("band").alias("band")).select("band")
-    return small.union(met.join(buckets, "band").select(F.lit(True).alias("large"), F.col("band").alias("cell"), "node", "near"))
+    buckets = met.groupBy("band").agg(F.first("family").alias("family"), near, far, F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.min("standing").alias("low"), F.max("standing").alias("high"))
+    buckets = buckets.filter("low <> high").groupBy("family", "n_near", "n_far", "sum").agg(F.min("band").alias("band"))
+    buckets = written(buckets.select("family", "band", copies("n_near", "n_far", block).alias("apart")), "minhash-buckets")
+    apart = buckets.groupBy("family").agg(F.sum("apart").alias("apart"))
+    whole = members.filter("large").groupBy("family").agg(near, far).select("family", copies("n_near", "n_far", block).alias("together"))
+    cheap = written(whole.join(apart, "family").select("family", (F.col("together") <= F.col("apart")).alias("one")), "minhash-cheap")
+    ones = members.filter("not large").select("family", "node", "near").union(members.filter("large").join(cheap.filter("one"), "family").select("family", "node", "near"))
+    several = met.drop("family").join(buckets.join(cheap.filter("not one"), "family").select("band"), "band")
+    out = ones.select(F.lit(False).alias("bucket"), F.col("family").alias("cell"), "node", "near").union(several.select(F.lit(True).alias("bucket"), F.col("band").alias("cell"), "node", "near"))
+    out = written(out, "minhash-cells")
+    discard(buckets, cheap)
+    return out
 
 
 def dealt(cell: DataFrame, members: DataFrame, block: int) -> DataFrame:
-    """Sets dealt to tasks: large, cell, i, j, mine, node, set.
+    """Sets dealt to tasks: bucket, cell, i, j, mine, node, set.
 
     What is not near a hub is dealt into blocks of about `block` by a hash,
     and so is what is near; each pair of blocks, two of the near ones aside,
     is one group.
     """
-    counts = written(cell.groupBy("large", "cell").agg(F.sum(F.col("near").cast("long")).alias("n_near"), F.sum((~F.col("near")).cast("long")).alias("n_far")).filter("n_far > 0 and n_near + n_far > 1"), "minhash-counts")
-    placed = cell.join(counts, ["large", "cell"])
+    counts = written(cell.groupBy("bucket", "cell").agg(F.sum(F.col("near").cast("long")).alias("n_near"), F.sum((~F.col("near")).cast("long")).alias("n_far")).filter("n_far > 0 and n_near + n_far > 1"), "minhash-counts")
+    placed = cell.join(counts, ["bucket", "cell"])
     placed = placed.withColumn("far_blocks", F.ceil(F.col("n_far") / block).cast("int")).withColumn("near_blocks", F.ceil(F.col("n_near") / block).cast("int"))
     at = F.xxhash64("node")
     mine = F.when(F.col("near"), F.col("far_blocks") + F.pmod(at, F.greatest(F.lit(1), "near_blocks").cast("long"))).otherwise(F.pmod(at, F.greatest(F.lit(1), "far_blocks").cast("long"))).cast("int")
     placed = placed.withColumn("mine", mine)
     others = F.when(F.col("near"), F.col("far_blocks")).otherwise(F.col("far_blocks") + F.col("near_blocks"))
     pair = F.transform(F.sequence(F.lit(0), others - 1), lambda o: F.struct(F.least("mine", o).alias("i"), F.greatest("mine", o).alias("j")))
-    placed = placed.withColumn("pair", F.explode(pair)).select("node", "large", "cell", "mine", "pair.i", "pair.j")
+    placed = placed.withColumn("pair", F.explode(pair)).select("node", "bucket", "cell", "mine", "pair.i", "pair.j")
     return placed.join(members.select("node", "set"), "node")
 
 
@@ -328,7 +346,7 @@ def confirmed(docs: DataFrame, family: DataFrame, placed: DataFrame, percent: in
     members = near_hub(sets, block, percent)
     discard(sets)
     through = members.filter("near and node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    cell = written(cells(members, placed), "minhash-cells")
+    cell = cells(members, placed, block)
 
     def link(key, rows: pd.DataFrame) -> pd.DataFrame:
         _, _, i, j = key
@@ -343,7 +361,7 @@ def confirmed(docs: DataFrame, family: DataFrame, placed: DataFrame, percent: in
         sets = [np.frombuffer(s, np.uint64) for s in ids.set]
         return pd.DataFrame(forest(ids.node.to_numpy(), sets, percent, left), columns=["a", "b"], dtype="int64")
 
-    return through.union(dealt(cell, members, block).groupBy("large", "cell", "i", "j").applyInPandas(link, "a long, b long"))
+    return through.union(dealt(cell, members, block).groupBy("bucket", "cell", "i", "j").applyInPandas(link, "a long, b long"))
 
 
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
