@@ -118,7 +118,7 @@ class Model:
         self.sums, self.counts = np.zeros(0), np.zeros(0, np.int64)  # log likelihood in the best language, and n-grams
         self.usual, self.floor = 0.0, -np.inf  # evidence of learned texts: the mean, and below what a text is rejected
 
-    def learn_words(self, words: set[bytes], limit: int = 250_000) -> None:
+    def learn_words(self, words: set[bytes], limit: int = 150_000) -> None:
         """Scores of words not met before, together."""
         if len(self.words) + len(words) > limit:
             self.words.clear()

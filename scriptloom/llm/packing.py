@@ -44,7 +44,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) ->
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _caches.setdefault(tokenizer, LatinPieceCache(load(tokenizer), lower=True))
+        cache = _caches.setdefault(tokenizer, LatinPieceCache(load(tokenizer), lower=True, limit=450_000))
         for b in batches:
             rows: list[tuple] = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
