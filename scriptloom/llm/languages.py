@@ -27,12 +27,11 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptloom.llm.common import distinct_name, mapped, table
+from scriptloom.llm.common import discard, distinct_name, mapped, table, written
 from scriptloom.session import ship
 
 UNKNOWN = "und"
@@ -182,9 +181,10 @@ class Model:
         """Mean log likelihood of an n-gram, as if `drawn` usual ones stood beside."""
         return (total + drawn * self.usual) / (n + drawn)
 
-    def accepts(self, text: bytes | None, penalty: float) -> bool:
-        """Whether a text is in a learned language: some word has a letter, and the evidence is not below the floor."""
-        return self.predict(text, penalty)[0] != UNKNOWN and self.evidence(*self.likelihood(text)) >= self.floor
+    def accepts(self, text: bytes | None) -> bool:
+        """Whether a text is in a learned language: some word has a letter (only these have n-grams that count), and the evidence is not below the floor."""
+        total, n = self.likelihood(text)
+        return n > 0 and self.evidence(total, n) >= self.floor
 
     def predict(self, text: bytes | None, penalty: float) -> tuple[str, float]:
         words = (text or b"").translate(LETTERS).split()
@@ -228,22 +228,27 @@ def sampled(docs: DataFrame, train_docs: int) -> DataFrame:
 
     The driver sees a row for each language.
     """
-    known = docs.filter("lang is not null and text is not null")
-    counts = known.groupBy("lang").count().collect()
+    rows = known(docs)
+    counts = rows.groupBy("lang").count().collect()
     million = 1_000_000
     shares = {r["lang"]: min(million, max(1, million * (train_docs // len(counts)) // r["count"])) for r in counts}
     if all(v == million for v in shares.values()):
-        return known
+        return rows
     share = F.element_at(F.create_map(*[F.lit(x) for pair in shares.items() for x in pair]), F.col("lang"))
-    return known.filter(F.pmod(F.xxhash64("doc_id", "lang"), F.lit(million)) < share)
+    return rows.filter(F.pmod(F.xxhash64("doc_id", "lang"), F.lit(million)) < share)
 
 
-def train(docs: DataFrame, train_docs: int = 20_000) -> Model:
-    """A model of the languages in docs (doc_id, text, lang), fitted on about train_docs of the rows that have a language.
+def known(docs: DataFrame) -> DataFrame:
+    """The rows of docs that can be learned from: those with a text and a language."""
+    return docs.filter("lang is not null and text is not null")
+
+
+def train(docs: DataFrame, train_docs: int | None = 20_000) -> Model:
+    """A model of the languages in docs (doc_id, text, lang), fitted on about train_docs of the rows that have a language (None: on all).
 
     The counts are bounded by buckets times languages.
     """
-    sample = sampled(docs, train_docs)
+    learned = known(docs) if train_docs is None else sampled(docs, train_docs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally: dict[str, np.ndarray] = {}
@@ -267,7 +272,7 @@ def train(docs: DataFrame, train_docs: int = 20_000) -> Model:
             at = np.flatnonzero(t)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(t[at], pa.int64())], ["lang", "bucket", "n"])
 
-    counted = sample.select("lang", F.col("text").cast("binary")).transform(mapped, count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counted = learned.select("lang", F.col("text").cast("binary")).transform(mapped, count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(set(counted.column("lang").to_pylist()))
     grid = np.zeros((BUCKETS + len(NAMES), len(names)), np.float64)
     where = {n: i for i, n in enumerate(names)}
@@ -288,8 +293,11 @@ def identify(docs: DataFrame, model: Model, penalty: float = 10.0) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).transform(mapped, run, "doc_id long, lang_pred string, score double")
 
 
-def with_floor(docs: DataFrame, model: Model, floor_docs: int = 2_000, margin: float = 2.0) -> Model:
-    """The model with the evidence below which a text is rejected: the least of about floor_docs learned texts, less margin (nats an n-gram)."""
+def with_floor(docs: DataFrame, model: Model, margin: float = 2.0) -> Model:
+    """The model with the evidence below which a text is rejected: the least of all learned texts (rows of docs with a text and a language), less margin (nats an n-gram).
+
+    Two numbers a text are written; the driver sees sums and a minimum.
+    """
     shared = ship(docs.sparkSession).sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,25 +305,26 @@ def with_floor(docs: DataFrame, model: Model, floor_docs: int = 2_000, margin: f
             got = [shared.value.likelihood(x.as_py()) for x in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in got], pa.float64()), pa.array([n for _, n in got], pa.int64())], ["total", "n"])
 
-    got = sampled(docs, floor_docs).select(F.col("text").cast("binary")).transform(mapped, measure, "total double, n long").filter("n > 0").toArrow()  # bounded by floor_docs
-    totals, counts = got.column("total").to_numpy(), got.column("n").to_numpy()
-    if len(totals):
-        model.usual = float(totals.sum() / counts.sum())
-        model.floor = float(model.evidence(totals, counts).min()) - margin
+    measured = written(known(docs).select(F.col("text").cast("binary")).transform(mapped, measure, "total double, n long").filter("n > 0"), "language-evidence")
+    total, n = measured.agg(F.sum("total"), F.sum("n")).first()
+    if n:
+        model.usual = total / n
+        model.floor = measured.agg(F.min(model.evidence(F.col("total"), F.col("n")))).first()[0] - margin
+    discard(measured)
     return model
 
 
-def keep_identified(docs: DataFrame, model: Model, penalty: float = 10.0) -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
     """docs without those that are in no learned language, all columns as they were, in one pass and without a shuffle."""
     shared = ship(docs.sparkSession).sparkContext.broadcast(model)
     found = distinct_name("lang_found", docs.columns)
 
-    @F.pandas_udf("boolean")
-    def identified(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def identified(texts: pa.Array) -> pa.Array:
         m = shared.value
-        return pd.Series([m.accepts(None if x is None else x.encode("utf-8", "replace"), penalty) for x in texts], dtype=bool)
+        return pa.array([m.accepts(x.as_py()) for x in texts], pa.bool_())
 
-    return docs.withColumn(found, identified(F.col("text"))).filter(F.col(found)).drop(found)
+    return docs.withColumn(found, identified(F.col("text").cast("binary"))).filter(F.col(found)).drop(found)
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -23,6 +24,30 @@ def test_stages_against_brute_force(spark, docs, tmp_path):
     assert len(corpus_pipeline.STAGES) == 4
 
 
+def test_language_stage_learns_from_every_row(spark, monkeypatch):
+    # Samples would be of 8 and 2 rows; each row has a word of its own, and those of "bb" are ever longer.
+    rows = [(i, f"common words of the first number{chr(97 + i % 26)}{chr(97 + i // 26)}", "aa") for i in range(300)]
+    rows += [(1000 + i, " ".join(f"{chr(97 + i // 5)}qz{chr(97 + j)}xj{chr(97 + i % 5)}" for j in range(i % 26 + 1)), "bb") for i in range(100)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen, sampled, keep = [], languages.sampled, languages.keep_identified
+    monkeypatch.setattr(languages, "sampled", lambda docs, n: sampled(docs, n // 1000))
+    monkeypatch.setattr(languages, "keep_identified", lambda docs, m: seen.append(m) or keep(docs, m))
+    corpus_pipeline.language_stage(spark, d, "").collect()
+    (m,) = seen
+    learned = d.filter(~languages.held_out(F.col("doc_id")) & F.col("lang").isNotNull()).collect()
+    counts = np.zeros((languages.BUCKETS, 2))
+    for r in learned:
+        ids, _ = languages.grams(r.text.encode().split())
+        np.add.at(counts[:, "ab".index(r.lang[0])], ids, 1)
+    whole = languages.Model(["aa", "bb"], counts, np.ones((len(languages.NAMES), 2)))
+    assert m.languages == whole.languages
+    assert np.allclose(m.log, whole.log)
+    measured = [whole.likelihood(r.text.encode()) for r in learned]
+    whole.usual = sum(t for t, _ in measured) / sum(n for _, n in measured)
+    assert np.isclose(m.usual, whole.usual)
+    assert np.isclose(m.floor, min(whole.evidence(t, n) for t, n in measured) - 2)
+
+
 def test_stages_pass_columns_through(spark, docs):
     for name, stage in corpus_pipeline.STAGES[:3]:
         assert stage(spark, docs, "").columns == docs.columns, name
