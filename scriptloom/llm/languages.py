@@ -98,6 +98,15 @@ def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return ((ids >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int64)[order], np.bincount(whose, minlength=len(words))
 
 
+def gram_counts(words: list[bytes], times: np.ndarray, step: int = 20_000) -> np.ndarray:
+    """How often each bucket's n-grams occur in words that occur so many times; step words at once, as their n-grams take some 2 KB a word meanwhile."""
+    out = np.zeros(BUCKETS, np.int64)
+    for at in range(0, len(words), step):
+        ids, sizes = grams(words[at : at + step])
+        out += np.bincount(ids, np.repeat(times[at : at + step], sizes), BUCKETS).astype(np.int64)
+    return out
+
+
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary")) % 4 == 2
 
@@ -266,8 +275,7 @@ def train(docs: DataFrame, train_docs: int | None = 20_000) -> Model:
                     s = 0 if w.isascii() else script_of(w.decode("utf-8", "replace"))
                     if s >= 0:
                         tally[lang][BUCKETS + s] += n
-                ids, sizes = grams(words)
-                tally[lang][:BUCKETS] += np.bincount(ids, np.repeat(times, sizes), BUCKETS).astype(np.int64)
+                tally[lang][:BUCKETS] += gram_counts(words, times)
         for lang, t in tally.items():
             at = np.flatnonzero(t)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(t[at], pa.int64())], ["lang", "bucket", "n"])

@@ -1,5 +1,6 @@
 import re
 import time
+import tracemalloc
 from itertools import combinations
 
 import numpy as np
@@ -196,3 +197,16 @@ def test_grams_are_those_of_each_word():
     starts = np.cumsum(sizes) - sizes
     for w, a, n in zip(words, starts, sizes, strict=True):
         assert ids[a : a + n].tolist() == languages.grams([w])[0].tolist()
+
+
+def test_grams_of_many_words_are_counted_in_little_memory():
+    rng = np.random.default_rng(7)
+    words = list({bytes(w) for w in rng.integers(97, 123, (150_000, 8), np.uint8)})
+    times = rng.integers(1, 9, len(words))
+    tracemalloc.start()
+    counted = languages.gram_counts(words, times)
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    ids, sizes = languages.grams(words)
+    assert counted.tolist() == np.bincount(ids, np.repeat(times, sizes), languages.BUCKETS).tolist()
+    assert peak < 80
