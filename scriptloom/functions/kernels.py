@@ -24,6 +24,10 @@ from scriptloom.session import ship
 SECONDS = 300.0
 
 
+#: Bytes of a scan that one task takes, and how many tasks there are at most for them.
+PART, PARTS = 1 << 18, 4096
+
+
 class TimeBudgetError(RuntimeError):
     """A program takes too long."""
 
@@ -48,32 +52,52 @@ def within(seconds: float | None) -> Iterator[None]:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A scan over all cores where it has fewer splits than there are cores; larger ones are not shuffled."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    """A scan in parts of about PART bytes and at least one for each core; where it has as many splits, it is not shuffled.
+
+    Splits alone do not do it: a Parquet row group is never cut, and one task's programs are run one after the other.
+    """
+    query = df._jdf.queryExecution()
+    leaves = query.optimizedPlan().collectLeaves()
+    size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, min(-(-size // PART), PARTS))
+    return df.repartition(parts) if query.toRdd().getNumPartitions() < parts else df
 
 
-def per_program(df: DataFrame, id_column: str, code_column: str, schema: str, f: Callable[[str], list[tuple]], seconds: float | None = SECONDS) -> DataFrame:
+def per_program(df: DataFrame, id_column: str, code_column: str, schema: str, f: Callable[[str], list[tuple]], seconds: float | None = SECONDS, reuse: bool = False) -> DataFrame:
     """Rows of (id, *row) for each row that f gives for a program, and a last column error.
 
     f's rows may end in an error of their own.  A null text is an empty program.  What f raises, and taking more than so
-    many seconds, becomes one row with nulls and the message.
+    many seconds, becomes one row with nulls and the message.  With reuse, programs that differ in numbers only share a
+    run where it is known to give the same (js.reuse): f must print by to_code with marks, and give no places in the text.
     """
     schema += ", error string"
     full = StructType.fromDDL(f"{id_column} long, {schema}")
     arrow = to_arrow_schema(full)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from scriptloom.js.reuse import Reuse
+
+        def whole(text: str) -> list[tuple]:
+            return [(*row, None) if len(row) < len(full.names) - 1 else row for row in f(text)]
+
+        known = Reuse(whole) if reuse else None
         for b in batches:
             out: list[list] = [[] for _ in full.names]
             for key, code in zip(b.column(0), b.column(1), strict=True):
+                text = code.as_py() or ""
+                rows, what = known.look(text) if known else (None, None)
                 try:
-                    with within(seconds):
-                        rows = [(*row, None) if len(row) < len(full.names) - 1 else row for row in f(code.as_py() or "")]
+                    if rows is None:
+                        with within(seconds):
+                            rows = whole(text)
+                        if what:
+                            with within(seconds):
+                                known.learn(text, rows, what)
                 except Exception as e:  # one bad program must not fail the job
                     rows = [(*[None] * (len(full.names) - 2), f"{type(e).__name__}: {e}"[:500])]
+                number = key.as_py()
                 for row in rows:
-                    for column, value in zip(out, (key.as_py(), *row), strict=True):
+                    for column, value in zip(out, (number, *row), strict=True):
                         column.append(value)
                 if len(out[0]) >= 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(out, arrow, strict=True)], schema=arrow)

@@ -22,6 +22,11 @@ MODULES = "bundle_type string, module_id string, is_entry boolean, path string,
 REWRITES = "transform string, changes int"
 
 
+def shareable(options: Options) -> bool:
+    """Whether programs may share runs: not where a caller's own code reads the tree, or parts stay as their text."""
+    return not (options.plugins or options.mappings or options.sandbox or options.recover or callable(options.mangle))
+
+
 def rewrite(df: DataFrame, id_column: str = "file_id", code_column: str = "code", options: Options = Options()) -> DataFrame:
     """The whole pipeline: file_id, code, bundle_type, entry_id, n_modules, error.
 
@@ -35,7 +40,7 @@ def rewrite(df: DataFrame, id_column: str = "file_id", code_column: str = "code"
         b = r.bundle
         return [(r.code, b and b.type, b and b.entry_id, len(b.modules) if b else None, "; ".join(r.errors)[:500] or None)]
 
-    return per_program(df, id_column, code_column, RESULTS, f)
+    return per_program(df, id_column, code_column, RESULTS, f, reuse=shareable(options))
 
 
 def transform(df: DataFrame, names: list[str], id_column: str = "file_id", code_column: str = "code") -> DataFrame:
@@ -46,7 +51,7 @@ def transform(df: DataFrame, names: list[str], id_column: str = "file_id", code_
 
         return [(run(code, names),)]
 
-    return per_program(df, id_column, code_column, "code string", f)
+    return per_program(df, id_column, code_column, "code string", f, reuse=True)
 
 
 def compacted(df: DataFrame, id_column: str = "file_id", code_column: str = "code") -> DataFrame:
@@ -148,7 +153,7 @@ def modules(df: DataFrame, id_column: str = "file_id", code_column: str = "code"
         b = run(code, options).bundle
         return [(b.type, m.id, m.is_entry, m.path, m.code, m.dependencies) for m in b.modules.values()] if b else []
 
-    return per_program(df, id_column, code_column, MODULES, f)
+    return per_program(df, id_column, code_column, MODULES, f, reuse=shareable(options))
 
 
 def rewrites(df: DataFrame, id_column: str = "file_id", code_column: str = "code", options: Options = Options()) -> DataFrame:
@@ -159,7 +164,7 @@ def rewrites(df: DataFrame, id_column: str = "file_id", code_column: str = "code
 
         return sorted((k, v) for k, v in run(code, options).changes.items() if v)
 
-    return per_program(df, id_column, code_column, REWRITES, f)
+    return per_program(df, id_column, code_column, REWRITES, f, reuse=shareable(options))
 
 
 def string_arrays(df: DataFrame, id_column: str = "file_id", code_column: str = "code") -> DataFrame:

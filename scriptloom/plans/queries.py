@@ -18,7 +18,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The inline scripts of pages as programs; file_id is the page."""
-    return spread(readers.inline_scripts(read(spark, sf_dir, "pages")).select(F.col("page_id").alias("file_id"), "idx", "code"))
+    return readers.inline_scripts(spread(read(spark, sf_dir, "pages"))).select(F.col("page_id").alias("file_id"), "idx", "code")
 
 
 def inline_scripts(spark, sf_dir):
@@ -41,7 +41,7 @@ def results(spark, sf_dir):
 
 
 def made(spark, sf_dir, table, key, text) -> DataFrame:
-    return spread(read(spark, sf_dir, table).select(F.col(key).cast("long").alias("file_id"), F.expr(text).alias("code")))
+    return spread(read(spark, sf_dir, table)).select(F.col(key).cast("long").alias("file_id"), F.expr(text).alias("code"))
 
 
 BINDING_TEXT = r"concat('const a=', c_custkey, ';let b;b=a;b=a+', c_nationkey, ';function f(p){return p+b+a}f(a)')"

@@ -48,7 +48,7 @@ class RuleQuery:
     def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = spark.read.parquet(f"{sf_dir}/{self.table}.parquet")
         text = "CASE " + " ".join(f"WHEN {c} THEN {spark_text(p)}" for c, p, _ in self.cases) + " END"
-        made = spread(rows.select(F.col(self.key).cast("long").alias("id"), F.expr(text).alias("code")).filter("code is not null"))
+        made = spread(rows).select(F.col(self.key).cast("long").alias("id"), F.expr(text).alias("code")).filter("code is not null")
         if self.rules is None:
             return programs.rewrite(made, "id").select("id", "code")
         return programs.transform(made, self.rules, "id").select("id", "code")
