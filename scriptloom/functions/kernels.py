@@ -63,12 +63,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(parts) if query.toRdd().getNumPartitions() < parts else df
 
 
-def per_program(df: DataFrame, id_column: str, code_column: str, schema: str, f: Callable[[str], list[tuple]], seconds: float | None = SECONDS, reuse: bool = False) -> DataFrame:
+def per_program(df: DataFrame, id_column: str, code_column: str, schema: str, f: Callable[[str], list[tuple]], seconds: float | None = SECONDS, reuse: bool = False, facts: bool = False) -> DataFrame:
     """Rows of (id, *row) for each row that f gives for a program, and a last column error.
 
     f's rows may end in an error of their own.  A null text is an empty program.  What f raises, and taking more than so
     many seconds, becomes one row with nulls and the message.  With reuse, programs that differ in numbers only share a
     run where it is known to give the same (js.reuse): f must print by to_code with marks, and give no places in the text.
+    Facts are of parser and scopes alone; their columns start and end are places in the text.
     """
     schema += ", error string"
     full = StructType.fromDDL(f"{id_column} long, {schema}")
@@ -80,25 +81,30 @@ def per_program(df: DataFrame, id_column: str, code_column: str, schema: str, f:
         def whole(text: str) -> list[tuple]:
             return [(*row, None) if len(row) < len(full.names) - 1 else row for row in f(text)]
 
-        known = Reuse(whole) if reuse else None
+        places = tuple(i - 1 for i, name in enumerate(full.names) if name in ("start", "end"))
+        known = Reuse(whole, places if facts else None) if reuse or facts else None
         for b in batches:
             out: list[list] = [[] for _ in full.names]
             for key, code in zip(b.column(0), b.column(1), strict=True):
                 text = code.as_py() or ""
-                rows, what = known.look(text) if known else (None, None)
-                try:
-                    if rows is None:
+                columns, what = known.look(text) if known else (None, None)
+                if columns:
+                    out[0] += [key.as_py()] * len(columns[0])
+                    for column, values in zip(out[1:], columns, strict=True):
+                        column += values
+                else:
+                    try:
                         with within(seconds):
                             rows = whole(text)
                         if what:
                             with within(seconds):
                                 known.learn(text, rows, what)
-                except Exception as e:  # one bad program must not fail the job
-                    rows = [(*[None] * (len(full.names) - 2), f"{type(e).__name__}: {e}"[:500])]
-                number = key.as_py()
-                for row in rows:
-                    for column, value in zip(out, (number, *row), strict=True):
-                        column.append(value)
+                    except Exception as e:  # one bad program must not fail the job
+                        rows = [(*[None] * (len(full.names) - 2), f"{type(e).__name__}: {e}"[:500])]
+                    number = key.as_py()
+                    for row in rows:
+                        for column, value in zip(out, (number, *row), strict=True):
+                            column.append(value)
                 if len(out[0]) >= 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(out, arrow, strict=True)], schema=arrow)
                     out = [[] for _ in full.names]

@@ -8,7 +8,9 @@ have no node and match nothing.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,15 @@ from pyspark.sql import functions as F
 LITERALS = ("StringLiteral", "NumericLiteral", "BooleanLiteral", "NullLiteral", "BigIntLiteral", "RegExpLiteral")
 
 
+def by_sorting(facts: DataFrame) -> DataFrame:
+    """Facts to be joined by sorting.
+
+    A program has tens of facts, but the planner takes their table to be as small as that of the programs, and would send
+    it whole to the driver and to every executor.
+    """
+    return facts.hint("merge")
+
+
 def child(nodes: DataFrame, field: str, prefix: str, idx: int | None = None) -> DataFrame:
     """Children in a field, columns prefixed, keyed by file_id and parent."""
     c = nodes.filter(F.col("field") == field)
@@ -25,22 +36,22 @@ def child(nodes: DataFrame, field: str, prefix: str, idx: int | None = None) ->
 
 
 def with_child(of: DataFrame, nodes: DataFrame, field: str, prefix: str, how: str = "inner", idx: int | None = None) -> DataFrame:
-    return of.join(child(nodes, field, prefix, idx), ["file_id", "node_id"], how)
+    return of.join(by_sorting(child(nodes, field, prefix, idx)), ["file_id", "node_id"], how)
 
 
 def safe_literals(nodes: DataFrame) -> DataFrame:
     """Literals, templates only without expressions."""
     inside = nodes.filter("field = 'expressions'").select("file_id", F.col("parent_id").alias("node_id"))
-    return nodes.filter(F.col("type").isin(*LITERALS)).unionByName(nodes.filter("type = 'TemplateLiteral'").join(inside, ["file_id", "node_id"], "left_anti"))
+    return nodes.filter(F.col("type").isin(*LITERALS)).unionByName(nodes.filter("type = 'TemplateLiteral'").join(by_sorting(inside), ["file_id", "node_id"], "left_anti"))
 
 
 def infinite_loops(nodes: DataFrame) -> DataFrame:
     """for (;;), for (; true;) and while (true), true also as !0."""
     loops = with_child(nodes.filter("type in ('ForStatement', 'WhileStatement')"), nodes, "test", "test", "left")
     other = nodes.filter("field in ('init', 'update')").select("file_id", F.col("parent_id").alias("node_id"))
-    loops = loops.join(other, ["file_id", "node_id"], "left_anti")
+    loops = loops.join(by_sorting(other), ["file_id", "node_id"], "left_anti")
     zero = child(nodes.filter("type = 'NumericLiteral'"), "argument", "arg").select("file_id", F.col("node_id").alias("test_node_id"), F.col("arg_value"))
-    loops = loops.join(zero, ["file_id", "test_node_id"], "left")
+    loops = loops.join(by_sorting(zero), ["file_id", "test_node_id"], "left")
     truthy = (F.col("test_type") == "BooleanLiteral") & (F.col("test_value") == "true") | (F.col("test_operator") == "!") & (F.col("arg_value") == "0")
     return loops.filter((F.col("type") == "ForStatement") & F.col("test_node_id").isNull() | truthy).select(*nodes.columns)
 
@@ -49,7 +60,7 @@ def iifes(nodes: DataFrame) -> DataFrame:
     """Calls of anonymous functions where they stand."""
     named = nodes.filter("field = 'id'").select("file_id", F.col("parent_id").alias("callee_node_id"))
     c = with_child(nodes.filter("type = 'CallExpression'"), nodes, "callee", "callee").filter("callee_type in ('FunctionExpression', 'ArrowFunctionExpression')")
-    return c.join(named, ["file_id", "callee_node_id"], "left_anti").select(*nodes.columns)
+    return c.join(by_sorting(named), ["file_id", "callee_node_id"], "left_anti").select(*nodes.columns)
 
 
 def constant_members(nodes: DataFrame) -> DataFrame:
@@ -71,11 +82,11 @@ def read_only_objects(nodes: DataFrame, bindings: DataFrame, refs: DataFrame) ->
     at = nodes.select("file_id", "node_id", F.col("parent_id").alias("m_id"), F.col("field").alias("m_field"))
     parent = nodes.select("file_id", F.col("node_id").alias("m_id"), F.col("type").alias("m_type"), F.col("parent_id").alias("p_id"), F.col("field").alias("p_field"))
     grand = nodes.select("file_id", F.col("node_id").alias("p_id"), F.col("type").alias("p_type"), F.col("operator").alias("p_operator"))
-    r = refs.filter("not is_write").join(at, ["file_id", "node_id"]).join(parent, ["file_id", "m_id"]).join(grand, ["file_id", "p_id"], "left")
+    r = refs.filter("not is_write").join(by_sorting(at), ["file_id", "node_id"]).join(by_sorting(parent), ["file_id", "m_id"]).join(by_sorting(grand), ["file_id", "p_id"], "left")
     member = (F.col("m_type") == "MemberExpression") & (F.col("m_field") == "object")
     written = (F.col("p_type") == "AssignmentExpression") & (F.col("p_field") == "left") | (F.col("p_type") == "UpdateExpression") | (F.col("p_operator") == "delete") | F.col("p_type").isin("ArrayPattern", "RestElement")
     bad = r.filter(~member | F.coalesce(written, F.lit(False))).select("file_id", "binding_id").distinct()
-    return bindings.filter("is_constant and n_refs > 0").join(bad, ["file_id", "binding_id"], "left_anti")
+    return bindings.filter("is_constant and n_refs > 0").join(by_sorting(bad), ["file_id", "binding_id"], "left_anti")
 
 
 def temporaries(bindings: DataFrame, reads: int) -> DataFrame:
@@ -94,14 +105,14 @@ def constant_keys(nodes: DataFrame) -> DataFrame:
 def constant_properties(nodes: DataFrame) -> DataFrame:
     """Properties of objects with a constant key: file_id, node_id, key, value_type, value."""
     keys = constant_keys(nodes).filter("type = 'ObjectProperty'").drop("type")
-    return keys.join(child(nodes, "value", "value").select("file_id", "node_id", "value_type", F.coalesce("value_value", "value_name").alias("value")), ["file_id", "node_id"])
+    return keys.join(by_sorting(child(nodes, "value", "value").select("file_id", "node_id", "value_type", F.coalesce("value_value", "value_name").alias("value"))), ["file_id", "node_id"])
 
 
 def anonymous_functions(nodes: DataFrame) -> DataFrame:
     """Arrow functions, and function expressions without a name that are no generators."""
     named = nodes.filter("field = 'id'").select("file_id", F.col("parent_id").alias("node_id"))
     plain = nodes.filter("type = 'FunctionExpression'").filter(F.coalesce(F.col("attrs")["generator"], F.lit("false")) == "false")
-    return nodes.filter("type = 'ArrowFunctionExpression'").unionByName(plain.join(named, ["file_id", "node_id"], "left_anti"))
+    return nodes.filter("type = 'ArrowFunctionExpression'").unionByName(plain.join(by_sorting(named), ["file_id", "node_id"], "left_anti"))
 
 
 def constants(nodes: DataFrame) -> DataFrame:
@@ -109,11 +120,11 @@ def constants(nodes: DataFrame) -> DataFrame:
 
     undefined and void 0; true, !0, !!1 and !![]; false and ![].
     """
-    empty = nodes.filter("type = 'ArrayExpression'").join(nodes.filter("field = 'elements'").select("file_id", F.col("parent_id").alias("node_id")), ["file_id", "node_id"], "left_anti")
+    empty = nodes.filter("type = 'ArrayExpression'").join(by_sorting(nodes.filter("field = 'elements'").select("file_id", F.col("parent_id").alias("node_id"))), ["file_id", "node_id"], "left_anti")
     leaves = nodes.filter("type = 'NumericLiteral'").unionByName(empty)
     inner = leaves.filter("field = 'argument'").select("file_id", F.col("parent_id").alias("node_id"), F.coalesce("value", F.lit("[]")).alias("of"))
-    once = nodes.filter("type = 'UnaryExpression'").join(inner, ["file_id", "node_id"]).select("file_id", "node_id", "parent_id", "field", "operator", "of")
-    twice = nodes.filter("operator = '!'").select("file_id", "node_id").join(once.filter("operator = '!' and field = 'argument'").select("file_id", F.col("parent_id").alias("node_id"), "of"), ["file_id", "node_id"])
+    once = nodes.filter("type = 'UnaryExpression'").join(by_sorting(inner), ["file_id", "node_id"]).select("file_id", "node_id", "parent_id", "field", "operator", "of")
+    twice = nodes.filter("operator = '!'").select("file_id", "node_id").join(by_sorting(once.filter("operator = '!' and field = 'argument'").select("file_id", F.col("parent_id").alias("node_id"), "of")), ["file_id", "node_id"])
     plain = nodes.filter("type = 'BooleanLiteral'").select("file_id", "node_id", F.col("value").alias("constant"))
     plain = plain.unionByName(nodes.filter("type = 'Identifier' and name = 'undefined'").select("file_id", "node_id", F.lit("undefined").alias("constant")))
     case = F.when((F.col("operator") == "void") & (F.col("of") == "0"), "undefined").when((F.col("operator") == "!") & (F.col("of") == "0"), "true").when((F.col("operator") == "!") & (F.col("of") == "[]"), "false")
@@ -138,7 +149,7 @@ def sublists(nodes: DataFrame, types: list[str]) -> DataFrame:
     at = nodes.filter("idx is not null").select("file_id", "parent_id", "field", "idx", "type")
     found = at.filter(F.col("type") == types[0]).groupBy("file_id", "parent_id", "field").agg(F.min("idx").alias("last"))
     for t in types[1:]:
-        further = at.filter(F.col("type") == t).join(found, ["file_id", "parent_id", "field"]).filter("idx > last")
+        further = at.filter(F.col("type") == t).join(by_sorting(found), ["file_id", "parent_id", "field"]).filter("idx > last")
         found = further.groupBy("file_id", "parent_id", "field").agg(F.min("idx").alias("last"))
     return found.drop("last")
 
@@ -146,7 +157,7 @@ def sublists(nodes: DataFrame, types: list[str]) -> DataFrame:
 def nearest_assignments(nodes: DataFrame, refs: DataFrame) -> DataFrame:
     """For each read, the last write before it in the text: an as-of join by a window over both."""
     at = nodes.select("file_id", "node_id", "start")
-    both = refs.join(at, ["file_id", "node_id"]).withColumn("write_at", F.when(F.col("is_write"), F.col("start")))
+    both = refs.join(by_sorting(at), ["file_id", "node_id"]).withColumn("write_at", F.when(F.col("is_write"), F.col("start")))
     w = Window.partitionBy("file_id", "binding_id").orderBy("start", F.col("is_write").desc()).rowsBetween(Window.unboundedPreceding, -1)
     return both.withColumn("assigned_at", F.last("write_at", ignorenulls=True).over(w)).filter("not is_write").select("file_id", "binding_id", "node_id", "start", "assigned_at")
 
@@ -168,7 +179,7 @@ def module_edges(modules: DataFrame) -> DataFrame:
 
 def unresolved(edges: DataFrame, modules: DataFrame) -> DataFrame:
     """Edges whose target is no module of the bundle: a left anti join."""
-    return edges.join(modules.select("file_id", F.col("module_id").alias("target_id")), ["file_id", "target_id"], "left_anti")
+    return edges.join(by_sorting(modules.select("file_id", F.col("module_id").alias("target_id"))), ["file_id", "target_id"], "left_anti")
 
 
 def enclosing(nodes: DataFrame, inner: str, outer: str) -> DataFrame:
@@ -176,24 +187,37 @@ def enclosing(nodes: DataFrame, inner: str, outer: str) -> DataFrame:
 
     Source positions nest, so one walk over a program's nodes of both types in
     the order of the text, with a stack of the open ones, finds them all.  A
-    task holds the nodes of these types of one program at a time.
+    task holds the open nodes of one program at a time.
     """
     some = nodes.filter(F.col("type").isin(inner, outer)).select("file_id", "node_id", "type", F.col("start").alias("s"), F.col("end").alias("e"))
 
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["s", "e", "node_id"], ascending=[True, False, True])
-        stack: list[tuple[int, int]] = []  # (end, node) of the open ones
-        found = []
-        for file, node, kind, start, end in rows.itertuples(index=False):
-            while stack and stack[-1][0] <= start:
-                stack.pop()
-            if kind == inner and stack:
-                found.append((file, node, stack[-1][1]))
-            if kind == outer:
-                stack.append((end, node))
-        return pd.DataFrame(found, columns=["file_id", "node_id", "outer_id"]).astype({"file_id": "int64", "node_id": "int32", "outer_id": "int32"})
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, stack = None, []  # (end, node) of the open ones of a program
+        for b in batches:
+            found = []
+            for file, node, kind, start, end in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if file != at:
+                    at, stack = file, []
+                while stack and stack[-1][0] <= start:
+                    stack.pop()
+                if kind == inner and stack:
+                    found.append((file, node, stack[-1][1]))
+                if kind == outer:
+                    stack.append((end, node))
+            yield made(found, {"file_id": pa.int64(), "node_id": pa.int32(), "outer_id": pa.int32()})
 
-    return some.groupBy("file_id").applyInPandas(walk, "file_id long, node_id int, outer_id int")
+    return by_program(some, "s", F.col("e").desc(), "node_id").mapInArrow(walk, "file_id long, node_id int, outer_id int")
+
+
+def by_program(facts: DataFrame, *order) -> DataFrame:
+    """Each program's facts behind one another in one task, in this order."""
+    return facts.repartition("file_id").sortWithinPartitions("file_id", *order)
+
+
+def made(rows: list[tuple], types: dict[str, pa.DataType]) -> pa.RecordBatch:
+    """Rows as a batch."""
+    columns = list(zip(*rows, strict=True)) or [()] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values(), strict=True)], list(types))
 
 
 def alias_roots(nodes: DataFrame, bindings: DataFrame, refs: DataFrame) -> DataFrame:
@@ -207,10 +231,10 @@ def alias_roots(nodes: DataFrame, bindings: DataFrame, refs: DataFrame) -> DataF
     init = nodes.filter("field = 'init'").select("file_id", "node_id", F.col("parent_id").alias("declarator"))
     ids = nodes.filter("field = 'id'").select("file_id", F.col("node_id").alias("decl_node_id"), F.col("parent_id").alias("declarator"))
     own = bindings.filter("is_constant").select("file_id", F.col("binding_id").alias("source"), "decl_node_id")
-    step = read.join(init, ["file_id", "node_id"]).join(ids, ["file_id", "declarator"]).join(own, ["file_id", "decl_node_id"]).select("file_id", "source", "target")
+    step = read.join(by_sorting(init), ["file_id", "node_id"]).join(by_sorting(ids), ["file_id", "declarator"]).join(by_sorting(own), ["file_id", "decl_node_id"]).select("file_id", "source", "target")
 
-    def follow(rows: pd.DataFrame) -> pd.DataFrame:
-        onward, root = dict(zip(rows.source, rows.target, strict=True)), {}
+    def follow(file: int, onward: dict[int, int]) -> list[tuple[int, int, int]]:
+        root = {}
         for source in onward:
             way, at = [], source
             while at in onward and at not in root:
@@ -219,11 +243,21 @@ def alias_roots(nodes: DataFrame, bindings: DataFrame, refs: DataFrame) -> DataF
                 at = onward[at]
             end = root[at] if at in root else at
             root.update(dict.fromkeys(way, end))
-        found = [(s, r) for s, r in root.items() if r is not None]
-        out = pd.DataFrame(found, columns=["source", "target"]).astype({"source": "int32", "target": "int32"})
-        out.insert(0, "file_id", rows.file_id.iloc[0])
-        return out.astype({"file_id": "int64"})
-
-    ends = step.groupBy("file_id").applyInPandas(follow, "file_id long, source int, target int")
+        return [(file, s, r) for s, r in root.items() if r is not None]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = {"file_id": pa.int64(), "source": pa.int32(), "target": pa.int32()}
+        at, onward = None, {}
+        for b in batches:
+            found = []
+            for file, source, target in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if file != at:
+                    found += follow(at, onward)
+                    at, onward = file, {}
+                onward[source] = target
+            yield made(found, types)
+        yield made(follow(at, onward), types)
+
+    ends = by_program(step).mapInArrow(walk, "file_id long, source int, target int")
     names = bindings.select("file_id", "binding_id", "name")
-    return ends.join(names.select("file_id", F.col("binding_id").alias("source"), F.col("name").alias("alias")), ["file_id", "source"]).join(names.select("file_id", F.col("binding_id").alias("target"), F.col("name").alias("root")), ["file_id", "target"]).select("file_id", "alias", "root")
+    return ends.join(by_sorting(names.select("file_id", F.col("binding_id").alias("source"), F.col("name").alias("alias"))), ["file_id", "source"]).join(by_sorting(names.select("file_id", F.col("binding_id").alias("target"), F.col("name").alias("root"))), ["file_id", "target"]).select("file_id", "alias", "root")

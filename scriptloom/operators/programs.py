@@ -108,7 +108,7 @@ def nodes(df: DataFrame, id_column: str = "file_id", code_column: str = "code")
             out.append((ids[id(n)], ids[id(n.parent)] if n.parent is not None else None, k, i, n.type, name if isinstance(name, str) else None, value, getattr(n, "operator", None), n.start, n.end, depth[id(n)], scope_ids[id(scopes.scope_of(n))], attrs))
         return out
 
-    return per_program(df, id_column, code_column, NODES, f)
+    return per_program(df, id_column, code_column, NODES, f, facts=True)
 
 
 def scopes(df: DataFrame, id_column: str = "file_id", code_column: str = "code") -> DataFrame:
@@ -118,7 +118,7 @@ def scopes(df: DataFrame, id_column: str = "file_id", code_column: str = "code")
         _, ids, found, scope_ids = _analysed(code)
         return [(scope_ids[id(s)], scope_ids[id(s.parent)] if s.parent else None, s.node.type, ids[id(s.node)]) for s in sorted(found.of_node.values(), key=lambda s: scope_ids[id(s)])]
 
-    return per_program(df, id_column, code_column, SCOPES, f)
+    return per_program(df, id_column, code_column, SCOPES, f, facts=True)
 
 
 def bindings(df: DataFrame, id_column: str = "file_id", code_column: str = "code") -> DataFrame:
@@ -131,7 +131,7 @@ def bindings(df: DataFrame, id_column: str = "file_id", code_column: str = "code
         _, ids, found, scope_ids = _analysed(code)
         return [(i, scope_ids[id(b.scope)], b.name, b.kind, ids[id(b.ident)], b.constant, len(b.refs), len(b.writes), bare(b)) for i, b in enumerate(found.all)]
 
-    return per_program(df, id_column, code_column, BINDINGS, f)
+    return per_program(df, id_column, code_column, BINDINGS, f, facts=True)
 
 
 def references(df: DataFrame, id_column: str = "file_id", code_column: str = "code") -> DataFrame:
@@ -141,7 +141,7 @@ def references(df: DataFrame, id_column: str = "file_id", code_column: str = "co
         _, ids, found, _ = _analysed(code)
         return [(i, ids[id(n)], w) for i, b in enumerate(found.all) for w, ns in ((False, b.refs), (True, b.writes)) for n in ns]
 
-    return per_program(df, id_column, code_column, REFS, f)
+    return per_program(df, id_column, code_column, REFS, f, facts=True)
 
 
 def modules(df: DataFrame, id_column: str = "file_id", code_column: str = "code", options: Options = Options()) -> DataFrame:

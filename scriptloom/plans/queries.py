@@ -116,7 +116,7 @@ def require_join(spark, sf_dir):
     m = programs.modules(made(spark, sf_dir, "customer", "c_custkey", BROWSERIFY_TEXT))
     e = detect.module_edges(m)
     lost = detect.unresolved(e, m).select("file_id", "target_id", F.lit(True).alias("missing"))
-    return e.join(lost, ["file_id", "target_id"], "left").select(F.col("file_id").alias("id"), "module_id", "target_id", "name", F.coalesce("missing", F.lit(False)).alias("missing"))
+    return e.join(detect.by_sorting(lost), ["file_id", "target_id"], "left").select(F.col("file_id").alias("id"), "module_id", "target_id", "name", F.coalesce("missing", F.lit(False)).alias("missing"))
 
 
 WEBPACK5_TEXT = r"""concat('(()=>{var m={', c_custkey, ':(e,t,r)=>{r(', c_custkey + 1, ')},', c_custkey + 1, ':e=>{e.exports="', c_mktsegment, '"}};var c={};function q(i){var o=c[i];if(o!==undefined)return o.exports;var x=c[i]={exports:{}};m[i](x,x.exports,q);return x.exports}', CASE WHEN c_custkey % 2 = 0 THEN concat('q(q.s=', c_custkey, ')') ELSE '' END, '})();')"""

@@ -17,7 +17,7 @@ def texts(query, keys) -> list[str]:
     return [re.sub(r"\{([a-z]+_[a-z]+|double|big|hexkey)\}", lambda m, k=k: VALUES.get(m[1]) or str(k * 7 % 97 + 1 if m[1] in ("o_custkey", "p_size") else k), query.cases[k % len(query.cases)][1]) for k in keys]
 
 
-def shared(f, codes) -> tuple[list, int]:
+def shared(f, codes, places=None) -> tuple[list, int]:
     """What f gives for programs by way of Reuse, and how many runs that took."""
     runs = 0
 
@@ -26,13 +26,12 @@ def shared(f, codes) -> tuple[list, int]:
         runs += 1
         return f(code)
 
-    known, out = Reuse(counted), []
+    known, out = Reuse(counted, places), []
     for c in codes:
-        rows, what = known.look(c)
-        if rows is None:
-            rows = counted(c)
-            if what:
-                known.learn(c, rows, what)
+        columns, what = known.look(c)
+        rows = list(zip(*columns, strict=True)) if columns else counted(c)
+        if what:
+            known.learn(c, rows, what)
         out.append(rows)
     return out, runs
 
@@ -91,6 +90,22 @@ def test_numbers_that_are_asked_for_are_fixed():
     assert {c: 1} and run.fixed == {1, 2} and a / 2 == 0.5 and run.fixed == {0, 1, 2}
 
 
+FACTS = [
+    "const o={a:K,bK:K};f(o.bK);g(aK,'aK',`aK${K}`);a1=2;K.5;1e5;0x1F;a2b1", "function aK(){return a7+aK}aK();{let a7=K}", "x=<aK b={K}>K</aK>;a5", "\\u0061K=a7;var aK,bK,b7", "for(let iK=K,i3=0;iK<K;iK++)i3+=K/*K*/",
+]
+
+
+@pytest.mark.parametrize("program", FACTS)
+@pytest.mark.parametrize("table", ["nodes", "scopes", "bindings", "references"])
+def test_facts_are_those_of_own_runs(monkeypatch, table, program):
+    monkeypatch.setattr(programs, "per_program", lambda df, i, c, schema, f, **_: f)
+    f = getattr(programs, table)(None)
+    codes = [program.replace("K", str(k)) for k in [3, 4, 55, 7, 8, 123, 7, 1, 0, 2, 5, 5, 6, 99, 12345, 10**14]]
+    got, runs = shared(f, codes, (8, 9) if table == "nodes" else ())
+    assert got == [f(c) for c in codes]
+    assert program != FACTS[1] or runs < len(codes)
+
+
 def test_programs_on_spark(spark):
     codes = [(i, "f(" if i % 5 == 0 else f"var a={i}*2,b;'u'>typeof c&&(b=void 0,d(!0))") for i in range(400)]
     got = {r.file_id: (r.code, r.error) for r in programs.rewrite(spark.createDataFrame(codes, "file_id long, code string")).collect()}
