@@ -6,7 +6,7 @@ from scriptloom.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
-JOINS = ["js_nearest_assignments", "js_read_only_objects", "js_require_join"]
+JOINS = ["js_nearest_assignments", "js_read_only_objects", "js_require_join", "js_constant_properties"]
 
 
 @pytest.mark.parametrize("name", JOINS)
