@@ -51,7 +51,7 @@ def test_results_are_those_of_own_runs(name):
 
 
 # queries whose programs are alike but for numbers
-SHARED = ["js_pipeline", "js_self_defending", "js_control_flow_object"]
+SHARED = ["js_pipeline", "js_self_defending", "js_control_flow_object", "js_debug_protection"]
 
 
 @pytest.mark.parametrize("name", SHARED)
