@@ -51,7 +51,7 @@ def test_results_are_those_of_own_runs(name):
 
 
 # queries whose programs are alike but for numbers
-SHARED = ["js_pipeline", "js_self_defending", "js_control_flow_object", "js_debug_protection", "js_control_flow", "js_optional_chaining", "js_default_parameters", "js_inline_object_props", "js_nullish", "js_split_for_vars", "js_merge_object"]
+SHARED = ["js_pipeline", "js_self_defending", "js_control_flow_object", "js_debug_protection", "js_control_flow", "js_optional_chaining", "js_default_parameters", "js_inline_object_props", "js_nullish", "js_split_for_vars", "js_merge_object", "js_logical_assignments"]
 
 
 @pytest.mark.parametrize("name", SHARED)
