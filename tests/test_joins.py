@@ -6,7 +6,7 @@ from scriptloom.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
-JOINS = ["js_nearest_assignments", "js_read_only_objects", "js_require_join", "js_constant_properties", "js_inline_aliases"]
+JOINS = ["js_nearest_assignments", "js_read_only_objects", "js_require_join", "js_constant_properties", "js_inline_aliases", "js_enclosing_functions"]
 
 
 @pytest.mark.parametrize("name", JOINS)
