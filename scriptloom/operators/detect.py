@@ -8,7 +8,7 @@ have no node and match nothing.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -118,18 +118,31 @@ def anonymous_functions(nodes: DataFrame) -> DataFrame:
 def constants(nodes: DataFrame) -> DataFrame:
     """Spellings of undefined, true and false: file_id, node_id, constant.
 
-    undefined and void 0; true, !0, !!1 and !![]; false and ![].
+    undefined and void 0; true, !0, !!1 and !![]; false and ![].  These are at
+    most three nodes deep, so a program's few nodes of these kinds are looked
+    at together, and its table of nodes is made once.
     """
-    empty = nodes.filter("type = 'ArrayExpression'").join(by_sorting(nodes.filter("field = 'elements'").select("file_id", F.col("parent_id").alias("node_id"))), ["file_id", "node_id"], "left_anti")
-    leaves = nodes.filter("type = 'NumericLiteral'").unionByName(empty)
-    inner = leaves.filter("field = 'argument'").select("file_id", F.col("parent_id").alias("node_id"), F.coalesce("value", F.lit("[]")).alias("of"))
-    once = nodes.filter("type = 'UnaryExpression'").join(by_sorting(inner), ["file_id", "node_id"]).select("file_id", "node_id", "parent_id", "field", "operator", "of")
-    twice = nodes.filter("operator = '!'").select("file_id", "node_id").join(by_sorting(once.filter("operator = '!' and field = 'argument'").select("file_id", F.col("parent_id").alias("node_id"), "of")), ["file_id", "node_id"])
-    plain = nodes.filter("type = 'BooleanLiteral'").select("file_id", "node_id", F.col("value").alias("constant"))
-    plain = plain.unionByName(nodes.filter("type = 'Identifier' and name = 'undefined'").select("file_id", "node_id", F.lit("undefined").alias("constant")))
-    case = F.when((F.col("operator") == "void") & (F.col("of") == "0"), "undefined").when((F.col("operator") == "!") & (F.col("of") == "0"), "true").when((F.col("operator") == "!") & (F.col("of") == "[]"), "false")
-    made = once.select("file_id", "node_id", case.alias("constant")).filter("constant is not null")
-    return plain.unionByName(made).unionByName(twice.filter("of in ('1', '[]')").select("file_id", "node_id", F.lit("true").alias("constant")))
+    kinds = ("UnaryExpression", "NumericLiteral", "ArrayExpression", "BooleanLiteral")
+    some = nodes.filter(F.col("type").isin(*kinds) | (F.col("type") == "Identifier") & (F.col("name") == "undefined") | (F.col("field") == "elements"))
+
+    def spelled(file: int, rows: list[tuple]) -> list[tuple]:
+        filled = {parent for _, parent, field, *_ in rows if field == "elements"}
+        of = {parent: value or "[]" for node, parent, field, kind, _, value, _ in rows if field == "argument" and (kind == "NumericLiteral" or kind == "ArrayExpression" and node not in filled)}
+        denied = {parent: of[node] for node, parent, field, kind, operator, *_ in rows if kind == "UnaryExpression" and operator == "!" and field == "argument" and node in of}
+        out = []
+        for node, _, _, kind, operator, value, name in rows:
+            if kind == "BooleanLiteral":
+                out.append((file, node, value))
+            elif kind == "Identifier" and name == "undefined":
+                out.append((file, node, name))
+            elif kind == "UnaryExpression":
+                constant = {("void", "0"): "undefined", ("!", "0"): "true", ("!", "[]"): "false"}.get((operator, of.get(node)))
+                if constant or operator == "!" and denied.get(node) in ("1", "[]"):
+                    out.append((file, node, constant or "true"))
+        return out
+
+    facts = some.select("file_id", "node_id", "parent_id", "field", "type", "operator", "value", "name")
+    return program_by_program(facts, spelled, {"file_id": "bigint", "node_id": "int", "constant": "string"})
 
 
 def named_functions(nodes: DataFrame) -> DataFrame:
@@ -204,20 +217,43 @@ def enclosing(nodes: DataFrame, inner: str, outer: str) -> DataFrame:
                     found.append((file, node, stack[-1][1]))
                 if kind == outer:
                     stack.append((end, node))
-            yield made(found, {"file_id": pa.int64(), "node_id": pa.int32(), "outer_id": pa.int32()})
+            yield made(found, {"file_id": "bigint", "node_id": "int", "outer_id": "int"})
 
     return by_program(some, "s", F.col("e").desc(), "node_id").mapInArrow(walk, "file_id long, node_id int, outer_id int")
 
 
 def by_program(facts: DataFrame, *order) -> DataFrame:
-    """Each program's facts behind one another in one task, in this order."""
-    return facts.repartition("file_id").sortWithinPartitions("file_id", *order)
+    """Each program's facts behind one another in one task, in this order; tasks are not merged by size, as it is the work on rows that takes time."""
+    spark = facts.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return facts.repartition(parts, "file_id").sortWithinPartitions("file_id", *order)
 
 
-def made(rows: list[tuple], types: dict[str, pa.DataType]) -> pa.RecordBatch:
+def program_by_program(facts: DataFrame, f: Callable[[int, list[tuple]], list[tuple]], types: dict[str, str]) -> DataFrame:
+    """The rows that f gives for each program's facts; a task holds those of one program at a time."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows = None, []
+        for b in batches:
+            found = []
+            for file, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if file != at:
+                    if rows:
+                        found += f(at, rows)
+                    at, rows = file, []
+                rows.append(row)
+            yield made(found, types)
+        if rows:
+            yield made(f(at, rows), types)
+
+    return by_program(facts).mapInArrow(walk, ", ".join(f"{k} {t}" for k, t in types.items()))
+
+
+def made(rows: list[tuple], types: dict[str, str]) -> pa.RecordBatch:
     """Rows as a batch."""
+    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
     columns = list(zip(*rows, strict=True)) or [()] * len(types)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values(), strict=True)], list(types))
+    return pa.RecordBatch.from_arrays([pa.array(c, arrow[t]) for c, t in zip(columns, types.values(), strict=True)], list(types))
 
 
 def alias_roots(nodes: DataFrame, bindings: DataFrame, refs: DataFrame) -> DataFrame:
@@ -233,8 +269,8 @@ def alias_roots(nodes: DataFrame, bindings: DataFrame, refs: DataFrame) -> DataF
     own = bindings.filter("is_constant").select("file_id", F.col("binding_id").alias("source"), "decl_node_id")
     step = read.join(by_sorting(init), ["file_id", "node_id"]).join(by_sorting(ids), ["file_id", "declarator"]).join(by_sorting(own), ["file_id", "decl_node_id"]).select("file_id", "source", "target")
 
-    def follow(file: int, onward: dict[int, int]) -> list[tuple[int, int, int]]:
-        root = {}
+    def follow(file: int, rows: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+        onward, root = dict(rows), {}
         for source in onward:
             way, at = [], source
             while at in onward and at not in root:
@@ -245,19 +281,6 @@ def alias_roots(nodes: DataFrame, bindings: DataFrame, refs: DataFrame) -> DataF
             root.update(dict.fromkeys(way, end))
         return [(file, s, r) for s, r in root.items() if r is not None]
 
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = {"file_id": pa.int64(), "source": pa.int32(), "target": pa.int32()}
-        at, onward = None, {}
-        for b in batches:
-            found = []
-            for file, source, target in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if file != at:
-                    found += follow(at, onward)
-                    at, onward = file, {}
-                onward[source] = target
-            yield made(found, types)
-        yield made(follow(at, onward), types)
-
-    ends = by_program(step).mapInArrow(walk, "file_id long, source int, target int")
+    ends = program_by_program(step, follow, {"file_id": "bigint", "source": "int", "target": "int"})
     names = bindings.select("file_id", "binding_id", "name")
     return ends.join(by_sorting(names.select("file_id", F.col("binding_id").alias("source"), F.col("name").alias("alias"))), ["file_id", "source"]).join(by_sorting(names.select("file_id", F.col("binding_id").alias("target"), F.col("name").alias("root"))), ["file_id", "target"]).select("file_id", "alias", "root")
