@@ -90,6 +90,25 @@ def test_numbers_that_are_asked_for_are_fixed():
     assert {c: 1} and run.fixed == {1, 2} and a / 2 == 0.5 and run.fixed == {0, 1, 2}
 
 
+BUNDLE = "!function(e){var t={};function n(r){if(t[r])return t[r].exports;var o=t[r]={i:r,l:!1,exports:{}};return e[r].call(o.exports,o,o.exports,n),o.l=!0,o.exports}n(n.s=ENTRY)}([function(e,t,n){e.exports=K},function(e,t,n){n(0);n(2)},function(e,t,n){n(TARGET)}]);"
+
+
+def test_bundles_share_runs(monkeypatch):
+    """Ids of modules are asked for, and what a module holds is not."""
+    monkeypatch.setattr(programs, "per_program", lambda df, i, c, schema, f, **_: f)
+    codes = [BUNDLE.replace("ENTRY", str(k % 3)).replace("TARGET", str(k % 5)).replace("K", str(k)) for k in range(1, 301)]
+    for f in (programs.rewrite(None), programs.modules(None)):
+        got, runs = shared(f, codes)
+        assert got == [f(c) for c in codes] and runs < 120
+
+
+def test_what_is_kept_is_bounded(monkeypatch):
+    monkeypatch.setattr("scriptloom.js.reuse.KEPT", 10_000)
+    f = rows_of("js_sequence")
+    codes = [f"a{k % 40}(),b({k})" for k in range(400)]
+    assert shared(f, codes)[0] == [f(c) for c in codes]
+
+
 FACTS = [
     "const o={a:K,bK:K};f(o.bK);g(aK,'aK',`aK${K}`);a1=2;K.5;1e5;0x1F;a2b1", "function aK(){return a7+aK}aK();{let a7=K}", "x=<aK b={K}>K</aK>;a5", "\\u0061K=a7;var aK,bK,b7", "for(let iK=K,i3=0;iK<K;iK++)i3+=K/*K*/",
 ]
